@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_models
+from . import queries_dedup, queries_models, queries_output, queries_text
 
-_MODULES = (queries_dedup, queries_models)
+_MODULES = (queries_dedup, queries_models, queries_output, queries_text)
 
 
 def queries() -> dict:
