@@ -16,6 +16,11 @@ and of groups that a partition's edge cuts, take an exact other way: two
 fingerprints link if and only if they share a point at one bit from both, and
 at most 65 fingerprints lie around a point.
 
+Near copies that share 0.8 of their shingles differ in about ten bits of 64.  For
+them a signature of several fingerprints is used (:func:`signatures`): each word
+gives keys as above, and pairs are verified by all words.  Its recall is high from
+a similarity of 0.9 on and falls towards 0.8.
+
 Defined cases: null and empty texts have fingerprint zero, linked like any
 other.  Components hold all rows of a fingerprint; a component's id is its
 smallest doc_id, nulls aside.  An empty table gives an empty result.  Other
@@ -30,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytewords import mix
 from .common import slices, staged
 from .components import components
 
@@ -39,6 +45,9 @@ SHINGLE = 5
 DISTANCE = 2
 #: (shift, width) of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Words of the signature that finds near copies, and its largest number of differing
+#: bits: 256 bits of which 36 differ stand for five-word shingles of which about 0.8 are shared.
+WORDS, WIDE_DISTANCE = 4, 36
 #: Groups up to this size are compared in place; larger ones take the other exact way.
 GROUP_ROWS = 128
 
@@ -103,11 +112,28 @@ def keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # -- fingerprints -------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, size: int) -> int:
-    """Majority bits of the XXH64 (seed 42) of all shingles of ``size`` words."""
+def _majority(h: np.ndarray) -> int:
+    """The number whose bits are set in over half of ``h``."""
+    counts = np.zeros(64, dtype=np.int64)
+    lanes = U64(0x0101010101010101)
+    for begin in range(0, len(h), 255 * 256):
+        part = h[begin : begin + 255 * 256]
+        edges = np.arange(0, len(part), 255)
+        for shift in range(8):
+            sums = np.add.reduceat((part >> U64(shift)) & lanes, edges)  # eight counters of a byte each
+            counts[shift::8] += sums.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+    return int(sum(1 << b for b in range(64) if 2 * counts[b] > len(h)))
+
+
+def signature(text: str | None, size: int, words: int) -> list[int]:
+    """``words`` fingerprints over the shingles of ``size`` words; no word gives zeros.
+
+    The first is of the shingles' XXH64 (seed 42) themselves, the others of
+    further hashes made from it.
+    """
     joined = b" ".join((text or "").encode().lower().split())
     if not joined:
-        return 0
+        return [0] * words
     space = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
     starts = np.concatenate([[0], space + 1])
     ends = np.concatenate([space, [len(joined)]])
@@ -115,15 +141,12 @@ def fingerprint(text: str | None, size: int) -> int:
     digest = xxhash.xxh64_intdigest
     last = ends[min(size, len(starts)) - 1 :]
     h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last[:n].tolist(), strict=True)), U64, n)
-    counts = np.zeros(64, dtype=np.int64)
-    lanes = U64(0x0101010101010101)
-    for begin in range(0, n, 255 * 256):
-        part = h[begin : begin + 255 * 256]
-        edges = np.arange(0, len(part), 255)
-        for shift in range(8):
-            sums = np.add.reduceat((part >> U64(shift)) & lanes, edges)  # eight counters of a byte each
-            counts[shift::8] += sums.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    return int(sum(1 << b for b in range(64) if 2 * counts[b] > n))
+    return [_majority(h if not k else mix(h + U64(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(words)]
+
+
+def fingerprint(text: str | None, size: int) -> int:
+    """Majority bits of the XXH64 (seed 42) of all shingles of ``size`` words."""
+    return signature(text, size, 1)[0]
 
 
 def fingerprints(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -220,26 +243,157 @@ def links(distinct: DataFrame, *, column: str = "fp") -> DataFrame:
     return near.unionByName(far)
 
 
-def classes(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per input row: doc_id, fp, component_id (its smallest doc_id)."""
-    rows = staged(fingerprints(documents, ident=ident, text=text, shingle=shingle), "fingerprints")
-    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    labels = components(links(distinct))
+# -- several fingerprints, for texts that share most of their shingles ----------------
+
+
+def signature_id(words: np.ndarray) -> np.ndarray:
+    """One 64-bit number for each row of a signature's words."""
+    out = np.zeros(len(words), dtype=U64)
+    for k in range(words.shape[1]):
+        out = mix(out + words[:, k] + U64(k + 1))
+    return out
+
+
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.astype(U64).view(np.int64))
+
+
+def signatures(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE, words: int = WORDS) -> DataFrame:
+    """doc_id, fp (the signature's number) and words s0, s1, ... of every row's whole text."""
+    names = [f"s{k}" for k in range(words)]
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            got = np.array([signature(t, shingle, words) for t in batch.column("text").to_pylist()], dtype=U64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed(signature_id(got)), *(_signed(got[:, k]) for k in range(words))], ["doc_id", "fp", *names])
+
+    rows = documents.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *names]))
+
+
+def _reach(words: np.ndarray, most: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """A forest of the links in a group, and one row of each of its components.
+
+    Each row found is compared with those not yet found only, so a group of
+    copies of one text takes about one pass and no pairs are made.
+    """
+    rest = np.arange(len(words))
+    edges, heads = [], []
+    while len(rest):
+        heads.append(int(rest[0]))
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            near = np.bitwise_count(words[rest] ^ words[x]).sum(axis=1, dtype=np.int64) <= most
+            edges += [(x, int(y)) for y in rest[near]]
+            queue += rest[near].tolist()
+            rest = rest[~near]
+    return edges, heads
+
+
+def wide_links(distinct: DataFrame, *, words: int = WORDS, most: int = WIDE_DISTANCE) -> DataFrame:
+    """Edges (a, b) between numbers of distinct signatures that differ in ``most`` bits at most.
+
+    Every word gives the keys that a single fingerprint gives, so a pair has
+    as many chances to meet as there are words.  Groups that a partition's edge
+    cuts are joined through one signature of each of their components.
+    """
+    names = [f"s{k}" for k in range(words)]
+
+    def emit(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 4000):
+                part = batch.slice(begin, 4000)
+                all_words = [part.column(c).to_numpy(zero_copy_only=False) for c in names]
+                for k, own in enumerate(all_words):
+                    rows, out = keys(own.view(U64))
+                    yield pa.RecordBatch.from_arrays([pa.array(out | (np.int64(k) << np.int64(40))), *(pa.array(w[rows]) for w in all_words)], ["key", *names])
+
+    def meet(final: bool):
+        def run(batches):
+            def groups():
+                now, held = None, []
+                for batch in batches:
+                    all_keys = batch.column(0).to_numpy(zero_copy_only=False)
+                    values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1).view(U64) if batch.num_rows else np.zeros((0, words), U64)
+                    cuts = np.flatnonzero(np.append(True, all_keys[1:] != all_keys[:-1])).tolist() if len(all_keys) else []
+                    for c, d in zip(cuts, [*cuts[1:], len(all_keys)], strict=True):
+                        if held and all_keys[c] != now:
+                            yield now, np.concatenate(held)
+                            held = []
+                        now = int(all_keys[c])
+                        held.append(values[c:d])
+                if held:
+                    yield now, np.concatenate(held)
+
+            def pack(pairs, left):
+                a, b = (np.array([p[i] for p in pairs], dtype=U64) for i in (0, 1))
+                none = pa.nulls(len(left), pa.int64())
+                columns = [pa.chunked_array([_signed(x), none]).combine_chunks() for x in (a, b)]
+                tail = np.array([w for _, w in left], dtype=U64).reshape(-1, words)
+                columns.append(pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array([k for k, _ in left], pa.int64())]).combine_chunks())
+                columns += [pa.chunked_array([pa.nulls(len(a), pa.int64()), _signed(tail[:, k])]).combine_chunks() for k in range(words)]
+                return pa.RecordBatch.from_arrays(columns, ["a", "b", "key", *names])
+
+            pairs, left, last = [], [], None
+            for number, (key, values) in enumerate(groups()):
+                if last:
+                    left += [(last[0], w) for w in last[1]] if last[2] else []
+                last = None
+                heads = [0]
+                if len(values) > 1:
+                    edges, heads = _reach(values, most)
+                    ids = signature_id(values)
+                    pairs += [(ids[x], ids[y]) for x, y in edges]
+                last = (key, values[heads], number == 0)
+                if len(pairs) > 50_000:
+                    yield pack(pairs, left)
+                    pairs, left = [], []
+            if last and not final:
+                left += [(last[0], w) for w in last[1]]
+            yield pack(pairs, [] if final else left)
+
+        return run
+
+    schema = ", ".join(f"{c} long" for c in ["a", "b", "key", *names])
+    rows = distinct.select(*names).mapInArrow(emit, ", ".join(f"{c} long" for c in ["key", *names]))
+    dealt = rows.repartitionByRange("key", *names[:2]).sortWithinPartitions("key", *names)
+    met = staged(dealt.mapInArrow(meet(False), schema), "links")
+    left = met.where("key is not null").select("key", *names).distinct()
+    again = left.repartition("key").sortWithinPartitions("key", *names).mapInArrow(meet(True), schema)
+    return met.where("a is not null").select("a", "b").unionByName(again.select("a", "b")).distinct()
+
+
+def classes(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """One row per input row: doc_id, fp, component_id (its smallest doc_id).
+
+    With one word, fingerprints link at ``DISTANCE`` bits, and no link is
+    missed.  With several, signatures link at ``WIDE_DISTANCE`` bits.
+    """
+    if words == 1:
+        rows = staged(fingerprints(documents, ident=ident, text=text, shingle=shingle), "fingerprints")
+        distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        labels = components(links(distinct))
+    else:
+        rows = staged(signatures(documents, ident=ident, text=text, shingle=shingle, words=words), "signatures")
+        distinct = staged(rows.groupBy("fp", *(f"s{k}" for k in range(words))).agg(F.min("doc_id").alias("least")), "distinct")
+        labels = components(wide_links(distinct, words=words))
+        distinct = distinct.select("fp", "least")
     named = distinct.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.where("root <> fp or least is null").select("root").distinct()
+    moved = named.where("root <> fp").select("root").distinct()
     # Only components of several fingerprints need another minimum.
-    several = staged(named.join(smallest, "root", "left_semi").select("fp", "root", "least"), "members")
+    several = staged(named.join(moved, "root", "left_semi").select("fp", "root", "least"), "members")
     least = several.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = staged(several.join(least, "root").select("fp", "component_id"), "classes")
-    by_print = staged(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "by-print")
+    found = staged(several.join(least, "root").select("fp", "component_id"), "classes")
+    by_print = staged(distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "by-print")
     return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def survivors(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def survivors(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE, words: int = WORDS) -> DataFrame:
     """The input's rows and columns, one row for each component: that of the smallest doc_id.
 
     Rows with a null doc_id stay, since nothing names them; repeated rows of
     one doc_id collapse only in :mod:`exactdup`.
     """
-    gone = classes(documents, ident=ident, text=text, shingle=shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    gone = classes(documents, ident=ident, text=text, shingle=shingle, words=words).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return documents.join(gone, F.col(ident) == F.col("_gone"), "left_anti")
