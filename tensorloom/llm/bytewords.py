@@ -117,6 +117,19 @@ ALNUM_LOWER = word_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
 def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between successive entries of ``first``; empty ones are zero."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), dtype=np.float64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
+    out = np.zeros((len(first) - 1, *values.shape[1:]))
+    full = first[1:] > first[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values[: first[-1]], first[:-1][full], axis=0, dtype=np.float64)
+    return out
+
+
+def gathered_sums(table: np.ndarray, codes: np.ndarray, first: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """Sums of ``table[codes]`` by segment, gathered block by block."""
+    out = np.zeros((len(first) - 1, *table.shape[1:]))
+    for a in range(0, len(codes), block):
+        b = min(a + block, len(codes))
+        lo = max(0, int(np.searchsorted(first, a, side="right")) - 1)
+        hi = int(np.searchsorted(first, b, side="left"))
+        out[lo:hi] += segment_sums(table[codes[a:b]], np.clip(first[lo : hi + 1], a, b) - a)
+    return out

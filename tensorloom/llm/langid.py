@@ -34,6 +34,8 @@ GRAMS = (3, 4)
 ROWS_PER_LANGUAGE = 600
 MOST_ROWS = 12_000
 EPOCHS = 4
+#: Bytes whose n-grams are worked on at a time.
+BLOCK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -53,7 +55,7 @@ class Model:
         logits = np.zeros((len(column), len(self.languages)))
         n = np.zeros(len(column))
         for codes, first in features(column):
-            logits += B.segment_sums(self.table[codes], first)
+            logits += B.gathered_sums(self.table, codes, first)
             n += np.diff(first)
         p = _softmax((logits / np.maximum(n, 1)[:, None] + self.bias) / self.temperature)
         best = p.argmax(axis=1)
@@ -67,32 +69,29 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Bucket numbers of words and byte n-grams, and each row's first entry."""
+def features(column: pa.Array):
+    """Bucket numbers and each row's first entry in them: of the words, then of blocks of byte n-grams."""
     data, offsets = B.raw_bytes(column)
     data = B.LOWER[data]
     starts, ends, first = B.spans(data, offsets, B.NOT_SPACE)
-    out = [((B.hashes(data, starts, ends) >> U64(64 - BITS)).astype(np.int64), first)]
+    yield (B.hashes(data, starts, ends) >> U64(64 - BITS)).astype(np.int64), first
     for n in GRAMS:
-        last = len(data) - n + 1
-        if last <= 0:
-            out.append((np.zeros(0, dtype=np.int64), np.zeros(len(column) + 1, dtype=np.int64)))
-            continue
-        packed = np.zeros(last, dtype=np.uint32)
-        for k in range(n):
-            packed |= data[k : k + last].astype(np.uint32) << np.uint32(8 * k)
-        codes = ((packed * np.uint32(2654435761) + np.uint32(n * 97)) >> np.uint32(32 - BITS)).astype(np.int64)
-        keep = np.ones(last, dtype=bool)
-        for cut in offsets[1:-1]:  # n-grams that would cross into the next row
-            keep[max(0, cut - n + 1) : cut] = False
-        counts = np.concatenate([[0], np.cumsum(keep)])
-        out.append((codes[keep], counts[np.minimum(offsets, last)]))
-    return out
+        for begin in range(0, max(0, len(data) - n + 1), BLOCK):
+            last = min(BLOCK, len(data) - n + 1 - begin)
+            packed = np.zeros(last, dtype=np.uint32)
+            for k in range(n):
+                packed |= data[begin + k : begin + k + last].astype(np.uint32) << np.uint32(8 * k)
+            codes = ((packed * np.uint32(2654435761) + np.uint32(n * 97)) >> np.uint32(32 - BITS)).astype(np.int32)
+            keep = np.ones(last, dtype=bool)
+            for cut in offsets[1:-1][(offsets[1:-1] > begin) & (offsets[1:-1] < begin + last + n)] - begin:
+                keep[max(0, cut - n + 1) : max(0, cut)] = False  # would cross into the next row
+            counts = np.concatenate([[0], np.cumsum(keep)])
+            yield codes[keep], counts[np.clip(offsets - begin, 0, last)]
 
 
 def _rows(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each row as distinct buckets and their shares."""
-    families = features(column)
+    families = list(features(column))
     out = []
     for i in range(len(column)):
         codes = np.concatenate([c[f[i] : f[i + 1]] for c, f in families])
@@ -156,7 +155,7 @@ def fit(documents: DataFrame, *, lang: str = "lang", per_language: int = ROWS_PE
 
     def learn(batches):
         got, names, ids = [], [], []
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             got += _rows(batch.column("text"))
             names += batch.column("lang").to_pylist()
             ids += batch.column("doc_id").to_pylist()
@@ -180,7 +179,7 @@ def identify(documents: DataFrame, model: Model, *, text: str = "text") -> DataF
     base = documents.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches):
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 1 << 20):
             names, score, accepted = held.value.predict(batch.column(text))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score), pa.array(accepted)], [*kept, *new])
 

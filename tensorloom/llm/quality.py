@@ -47,7 +47,7 @@ class Model:
         total = np.zeros(len(column))
         for weight, (codes, first) in zip(FAMILIES, features(column), strict=True):
             n = np.maximum(np.diff(first), 1)
-            total += weight * B.segment_sums(self.weights[codes], first) / n
+            total += weight * B.gathered_sums(self.weights, codes, first) / n
         return 1.0 / (1.0 + np.exp(-np.clip(total + self.bias, -35, 35)))
 
 
@@ -151,7 +151,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) ->
 
     def learn(batches):
         got, ys, ids = [], [], []
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             got += _rows(batch.column("text"))
             ys += batch.column("quality").to_pylist()
             ids += batch.column("doc_id").to_pylist()
@@ -172,7 +172,7 @@ def score(documents: DataFrame, model: Model, *, text: str = "text", out: str =
     base = documents.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches):
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 2 << 20):
             scores = pa.array(held.value.predict(batch.column(text)), pa.float64())
             columns = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, scores], [*kept, out])
