@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES: tuple = ()
+from .queries import tensors
+
+_MODULES: tuple = (tensors,)
 
 
 def queries() -> dict:
