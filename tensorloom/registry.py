@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import tensors
+from .queries import relations, tensors
 
-_MODULES: tuple = (tensors,)
+_MODULES: tuple = (tensors, relations)
 
 
 def queries() -> dict:
