@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import relations, tensors
+from .queries import plans, relations, tensors
 
-_MODULES: tuple = (tensors, relations)
+_MODULES: tuple = (tensors, relations, plans)
 
 
 def queries() -> dict:
