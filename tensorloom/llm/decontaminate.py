@@ -65,7 +65,9 @@ class Phrases:
 
     @classmethod
     def of(cls, benchmark: DataFrame, *, ident: str = "item_id", text: str = "text", window: int = WINDOW) -> Phrases:
-        """All windows of ``window`` successive words; a shorter item is one window."""
+        """All windows of ``window`` (63 at most) successive words; a shorter item is one window."""
+        if not 1 <= window <= 63:
+            raise ValueError(f"windows of {window} words")
         rows = benchmark.where(F.col(ident).isNotNull()).select(F.col(ident).alias("item_id"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
         starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1))))
         cut = rows.select("item_id", "w", starts.alias("s")).select("item_id", F.slice("w", F.col("s"), window).alias("win"))
@@ -88,10 +90,10 @@ class Index:
     def build(cls, documents: DataFrame, dictionary: DataFrame, *, ident: str = "doc_id", text: str = "text") -> Index:
         spark = documents.sparkSession
         length = spark.range(1).select(F.lit(_LENGTH).alias("term"), F.lit(0).cast("long").alias("tid"))
-        known = staged(dictionary.select("term", "tid").unionByName(length).coalesce(1), "terms")
+        known = staged(dictionary.select("term", "tid").unionByName(length), "terms")
         cut = documents.select(F.col(ident).alias("doc_id"), text_hash(ident, text).alias("th"), F.concat(words(F.col(text)), F.array(F.lit(_LENGTH))).alias("w"))
         flat = cut.select("doc_id", "th", F.posexplode_outer("w").alias("pos", "term"))
-        found = flat.join(known, "term").select(F.col("tid").cast("int").alias("tid"), "doc_id", "th", "pos")
+        found = flat.join(known, "term").select("tid", "doc_id", "th", "pos")
         return cls(staged(found.sortWithinPartitions("tid", "doc_id", "pos"), "postings"))
 
     def lengths(self) -> DataFrame:
@@ -111,7 +113,7 @@ class Index:
             .withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(whole))
             .where("least > 0")  # else a term occurs nowhere, and so neither does the phrase
             .withColumn("rank", F.row_number().over(whole.orderBy("n", "j")))
-            .select("phrase", "size", "j", F.col("tid").cast("int").alias("tid"), "rank")
+            .select("phrase", "size", "j", "tid", "rank")
         )
         ranked = staged(ranked, "ranked-terms")
         lists = self._lists()
@@ -135,7 +137,8 @@ class Index:
         else:
             wanted = wanted.withColumn("pos", F.col("start") + F.col("j"))
         hit = wanted.join(lists, [*_DOC, "pos", "tid"], "left_semi")
-        got = hit.groupBy("phrase", "size", *_DOC, "start").agg(F.count_distinct("j").alias("got") if slop else F.count("*").alias("got"))
+        got = hit.groupBy("phrase", "size", *_DOC, "start").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("got"))
+        got = got.withColumn("got", F.bit_count("got"))
         return got.join(need, "phrase").where("got = need").select("phrase", "size", *_DOC, "start")
 
 
