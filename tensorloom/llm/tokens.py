@@ -1,18 +1,22 @@
 """Token ids of whole texts, through the public ``tokenizers`` library.
 
-Most words of a corpus repeat, so for texts of plain Latin letters the words
-that the tokenizer's own pattern cuts out are encoded once and looked up
-afterwards.  Any text with another character, or with one of the special
-tokens' strings, goes through the tokenizer whole.  Both ways give the same ids.
+Most words of a corpus repeat, so for texts of plain Latin letters what stands
+between blanks, and within it the words that the tokenizer's own pattern cuts
+out, are encoded once and looked up afterwards.  Any text with another
+character, or with one of the special tokens' strings, goes through the
+tokenizer whole.  Both ways give the same ids.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
 import numpy as np
 
+from . import bytewords as B
+
 #: The tokenizer whose pattern ``_WORD`` repeats for plain Latin texts.
 DEFAULT = "word_bpe_49k.json"
 #: Appended to every document.
@@ -21,8 +25,10 @@ END_ID = 1
 _PLAIN = re.compile(r"[\t\n\r -~¡-¬®-ÿ]*")
 #: The pattern of the tokenizer over lower-cased plain texts (fixed value).
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
-#: Words kept in memory by one worker, and the longest word kept.
-_CACHE_WORDS, _CACHE_LENGTH = 400_000, 40
+#: Bytes of a chunk: all but the blanks that plain texts can hold.
+_CHUNK = ~B.word_class((9, 10), (13, 13), (32, 32))
+#: Chunks kept in memory by one worker.
+_CACHE_CHUNKS = 600_000
 
 
 def tokenizer_path(name: str = DEFAULT) -> str:
@@ -44,7 +50,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.plain = os.path.basename(path) == DEFAULT
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+        self._forget()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -56,25 +65,76 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without the end id."""
         out: list[bytes | None] = [None] * len(texts)
-        words: list[tuple[int, list[str]]] = []
+        plain: list[int] = []
+        raw: list[bytes] = []
         for i, text in enumerate(texts):
             if self.plain and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-                words.append((i, _WORD.findall(text.lower())))
+                plain.append(i)
+                raw.append(text.lower().encode())
             else:
-                out[i] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        cache = self.cache
-        missing = {w for _, found in words for w in found if w not in cache}
-        if missing:
-            if len(cache) + len(missing) > _CACHE_WORDS:
-                cache.clear()
-                missing = {w for _, found in words for w in found}
-            listed = list(missing)
-            for begin in range(0, len(listed), 20_000):
-                part = listed[begin : begin + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        for i, found in words:
-            out[i] = b"".join(map(cache.__getitem__, found))
-        for w in [w for w in missing if len(w) > _CACHE_LENGTH]:
-            del cache[w]
+                out[i] = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if not raw:
+            return out
+        offsets = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
+        data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
+        starts, ends, first = B.spans(data, offsets, _CHUNK)
+        # Equal chunks of a slice are looked up once, by a 64-bit hash.
+        unique, where, back = np.unique(B.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.at) > _CACHE_CHUNKS:
+            self._forget()
+        known = np.fromiter(map(self.at.get, unique.tolist(), itertools.repeat(-1)), np.int64, len(unique))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            known[new] = self._learn(unique[new], [bytes(data[a:b]).decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+        begin, n = self.begin[known][back], self.size[known][back]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(begin - before[:-1], n) + np.arange(before[-1])]
+        packed, cuts = ids.tobytes(), (before[first] * 4).tolist()
+        for i, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True):
+            out[i] = packed[a:b]
         return out
+
+    def _forget(self) -> None:
+        #: Place of each known chunk by its hash; there, where its ids begin and how many they are.
+        self.at: dict[int, int] = {}
+        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        #: Ids of single words.
+        self.words: dict[str, bytes] = {}
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> np.ndarray:
+        """Encode chunks and remember them; their places."""
+        cut = [_WORD.findall(c) for c in chunks]
+        words = self._words(set(itertools.chain.from_iterable(cut)))
+        got = [b"".join([words[w] for w in found]) for found in cut]
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        places = np.arange(len(self.size), len(self.size) + len(got))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), dtype="<u4")])
+        self.at.update(zip(hashes.tolist(), places.tolist(), strict=True))
+        return places
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word.
+
+        Words go through the tokenizer many at once, between blanks; the
+        tokens that end a word tell where each one's ids end.
+        """
+        new = [w for w in words if w not in self.words]
+        for begin in range(0, len(new), 4096):
+            part = new[begin : begin + 4096]
+            lines = [" ".join(part[k : k + 64]) for k in range(0, len(part), 64)]
+            got = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.concatenate([np.asarray(e.ids, dtype="<u4") for e in got])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer cuts words that its pattern does not")
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, (ends * 4).tolist(), strict=True):
+                self.words[w] = raw[at:end]
+                at = end
+        return self.words
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.asarray(ids, dtype="<u4").tobytes()
