@@ -90,7 +90,7 @@ def write(documents: DataFrame, target: str | None = None, *, ident: str = "doc_
         def out(rows):
             return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "local", "ids"])
 
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             end = np.asarray([END_ID], dtype=kind)
             parts = [held]
@@ -132,7 +132,7 @@ def write(documents: DataFrame, target: str | None = None, *, ident: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("slot"), pa.array(out, pa.binary())], ["shard", "slot", "record"])
 
     dealt = pieces.select(slot("part", "local").alias("slot"), "ids").withColumn("shard", F.floor(F.col("slot") / per).cast("int"))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "slot").select("shard", "slot", "ids")
+    dealt = dealt.repartition("shard").select("shard", "slot", "ids")
     records = dealt.mapInArrow(record, "shard int, slot long, record binary").sortWithinPartitions("shard", "slot")
     value = F.col("record").cast("string").alias("value")
     records.select("shard", value).write.partitionBy("shard").option("lineSep", "\0").option("compression", "none").text(f"{target}/data.tmp")

@@ -27,8 +27,8 @@ _PLAIN = re.compile(r"[\t\n\r -~¡-¬®-ÿ]*")
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 #: Bytes of a chunk: all but the blanks that plain texts can hold.
 _CHUNK = ~B.word_class((9, 10), (13, 13), (32, 32))
-#: Chunks kept in memory by one worker.
-_CACHE_CHUNKS = 600_000
+#: Chunks and words kept in memory by one worker.
+_CACHE_CHUNKS, _CACHE_WORDS = 400_000, 300_000
 
 
 def tokenizer_path(name: str = DEFAULT) -> str:
@@ -38,6 +38,44 @@ def tokenizer_path(name: str = DEFAULT) -> str:
     return public_tokenizers.path(name)
 
 
+class _Places:
+    """Places by 64-bit hash: open addressing in two arrays, many keys at a time."""
+
+    def __init__(self, bits: int = 20):
+        self.keys, self.places = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.mask = np.uint64((1 << bits) - 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where there is none."""
+        hashes = np.maximum(hashes, np.uint64(1))  # zero marks a free slot
+        out, slot, left = np.full(len(hashes), -1, np.int64), hashes & self.mask, np.arange(len(hashes))
+        while len(left):
+            held = self.keys[slot[left]]
+            hit = held == hashes[left]
+            out[left[hit]] = self.places[slot[left[hit]]]
+            left = left[~hit & (held != 0)]
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+        return out
+
+    def put(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        """Add distinct hashes that are not there."""
+        if len(places) and int(places.max()) * 4 > 3 * len(self.keys):
+            old = self.keys.nonzero()[0]
+            keys, values = self.keys[old], self.places[old]
+            self.__init__(len(self.keys).bit_length())
+            self.put(keys, values)
+        hashes = np.maximum(hashes, np.uint64(1))
+        slot, left = hashes & self.mask, np.arange(len(hashes))
+        while len(left):
+            at = slot[left]
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[left[free]]
+            won = self.keys[at] == hashes[left]
+            self.places[at[won]] = places[left[won]]
+            left = left[~won]
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -80,9 +118,9 @@ class Encoder:
         starts, ends, first = B.spans(data, offsets, _CHUNK)
         # Equal chunks of a slice are looked up once, by a 64-bit hash.
         unique, where, back = np.unique(B.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.at) > _CACHE_CHUNKS:
+        if len(self.size) > _CACHE_CHUNKS:
             self._forget()
-        known = np.fromiter(map(self.at.get, unique.tolist(), itertools.repeat(-1)), np.int64, len(unique))
+        known = self.at.find(unique)
         new = np.flatnonzero(known < 0)
         if len(new):
             known[new] = self._learn(unique[new], [bytes(data[a:b]).decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
@@ -96,7 +134,7 @@ class Encoder:
 
     def _forget(self) -> None:
         #: Place of each known chunk by its hash; there, where its ids begin and how many they are.
-        self.at: dict[int, int] = {}
+        self.at = _Places()
         self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
         #: Ids of single words.
         self.words: dict[str, bytes] = {}
@@ -111,7 +149,7 @@ class Encoder:
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), dtype="<u4")])
-        self.at.update(zip(hashes.tolist(), places.tolist(), strict=True))
+        self.at.put(hashes, places)
         return places
 
     def _words(self, words: set[str]) -> dict[str, bytes]:
@@ -120,6 +158,8 @@ class Encoder:
         Words go through the tokenizer many at once, between blanks; the
         tokens that end a word tell where each one's ids end.
         """
+        if len(self.words) > _CACHE_WORDS:
+            self.words = {}
         new = [w for w in words if w not in self.words]
         for begin in range(0, len(new), 4096):
             part = new[begin : begin + 4096]
