@@ -101,6 +101,26 @@ def chunk_digests(cells: DataFrame, *, chunk: int = 65536) -> DataFrame:
     return parts.agg(F.sha2(F.array_join(values, ",", "null"), 256).alias("digest"))
 
 
+def verify_range(cells: DataFrame, digests: DataFrame, low: int, high: int, *, chunk: int = 65536) -> DataFrame:
+    """(tensor, seq, status) of the chunks that a range touches; no other chunk is read.
+
+    A chunk without a recorded digest is indeterminate.
+    """
+    first, last = low // chunk * chunk, -(-high // chunk) * chunk
+    own = chunk_digests(cells.where((F.col("pos") >= first) & (F.col("pos") < last)), chunk=chunk)
+    both = own.join(digests.withColumnRenamed("digest", "was"), ["tensor", "seq"], "left")
+    status = F.when(F.col("was").isNull(), "indeterminate").when(F.col("was") == F.col("digest"), "valid").otherwise("invalid")
+    return both.select("tensor", "seq", status.alias("status"))
+
+
+def materialized(cells: DataFrame, declared: DataFrame) -> DataFrame:
+    """(tensor, status): whether a tensor's values in order give its declared digest (R-T08)."""
+    whole = chunk_digests(cells, chunk=1 << 62).drop("seq")
+    both = declared.withColumnRenamed("digest", "was").join(whole, "tensor", "left")
+    status = F.when(F.col("digest").isNull(), "indeterminate").when(F.col("was") == F.col("digest"), "valid").otherwise("invalid")
+    return both.select("tensor", status.alias("status"))
+
+
 def chunk_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Chunks that differ: tensor, seq, status (changed, added, removed)."""
     both = a.withColumnRenamed("digest", "da").join(b.withColumnRenamed("digest", "db"), ["tensor", "seq"], "full")

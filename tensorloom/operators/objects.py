@@ -184,3 +184,21 @@ def signature_policy(verdicts: DataFrame, *, rule: str, k: int = 1, purposes: Se
         raise ValueError(f"no rule {rule!r}")
     got = verdicts.groupBy("digest").agg(F.count_distinct(F.when(ok, F.col("key"))).alias("accepted"), F.count_distinct("key").alias("n"))
     return got.select("digest", F.when(F.col("accepted") >= need, "valid").otherwise("invalid").alias("status"), "accepted")
+
+
+def params_total(tensors: DataFrame, machinery: DataFrame) -> DataFrame:
+    """One row: elements of weights, without the tensors that only serve a scheme (R-M01)."""
+    own = tensors.where("semantic = 'weight'").join(machinery.select("name"), "name", "left_anti")
+    return own.agg(F.coalesce(F.sum("elements"), F.lit(0)).alias("params"), F.count("*").alias("tensors"))
+
+
+def lineage(parents: DataFrame, start: str, limit: int = 32) -> DataFrame:
+    """(digest, depth) of an object and everything that it descends from."""
+    edges = parents.where("parent is not null").select(F.col("digest").alias("src"), F.col("parent").alias("dst"), F.lit(0).alias("otype"))
+    return walk(edges, parents.sparkSession.createDataFrame([(start,)], "digest string"), limit=limit)
+
+
+def stat(objects: DataFrame, names: DataFrame) -> DataFrame:
+    """Objects, bytes and names per type; objects without a name count as internal."""
+    both = objects.join(names.select("digest", "name"), "digest", "left")
+    return both.groupBy("otype").agg(F.count_distinct("digest").alias("objects"), F.sum("logical_len").alias("bytes"), F.count("name").alias("named"))

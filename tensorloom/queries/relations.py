@@ -144,6 +144,39 @@ def _apply(spark, sf_dir):
     return tidy(delta.apply(a, patch, "replace"))
 
 
+@query("verify_range", f"WITH p AS ({_PAIR}) SELECT tensor, pos // 1024 AS seq, CASE WHEN count(*) FILTER (b <> t) > 0 THEN 'invalid' ELSE 'valid' END AS status FROM p WHERE pos >= 2048 AND pos < 5120 GROUP BY ALL")
+def _verified(spark, sf_dir):
+    a, b = _pair(spark, sf_dir)
+    return delta.verify_range(b, delta.chunk_digests(a, chunk=1024), 2100, 5000, chunk=1024)
+
+
+@query("materialized_digest", f"WITH p AS ({_PAIR}) SELECT tensor, CASE WHEN count(*) FILTER (b <> t) > 0 THEN 'invalid' ELSE 'valid' END AS status FROM p WHERE pos < 4096 GROUP BY tensor")
+def _materialized(spark, sf_dir):
+    a, b = (x.where("pos < 4096") for x in _pair(spark, sf_dir))
+    return delta.materialized(b, delta.chunk_digests(a, chunk=1 << 62).drop("seq"))
+
+
+@query("params_total", "SELECT CAST(sum(p_size) AS BIGINT) AS params, count(*) AS tensors FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 5 <> 0")
+def _params(spark, sf_dir):
+    part = load(spark, sf_dir, "part")
+    tensors = part.select(F.col("p_partkey").alias("name"), F.when(F.col("p_partkey") % 4 == 0, "scale").otherwise("weight").alias("semantic"), F.col("p_size").cast("long").alias("elements"))
+    return objects.params_total(tensors, part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("name")))
+
+
+@query("lineage", "SELECT CAST(k AS VARCHAR) AS digest, 20 - k AS depth FROM generate_series(1, 20) AS g(k)")
+def _lineage(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").where("o_orderkey <= 40 AND o_orderkey > 0")
+    parents = o.select(F.col("o_orderkey").cast("string").alias("digest"), F.when(F.col("o_orderkey") > 1, (F.col("o_orderkey") - 1).cast("string")).alias("parent"))
+    return objects.lineage(parents, "20").withColumn("depth", F.col("depth").cast("long"))
+
+
+@query("object_stat", "SELECT CAST(length(lang) AS INTEGER) AS otype, count(DISTINCT text) AS objects, CAST(sum(n) AS BIGINT) AS bytes, CAST(sum(k) AS BIGINT) AS named FROM (SELECT lang, text, octet_length(encode(text)) AS n, CASE WHEN min(doc_id) % 2 = 0 THEN 1 ELSE 0 END AS k FROM documents GROUP BY ALL) GROUP BY 1")
+def _stat(spark, sf_dir):
+    docs = _documents(spark, sf_dir).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min(F.char_length("lang")).alias("otype"))
+    rows = docs.select(objects.digest(F.col("text")).alias("digest"), "otype", F.octet_length("text").cast("long").alias("logical_len"), "doc_id")
+    return objects.stat(rows, rows.where("doc_id % 2 = 0").select("digest", F.col("doc_id").cast("string").alias("name")))
+
+
 # -- the object graph -----------------------------------------------------------------------
 
 
