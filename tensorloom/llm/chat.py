@@ -145,7 +145,7 @@ def format_windows(conversations: DataFrame, *, budget: int = BUDGET, history_tu
     def run(batches):
         encoder = Encoder.of(path)
         now, windows, number = object(), None, 0
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             out = []
 
             def put(window):
@@ -182,7 +182,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         def done():
             return (state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5], state[6])
 
-        for batch in slices(batches, "formatted", 1 << 20):
+        for batch in slices(batches, "formatted"):
             out = []
             for r in batch.to_pylist():
                 if state is None or r["conv_id"] != state[0]:

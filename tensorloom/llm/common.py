@@ -11,7 +11,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one Python step works on at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
+
+
+#: Rows of an Arrow batch: documents can be long, and a batch is held whole on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound Arrow batches by ``BATCH_ROWS``, unless the session has its own bound."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,13 +54,13 @@ def staged(df: DataFrame, tag: str, *, codec: str = "zstd") -> DataFrame:
     The written table cuts the lineage: a later failure reads it again instead
     of computing it anew, whichever executor is lost.
     """
-    path = fresh_dir(df.sparkSession, tag)
+    path = fresh_dir(small_batches(df.sparkSession), tag)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -67,6 +79,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
                 begin, total = i, 0
             total += int(n)
         yield batch.slice(begin)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def with_fields(df: DataFrame, **types: str):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
-from .common import slices, with_fields
+from .common import slices, small_batches, with_fields
 
 U64 = np.uint64
 BITS, DIM = 16, 16
@@ -155,7 +155,7 @@ def fit(documents: DataFrame, *, lang: str = "lang", per_language: int = ROWS_PE
 
     def learn(batches):
         got, names, ids = [], [], []
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             got += _rows(batch.column("text"))
             names += batch.column("lang").to_pylist()
             ids += batch.column("doc_id").to_pylist()
@@ -173,13 +173,13 @@ def fit(documents: DataFrame, *, lang: str = "lang", per_language: int = ROWS_PE
 
 def identify(documents: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """Add lang_pred, score and accepted to every row (replaced if there)."""
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    held = small_batches(documents.sparkSession).sparkContext.broadcast(model)
     new = ["lang_pred", "score", "accepted"]
     kept = [c for c in documents.columns if c not in new]
     base = documents.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches):
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text):
             names, score, accepted = held.value.predict(batch.column(text))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score), pa.array(accepted)], [*kept, *new])
 

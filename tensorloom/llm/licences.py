@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
-from .common import slices, with_fields
+from .common import slices, small_batches, with_fields
 
 #: Base phrases and their labels (fixed values).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -230,6 +230,7 @@ _SPAN = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end
 def scan(documents: DataFrame, *, text: str = "text", templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     """Add word counts, places of base phrases, labels, score and covered spans to every row."""
     kept = [c for c in documents.columns if c not in _NEW]
+    small_batches(documents.sparkSession)
     base = documents.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches):

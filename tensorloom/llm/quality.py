@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
-from .common import slices, with_fields
+from .common import slices, small_batches, with_fields
 
 U64 = np.uint64
 BITS = 17
@@ -151,7 +151,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) ->
 
     def learn(batches):
         got, ys, ids = [], [], []
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             got += _rows(batch.column("text"))
             ys += batch.column("quality").to_pylist()
             ids += batch.column("doc_id").to_pylist()
@@ -167,12 +167,12 @@ def fit(documents: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) ->
 
 def score(documents: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:
     """Add the score of each whole text in column ``out`` (replaced if there)."""
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    held = small_batches(documents.sparkSession).sparkContext.broadcast(model)
     kept = [c for c in documents.columns if c != out]
     base = documents.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches):
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text):
             scores = pa.array(held.value.predict(batch.column(text)), pa.float64())
             columns = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, scores], [*kept, out])
