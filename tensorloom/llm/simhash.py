@@ -385,7 +385,9 @@ def wide_links(distinct: DataFrame, *, words: int = WORDS, part: float = WIDE_PA
     schema = ", ".join(f"{c} long" for c in ["a", "b", "key", *names])
     rows = distinct.select("fp", *names).mapInArrow(emit, "key long, fp long")
     rows = rows.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp").mapInArrow(crowded, "key long, fp long")
-    held = staged(rows, "crowded").join(distinct.select("fp", *names), "fp").select("key", *names)
+    # A signature has at most 18 keys a word, and is joined once, not once a key.
+    shared = staged(rows, "crowded").groupBy("fp").agg(F.collect_set("key").alias("keys"))
+    held = shared.join(distinct.select("fp", *names), "fp").select(F.explode("keys").alias("key"), *names)
     dealt = held.repartitionByRange("key", *names[:2]).sortWithinPartitions("key", *names)
     met = staged(dealt.mapInArrow(meet(False), schema), "links")
     left = met.where("key is not null").select("key", *names).distinct()
