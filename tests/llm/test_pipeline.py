@@ -31,3 +31,14 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_benchmark_stage_drops_one_item(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, f"before it {item} and after it"), (2, item), (3, "clean words that no item holds"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.benchmark_stage(spark, docs, SF).collect()) == [3, 4]
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    hit = {r.doc_id for r in decontaminate.report(given, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_items > 0").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.benchmark_stage(spark, given, SF).collect()}
+    assert hit and kept == {r.doc_id for r in given.collect()} - hit
