@@ -16,10 +16,10 @@ and of groups that a partition's edge cuts, take an exact other way: two
 fingerprints link if and only if they share a point at one bit from both, and
 at most 65 fingerprints lie around a point.
 
-Near copies that share 0.8 of their shingles differ in about ten bits of 64.  For
-them a signature of several fingerprints is used (:func:`signatures`): each word
-gives keys as above, and pairs are verified by all words.  About 0.93 of pairs with
-a similarity of 0.9 meet, nearly all from 0.95 on, and fewer towards 0.8.
+Near copies (:func:`near_classes`) are pairs whose sets of shingles have a Jaccard
+similarity of 0.8 or more, which is computed exactly for every candidate pair.
+Candidates agree in all ``BAND_ROWS`` minima of one of ``BANDS`` bands; a pair at
+exactly 0.8 fails to with a probability of 5e-7, a more similar one with less.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any
 other.  Components hold all rows of a fingerprint; a component's id is its
@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import mix
@@ -45,9 +45,8 @@ SHINGLE = 5
 DISTANCE = 2
 #: (shift, width) of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Words of the signature that finds near copies, and the part of its bits that may differ:
-#: that part stands for five-word shingles of which 0.8 are shared.
-WORDS, WIDE_PART = 12, 0.151
+#: Minima of shingles that find candidates for near copies: bands, and minima in each.
+BANDS, BAND_ROWS = 48, 6
 #: Groups up to this size are compared in place; larger ones take the other exact way.
 GROUP_ROWS = 128
 
@@ -125,28 +124,24 @@ def _majority(h: np.ndarray) -> int:
     return int(sum(1 << b for b in range(64) if 2 * counts[b] > len(h)))
 
 
-def signature(text: str | None, size: int, words: int) -> list[int]:
-    """``words`` fingerprints over the shingles of ``size`` words; no word gives zeros.
-
-    The first is of the shingles' XXH64 (seed 42) themselves, the others of
-    further hashes made from it.
-    """
+def hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of all shingles of ``size`` words; a shorter text is one shingle, no word gives none."""
     joined = b" ".join((text or "").encode().lower().split())
     if not joined:
-        return [0] * words
+        return np.zeros(0, dtype=U64)
     space = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
     starts = np.concatenate([[0], space + 1])
     ends = np.concatenate([space, [len(joined)]])
     n = max(1, len(starts) - size + 1)
     digest = xxhash.xxh64_intdigest
     last = ends[min(size, len(starts)) - 1 :]
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last[:n].tolist(), strict=True)), U64, n)
-    return [_majority(h if not k else mix(h + U64(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(words)]
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last[:n].tolist(), strict=True)), U64, n)
 
 
 def fingerprint(text: str | None, size: int) -> int:
-    """Majority bits of the XXH64 (seed 42) of all shingles of ``size`` words."""
-    return signature(text, size, 1)[0]
+    """Majority bits of the hashes of all shingles of ``size`` words."""
+    h = hashes(text, size)
+    return _majority(h) if len(h) else 0
 
 
 def fingerprints(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -243,173 +238,109 @@ def links(distinct: DataFrame, *, column: str = "fp") -> DataFrame:
     return near.unionByName(far)
 
 
-# -- several fingerprints, for texts that share most of their shingles ----------------
+# -- near copies: texts that share most of their shingles ------------------------------
+
+#: An odd factor for each minimum: a permutation of the hashes.
+_FACTORS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=U64)) | U64(1)
+
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; no word gives the set of zero."""
+    h = hashes(text, size)
+    return np.unique(h) if len(h) else np.zeros(1, dtype=U64)
 
-def signature_id(words: np.ndarray) -> np.ndarray:
-    """One 64-bit number for each row of a signature's words."""
-    out = np.zeros(len(words), dtype=U64)
-    for k in range(words.shape[1]):
-        out = mix(out + words[:, k] + U64(k + 1))
+
+def set_number(h: np.ndarray) -> int:
+    """One 64-bit number for a set, as :func:`shingle_set` gives it."""
+    return xxhash.xxh64_intdigest(h.tobytes(), 42)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band: of its minima under ``BAND_ROWS`` permutations of the set."""
+    least = np.full(len(_FACTORS), U64(0xFFFFFFFFFFFFFFFF))
+    for begin in range(0, len(h), 1024):
+        least = np.minimum(least, np.multiply.outer(_FACTORS, h[begin : begin + 1024]).min(axis=1))
+    out = np.arange(1, BANDS + 1, dtype=U64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        out = mix(out + row)
     return out
 
 
-def _signed(values: np.ndarray) -> pa.Array:
-    return pa.array(values.astype(U64).view(np.int64))
+def _signed(values) -> pa.Array:
+    return pa.array(np.asarray(values, dtype=U64).view(np.int64))
+
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *(len(r) for r in rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate(rows)))
 
-def signatures(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the signature's number) and words s0, s1, ... of every row's whole text."""
-    names = [f"s{k}" for k in range(words)]
+
+def signatures(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, th (a hash of the text), fp (the number of its set of shingles), n (the set's size) and the bands' keys."""
 
     def run(batches):
         for batch in slices(batches, "text"):
-            got = np.array([signature(t, shingle, words) for t in batch.column("text").to_pylist()], dtype=U64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed(signature_id(got)), *(_signed(got[:, k]) for k in range(words))], ["doc_id", "fp", *names])
+            sets = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
+            columns = [_signed([set_number(h) for h in sets]), pa.array([len(h) for h in sets], pa.int64()), _lists([band_keys(h) for h in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *columns], ["doc_id", "th", "fp", "n", "keys"])
 
-    rows = documents.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *names]))
+    rows = documents.select(F.col(ident).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp long, n long, keys array<long>")
 
 
-def _reach(words: np.ndarray, most: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """A forest of the links in a group, and one row of each of its components.
+def _sets(documents: DataFrame, wanted: DataFrame, *, text: str, shingle: int) -> DataFrame:
+    """fp and set (its hashes) of the texts whose hash is among ``wanted``."""
 
-    Each row found is compared with those not yet found only, so a group of
-    copies of one text takes about one pass and no pairs are made.
-    """
-    rest = np.arange(len(words))
-    edges, heads = [], []
-    while len(rest):
-        heads.append(int(rest[0]))
-        queue, rest = [int(rest[0])], rest[1:]
-        while queue and len(rest):
-            x = queue.pop()
-            near = np.bitwise_count(words[rest] ^ words[x]).sum(axis=1, dtype=np.int64) <= most
-            edges += [(x, int(y)) for y in rest[near]]
-            queue += rest[near].tolist()
-            rest = rest[~near]
-    return edges, heads
-
-
-def wide_links(distinct: DataFrame, *, words: int = WORDS, part: float = WIDE_PART) -> DataFrame:
-    """Edges (a, b) between numbers of distinct signatures of which ``part`` of the bits differ at most.
-
-    ``distinct`` has fp and the words s0, s1, ...  Every word gives the keys
-    that a single fingerprint gives, so a pair has as many chances to meet as
-    there are words.  Keys travel with the signature's number alone; only
-    members of groups, few as a rule, are joined with their words and verified.
-    Groups that a partition's edge cuts are joined through one signature of
-    each of their components.
-    """
-    names, most = [f"s{k}" for k in range(words)], int(part * 64 * words)
+    def run(batches):
+        for batch in slices(batches, "text"):
+            sets = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([_signed([set_number(h) for h in sets]), _lists(sets)], ["fp", "set"])
 
-    def emit(batches):
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 8000):
-                part = batch.slice(begin, 8000)
-                ids = part.column("fp").to_numpy(zero_copy_only=False)
-                for k, c in enumerate(names):
-                    rows, out = keys(part.column(c).to_numpy(zero_copy_only=False).view(U64))
-                    yield pa.RecordBatch.from_arrays([pa.array(out | (np.int64(k) << np.int64(40))), pa.array(ids[rows])], ["key", "fp"])
-
-    def crowded(batches):
-        """Rows whose key is not alone; those at a partition's edge may not be."""
-        last = None  # the row before, its key, and whether it was given
-        first = True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            shared = np.zeros(len(k), dtype=bool)
-            shared[1:] = k[1:] == k[:-1]
-            shared[:-1] |= shared[1:]
-            extra = []
-            if last is not None and last[0] == k[0]:
-                shared[0] = True
-                if not last[2]:
-                    extra = [last[:2]]
-            if first:
-                shared[k == k[0]] = True
-                first = False
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([e[0] for e in extra], np.int64), k[shared]])), pa.array(np.concatenate([np.array([e[1] for e in extra], np.int64), v[shared]]))], ["key", "fp"])
-            last = (int(k[-1]), int(v[-1]), bool(shared[-1]))
-        if last is not None and not last[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]])], ["key", "fp"])
-
-    def meet(final: bool):
-        def run(batches):
-            def groups():
-                now, held = None, []
-                for batch in batches:
-                    all_keys = batch.column(0).to_numpy(zero_copy_only=False)
-                    values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1).view(U64) if batch.num_rows else np.zeros((0, words), U64)
-                    cuts = np.flatnonzero(np.append(True, all_keys[1:] != all_keys[:-1])).tolist() if len(all_keys) else []
-                    for c, d in zip(cuts, [*cuts[1:], len(all_keys)], strict=True):
-                        if held and all_keys[c] != now:
-                            yield now, np.concatenate(held)
-                            held = []
-                        now = int(all_keys[c])
-                        held.append(values[c:d])
-                if held:
-                    yield now, np.concatenate(held)
-
-            def pack(pairs, left):
-                a, b = (np.array([p[i] for p in pairs], dtype=U64) for i in (0, 1))
-                none = pa.nulls(len(left), pa.int64())
-                columns = [pa.chunked_array([_signed(x), none]).combine_chunks() for x in (a, b)]
-                tail = np.array([w for _, w in left], dtype=U64).reshape(-1, words)
-                columns.append(pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array([k for k, _ in left], pa.int64())]).combine_chunks())
-                columns += [pa.chunked_array([pa.nulls(len(a), pa.int64()), _signed(tail[:, k])]).combine_chunks() for k in range(words)]
-                return pa.RecordBatch.from_arrays(columns, ["a", "b", "key", *names])
-
-            pairs, left, last = [], [], None
-            for number, (key, values) in enumerate(groups()):
-                if last:
-                    left += [(last[0], w) for w in last[1]] if last[2] else []
-                last = None
-                heads = [0]
-                if len(values) > 1:
-                    edges, heads = _reach(values, most)
-                    ids = signature_id(values)
-                    pairs += [(ids[x], ids[y]) for x, y in edges]
-                last = (key, values[heads], number == 0)
-                if len(pairs) > 50_000:
-                    yield pack(pairs, left)
-                    pairs, left = [], []
-            if last and not final:
-                left += [(last[0], w) for w in last[1]]
-            yield pack(pairs, [] if final else left)
-
-        return run
-
-    schema = ", ".join(f"{c} long" for c in ["a", "b", "key", *names])
-    rows = distinct.select("fp", *names).mapInArrow(emit, "key long, fp long")
-    rows = rows.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp").mapInArrow(crowded, "key long, fp long")
-    # A signature has at most 18 keys a word, and is joined once, not once a key.
-    shared = staged(rows, "crowded").groupBy("fp").agg(F.collect_set("key").alias("keys"))
-    held = shared.join(distinct.select("fp", *names), "fp").select(F.explode("keys").alias("key"), *names)
-    dealt = held.repartitionByRange("key", *names[:2]).sortWithinPartitions("key", *names)
-    met = staged(dealt.mapInArrow(meet(False), schema), "links")
-    left = met.where("key is not null").select("key", *names).distinct()
-    again = left.repartition("key").sortWithinPartitions("key", *names).mapInArrow(meet(True), schema)
-    return met.where("a is not null").select("a", "b").unionByName(again.select("a", "b")).distinct()
-
-
-def classes(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE, words: int = 1) -> DataFrame:
-    """One row per input row: doc_id, fp, component_id (its smallest doc_id).
+    rows = documents.select(F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text")).join(wanted.select("th"), "th", "left_semi")
+    return rows.dropDuplicates(["th"]).select("text").mapInArrow(run, "fp long, set array<long>").dropDuplicates(["fp"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more."""
+    own, other = (sets.select(F.col("fp").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    both = pairs.join(own, "a").join(other, "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    # shared / (sizes - shared) >= 4 / 5
+    return both.where(9 * shared >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b")
+
+
+def _sized(a, b):
+    """Sets whose sizes differ by more cannot have a similarity of 0.8."""
+    return (5 * a >= 4 * b) & (5 * b >= 4 * a)
+
+
+def near_links(documents: DataFrame, distinct: DataFrame, *, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """Edges (a, b) between distinct sets that connect what pairs of a similarity of 0.8 connect.
 
-    With one word, fingerprints link at ``DISTANCE`` bits, and no link is
-    missed.  With several, signatures link where ``WIDE_PART`` of their bits differ at most.
+    ``distinct`` has fp, th, n and keys.  All members of a key's group are first
+    held against the group's least one, so copies of one text take one pass and
+    not all their pairs.  Then every pair of a group that is not yet connected
+    is held against each other, however large the group is.
     """
-    if words == 1:
-        rows = staged(fingerprints(documents, ident=ident, text=text, shingle=shingle), "fingerprints")
-        distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-        labels = components(links(distinct))
-    else:
-        rows = staged(signatures(documents, ident=ident, text=text, shingle=shingle, words=words), "signatures")
-        distinct = staged(rows.groupBy("fp", *(f"s{k}" for k in range(words))).agg(F.min("doc_id").alias("least")), "distinct")
-        labels = components(wide_links(distinct, words=words))
-        distinct = distinct.select("fp", "least")
+    each = distinct.select("fp", "n", F.explode("keys").alias("key"))
+    group = Window.partitionBy("key")
+    met = each.withColumns({"head": F.min(F.struct("fp", "n")).over(group), "last": F.max("fp").over(group)}).where("head.fp <> last").select("key", "fp", "n", "head")
+    met = staged(met, "groups")
+    sets = staged(_sets(documents, distinct.join(met.select("fp").distinct(), "fp", "left_semi"), text=text, shingle=shingle), "sets")
+    first = staged(met.where("fp <> head.fp").where(_sized(F.col("n"), F.col("head.n"))).select(F.col("head.fp").alias("a"), F.col("fp").alias("b")).distinct(), "first-pairs")
+    links = staged(_alike(first, sets), "first-links")
+    roots = components(links).select(F.col("node").alias("fp"), "root")
+    rest = met.select("key", "fp", "n").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ends = {"low": F.min("root").over(group), "high": F.max("root").over(group)}
+    rest = staged(rest.withColumns(ends).where("low <> high").select("key", "fp", "n", "root"), "open-groups")
+    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "root"))) for x in "ab")
+    pairs = a.join(b, "key").where("fp_a < fp_b AND root_a <> root_b").where(_sized(F.col("n_a"), F.col("n_b")))
+    pairs = pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+    pairs = staged(pairs.join(first, ["a", "b"], "left_anti"), "other-pairs")
+    return links.unionByName(_alike(pairs, sets))
+
+
+def _classes(rows: DataFrame, distinct: DataFrame, labels: DataFrame) -> DataFrame:
     named = distinct.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     moved = named.where("root <> fp").select("root").distinct()
     # Only components of several fingerprints need another minimum.
@@ -420,11 +351,30 @@ def classes(documents: DataFrame, *, ident: str = "doc_id", text: str = "text",
     return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def survivors(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE, words: int = WORDS) -> DataFrame:
+def classes(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row per input row: doc_id, fp, component_id (its smallest doc_id).
+
+    Fingerprints link at ``DISTANCE`` bits, and no link is missed.
+    """
+    rows = staged(fingerprints(documents, ident=ident, text=text, shingle=shingle), "fingerprints")
+    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    return _classes(rows, distinct, components(links(distinct)))
+
+
+def near_classes(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """Like :func:`classes`, with links between texts that share 0.8 of their shingles; fp is a set's number."""
+    rows = staged(signatures(documents, ident=ident, text=text, shingle=shingle), "signatures")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("th", "n", "keys")).alias("own"))
+    distinct = staged(distinct.select("fp", "least", "own.*"), "distinct")
+    labels = components(near_links(documents, distinct, text=text, shingle=shingle))
+    return _classes(rows.select("doc_id", "fp"), distinct.select("fp", "least"), labels)
+
+
+def survivors(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The input's rows and columns, one row for each component: that of the smallest doc_id.
 
     Rows with a null doc_id stay, since nothing names them; repeated rows of
     one doc_id collapse only in :mod:`exactdup`.
     """
-    gone = classes(documents, ident=ident, text=text, shingle=shingle, words=words).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    gone = near_classes(documents, ident=ident, text=text, shingle=shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return documents.join(gone, F.col(ident) == F.col("_gone"), "left_anti")

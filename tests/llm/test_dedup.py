@@ -171,3 +171,58 @@ def test_near_copies_are_caught_and_others_left(spark):
             groups[len(rows) - 1] = g
     kept = [r.doc_id for r in simhash.survivors(documents(spark, rows)).collect()]
     assert Counter(groups[d] for d in kept) == Counter(range(30))
+
+
+def _shingles(text, size=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+
+
+def _brute_near(rows):
+    """The smallest doc_id of each row's component of pairs at a Jaccard similarity of 0.8 or more."""
+    sets, root = [_shingles(t) for _, t in rows], list(range(len(rows)))
+    by_shingle = defaultdict(list)
+    for i, own in enumerate(sets):
+        for x in own:
+            by_shingle[x].append(i)
+    shared = Counter((i, j) for at in by_shingle.values() for i in at for j in at if i < j)
+    links = {(i, j): n / (len(sets[i]) + len(sets[j]) - n) for (i, j), n in shared.items()}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, j), n in shared.items():
+        if 9 * n >= 4 * (len(sets[i]) + len(sets[j])):
+            root[find(j)] = find(i)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return {d: least[find(i)] for i, (d, _) in enumerate(rows)}, links
+
+
+def _edited(rng, words, changes, tag):
+    out = list(words)
+    for at in rng.choice(len(out), changes, replace=False):
+        out[at] = f"{tag}x{at}"
+    return out
+
+
+def _random_words(rng, n):
+    return ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+
+
+def _near(spark, rows):
+    return {r.doc_id: r.component_id for r in simhash.near_classes(documents(spark, rows)).collect()}
+
+
+def test_near_copies_at_the_threshold_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(80):
+        base = _random_words(rng, 300)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(_edited(rng, base, 5 + g % 4, f"g{g}")))]
+    want, links = _brute_near(rows)
+    assert sum(0.8 <= j < 0.85 for j in links.values()) > 20
+    assert _near(spark, rows) == want
