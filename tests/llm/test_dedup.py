@@ -226,3 +226,17 @@ def test_near_copies_at_the_threshold_against_brute_force(spark):
     want, links = _brute_near(rows)
     assert sum(0.8 <= j < 0.85 for j in links.values()) > 20
     assert _near(spark, rows) == want
+
+
+def test_texts_below_the_threshold_are_not_dropped(spark):
+    rng = np.random.default_rng(6)
+    line, rows = "one line that many texts repeat again and again", []
+    for g in range(80):
+        base = _random_words(rng, 300)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(_edited(rng, base, 7 + g % 4, f"g{g}")))]
+    for _ in range(6):  # the line's shingles count once each, however often it comes
+        rows.append((len(rows), " ".join([line] * 200 + _random_words(rng, 60))))
+    want, links = _brute_near(rows)
+    assert sum(0.72 <= j < 0.8 for j in links.values()) > 20
+    assert _near(spark, rows) == want
+    assert {r.doc_id for r in simhash.survivors(documents(spark, rows)).collect()} == set(want.values())
