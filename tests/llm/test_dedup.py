@@ -240,3 +240,19 @@ def test_texts_below_the_threshold_are_not_dropped(spark):
     assert sum(0.72 <= j < 0.8 for j in links.values()) > 20
     assert _near(spark, rows) == want
     assert {r.doc_id for r in simhash.survivors(documents(spark, rows)).collect()} == set(want.values())
+
+
+def test_links_of_a_group_over_many_partitions(spark):
+    """Copies of one text that are about 0.8 alike among each other, the text itself left out."""
+    rng = np.random.default_rng(7)
+    base = _random_words(rng, 300)
+    rows = [(i, " ".join(_edited(rng, base, 3 + i % 4, f"c{i}"))) for i in range(150)]
+    rows += [(150 + i, " ".join(_edited(rng, base, 8, f"f{i}"))) for i in range(20)]  # joined by few others or none
+    want, _ = _brute_near(rows)
+    assert 20 < len(set(want.values())) < 100
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert _near(spark, rows) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
