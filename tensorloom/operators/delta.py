@@ -136,8 +136,8 @@ def diff(base: DataFrame, tuned: DataFrame) -> DataFrame:
     return got.select("tensor", status.alias("status"), "changed", "max_change", "mean_change")
 
 
-def low_rank(changes: DataFrame, rows: int, columns: int, rank: int, *, steps: int = 30, seed: int = 0) -> DataFrame:
-    """Factors of each tensor's change by power iteration with deflation.
+def low_rank(changes: DataFrame, rows: int, columns: int, rank: int) -> DataFrame:
+    """Factors of each tensor's change: its largest singular values with their vectors.
 
     ``changes`` has tensor, pos and v; returns tensor, k, sigma, side, i and x.
     A tensor is worked on whole, so this is for matrices that fit one task.
@@ -146,27 +146,10 @@ def low_rank(changes: DataFrame, rows: int, columns: int, rank: int, *, steps: i
     def factor(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.zeros(rows * columns)
         m[pdf["pos"].to_numpy()] = pdf["v"].to_numpy()
-        m = m.reshape(rows, columns)
-        rng = np.random.default_rng(seed)
+        left, sigmas, right = np.linalg.svd(m.reshape(rows, columns), full_matrices=False)
         out = []
         for k in range(min(rank, rows, columns)):
-            v = rng.normal(size=columns)
-            v /= np.linalg.norm(v)
-            for _ in range(steps):
-                u = m @ v
-                n = np.linalg.norm(u)
-                if n == 0:
-                    break
-                u /= n
-                v = m.T @ u
-                sigma = np.linalg.norm(v)
-                if sigma == 0:
-                    break
-                v /= sigma
-            u = m @ v
-            sigma = float(np.linalg.norm(u))
-            u = u / sigma if sigma else u
-            m = m - sigma * np.outer(u, v)
+            u, sigma, v = left[:, k], float(sigmas[k]), right[k]
             out += [(pdf["tensor"].iloc[0], k, sigma, "u", i, x) for i, x in enumerate(u)]
             out += [(pdf["tensor"].iloc[0], k, sigma, "v", i, x) for i, x in enumerate(v)]
         return pd.DataFrame(out, columns=["tensor", "k", "sigma", "side", "i", "x"])

@@ -62,7 +62,9 @@ def _parallel(spark, sf_dir):
 
 @query("dare_merge")
 def _dare(spark, sf_dir):
-    return tidy(merge.dare(_halves(spark, sf_dir), 0.5, seed=7))
+    e = vectors(spark, sf_dir)
+    n, width = e.shape  # the left and the right half of all rows are two deltas
+    return tidy(merge.dare([structure.slice_(e, [0, 0], [n, width // 2]), structure.slice_(e, [0, width // 2], [n, width])], 0.5, seed=7))
 
 
 @query("lora_apply", f"WITH e AS ({FIRST}), d AS (SELECT b.r, a.c, sum(a.v * b.v) AS v FROM e a JOIN e b ON b.c = a.r AND a.r < 4 AND b.c < 4 GROUP BY ALL) SELECT e.r * 64 + e.c AS pos, round(e.v + 2 * d.v, 5) + 0.0 AS v FROM e JOIN d USING (r, c)")
@@ -133,8 +135,9 @@ def _report(spark, sf_dir):
 
 @query("lowrank_delta")
 def _lowrank(spark, sf_dir):
-    rows = vectors(spark, sf_dir, ROWS).cells().withColumn("tensor", F.lit("e")).select("tensor", "pos", "v")
-    return delta.low_rank(rows, ROWS, 64, 3).select("tensor", "k", F.round("sigma", 4).alias("sigma")).distinct()
+    e = vectors(spark, sf_dir)
+    rows = e.cells().withColumn("tensor", F.lit("e")).select("tensor", "pos", "v")
+    return delta.low_rank(rows, *e.shape, 3).select("tensor", "k", F.round("sigma", 4).alias("sigma")).distinct()
 
 
 @query("delta_apply", f"WITH e AS ({FIRST}) SELECT a.r * 64 + a.c AS pos, round(CASE WHEN b.v > 0 THEN b.v ELSE a.v END, 6) + 0.0 AS v FROM e a JOIN e b ON b.r = a.r + 10 AND a.c = b.c")
