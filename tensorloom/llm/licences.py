@@ -57,27 +57,31 @@ class SuffixAutomaton:
     """Generalised suffix automaton over sequences of word numbers.
 
     Each state holds its longest length, its suffix link, its moves, and for
-    each sequence one place where its words end.
+    each sequence one place (``ends``) and all places where its words end.
     """
 
     def __init__(self, sequences: list[list[int]]):
         self.length, self.link, self.next = [0], [-1], [{}]
         self.ends: list[dict[int, int]] = [{}]
+        self.places: list[dict[int, set[int]]] = [{}]
         for number, sequence in enumerate(sequences):
             last = 0
             for place, word in enumerate(sequence):
                 last = self._extend(last, word)
                 self.ends[last].setdefault(number, place)
+                self.places[last].setdefault(number, set()).add(place)
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
             for number, place in self.ends[state].items():
                 if self.link[state] > 0:
                     self.ends[self.link[state]].setdefault(number, place)
+                    self.places[self.link[state]].setdefault(number, set()).update(self.places[state][number])
 
     def _new(self, length: int, link: int, moves: dict) -> int:
         self.length.append(length)
         self.link.append(link)
         self.next.append(moves)
         self.ends.append({})
+        self.places.append({})
         return len(self.length) - 1
 
     def _split(self, p: int, q: int, word: int) -> int:
@@ -190,19 +194,10 @@ class Scanner:
             if b - a < LEAST_WORDS:
                 continue
             for last, n, state in self.automaton.stretches(ids[a:b].tolist(), LEAST_WORDS):
-                for template, end in self.automaton.ends[state].items():
-                    by_template.setdefault(template, []).append((a + last - n + 1, end - n + 1, n))
+                for template, places in self.automaton.places[state].items():
+                    by_template.setdefault(template, []).extend((a + last - n + 1, end - n + 1, n) for end in places)
         for template, found in by_template.items():
-            found.sort()
-            chains: list[list] = []  # first word, next word, next template word, words covered
-            for start, place, n in found:
-                for c in reversed(chains[-4:]):
-                    if 0 <= start - c[1] <= MOST_GAP and 0 <= place - c[2] <= MOST_GAP:
-                        c[1], c[2], c[3] = start + n, place + n, c[3] + n
-                        break
-                else:
-                    chains.append([start, start + n, place + n, n])
-            for start, end, _, covered in chains:
+            for start, end, covered in _best_chains(sorted(found)):
                 cover = min(1.0, covered / self.sizes[template])
                 row["score"] = max(row["score"], cover)
                 if cover >= LEAST_COVER:
@@ -210,6 +205,36 @@ class Scanner:
                     row["spans"].append((self.labels[template], start, end, cover))
 
 
+def _best_chains(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(first word, next word, words covered) of chains of stretches (first word, template word, length) in order.
+
+    Each stretch follows the one that gives it the most cover among all that
+    end within ``MOST_GAP`` before it, in the text and in the template.  The
+    chain of most cover is taken first, and no stretch of words twice.
+    """
+    covered, before, ends = [], [], []
+    open_: list[int] = []  # later stretches can still follow these
+    for k, (start, place, n) in enumerate(found):
+        open_ = [j for j in open_ if start - ends[j][0] <= MOST_GAP]
+        fit = [j for j in open_ if ends[j][0] <= start and 0 <= place - ends[j][1] <= MOST_GAP]
+        best = max(fit, key=lambda j: (covered[j], j), default=-1)
+        covered.append(n + (covered[best] if best >= 0 else 0))
+        before.append(best)
+        ends.append((start + n, place + n))
+        open_.append(k)
+    out, used = [], set()
+    for k in sorted(range(len(found)), key=lambda k: (-covered[k], k)):
+        end, total, first = ends[k][0], 0, None
+        while k >= 0 and found[k][0] not in used:
+            first = found[k][0]
+            used.add(first)
+            total += found[k][2]
+            k = before[k]
+        if first is not None:
+            out.append((first, end, total))
+    return sorted(out)
+
+
 def _fours(ids: np.ndarray) -> np.ndarray:
     """Each four successive word numbers as one; -1 where one is unknown."""
     n = len(ids) - 3

@@ -140,6 +140,18 @@ def test_automaton_gives_matching_statistics():
             assert seqs[s][end - n + 1 : end + 1] == text[i - n + 1 : i + 1]
 
 
+def test_licence_stretches_that_repeat_in_a_template():
+    """A stretch may follow from its second place, and any open chain may go on."""
+    sam = licences.SuffixAutomaton([[1, 2, 3, 4, 5, 1, 2, 3, 4, 6]])
+    (match,) = sam.stretches([1, 2, 3, 4], 4)
+    assert sam.places[match[2]] == {0: {3, 8}}
+    # The first stretch lies at two places; only the second one leads on to the next.
+    assert licences._best_chains([(0, 0, 10), (0, 50, 10), (12, 62, 20)])[0] == (0, 32, 30)
+    # Five chains are open, and the oldest one goes on.
+    crowd = [(i, 100 * i, 4) for i in range(5)]
+    assert (0, 18, 14) in licences._best_chains([*crowd, (8, 4, 10)])
+
+
 # -- decontamination ------------------------------------------------------------------------------
 
 
