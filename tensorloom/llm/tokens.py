@@ -4,7 +4,9 @@ Most words of a corpus repeat, so for texts of plain Latin letters what stands
 between blanks, and within it the words that the tokenizer's own pattern cuts
 out, are encoded once and looked up afterwards.  Any text with another
 character, or with one of the special tokens' strings, goes through the
-tokenizer whole.  Both ways give the same ids.
+tokenizer whole.  Chunks are found by a 64-bit hash and then compared byte by
+byte; a text with a chunk that only shares its hash with another goes through
+the tokenizer whole, too.  Both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -124,18 +126,37 @@ class Encoder:
         new = np.flatnonzero(known < 0)
         if len(new):
             known[new] = self._learn(unique[new], [bytes(data[a:b]).decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
-        begin, n = self.begin[known][back], self.size[known][back]
+        place = known[back]
+        for i in np.unique(np.searchsorted(first, self._unlike(data, starts, ends, place), side="right") - 1).tolist():
+            out[plain[i]] = _packed(self.tokenizer.encode(texts[plain[i]], add_special_tokens=False).ids)
+        begin, n = self.begin[place], self.size[place]
         before = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(begin - before[:-1], n) + np.arange(before[-1])]
         packed, cuts = ids.tobytes(), (before[first] * 4).tolist()
         for i, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True):
-            out[i] = packed[a:b]
+            if out[i] is None:
+                out[i] = packed[a:b]
         return out
 
+    def _unlike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Numbers of the chunks whose bytes are not those at their place."""
+        size = ends - starts
+        bad = size != self.text_size[place]
+        size = np.where(bad, 0, size)
+        stops = np.cumsum(size)
+        step = np.arange(stops[-1] if len(stops) else 0)
+        own = np.repeat(starts - stops + size, size) + step
+        held = np.repeat(self.text_begin[place] - stops + size, size) + step
+        differ = np.flatnonzero(data[own] != self.text[held])
+        bad[np.searchsorted(stops, differ, side="right")] = True
+        return np.flatnonzero(bad)
+
     def _forget(self) -> None:
         #: Place of each known chunk by its hash; there, where its ids begin and how many they are.
         self.at = _Places()
         self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        #: The bytes of known chunks, one after another; where each begins and how many it has.
+        self.text, self.text_begin, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
         #: Ids of single words.
         self.words: dict[str, bytes] = {}
 
@@ -149,6 +170,11 @@ class Encoder:
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), dtype="<u4")])
+        raw = [c.encode() for c in chunks]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.text_begin = np.concatenate([self.text_begin, len(self.text) + np.cumsum(size) - size])
+        self.text_size = np.concatenate([self.text_size, size])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(raw), np.uint8)])
         self.at.put(hashes, places)
         return places
 

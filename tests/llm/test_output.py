@@ -25,6 +25,27 @@ def test_encoder_equals_the_library(spark):
     assert got == [x[:-1].tobytes() for x in _ids(texts)]
 
 
+def _thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_chunks_of_equal_hash_keep_their_own_ids(n):
+    one, other = _thue_morse(n, "a", "b"), _thue_morse(n, "b", "a")
+    texts = [one, "x", other, f"{other} {one}", f"x {one}", other]
+    assert tokens.Encoder(tokens.tokenizer_path()).encode(texts) == [x[:-1].tobytes() for x in _ids(texts)]
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    assert [encoder.encode([t])[0] for t in texts] == [x[:-1].tobytes() for x in _ids(texts)]
+
+
+def test_encoder_equals_the_library_on_random_texts():
+    rng = np.random.default_rng(4)
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    for _ in range(5):
+        texts = ["".join(rng.choice(list("abcde fg'1.\té½"), int(rng.integers(0, 200)))) for _ in range(200)]
+        assert encoder.encode(texts) == [x[:-1].tobytes() for x in _ids(texts)]
+
+
 def _check_packing(got, rows):
     ids = _ids([t for _, t in rows])
     pieces, windows = defaultdict(list), defaultdict(list)
