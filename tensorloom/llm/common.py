@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one Python step works on at a time.
 SLICE_BYTES = 1 << 20
@@ -30,14 +32,17 @@ def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
     It is read from ``spark.checkpoint.dir`` (or the context's checkpoint
-    directory).  Only where neither is set, as in local tests, a temporary one
-    is made and set.
+    directory).  Only where neither is set and all executors are threads of the
+    driver, as in local tests, a temporary one is made and set; on a cluster
+    that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else ""
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tensorloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -56,7 +61,18 @@ def staged(df: DataFrame, tag: str, *, codec: str = "zstd") -> DataFrame:
     """
     path = fresh_dir(small_batches(df.sparkSession), tag)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again: what came of them is written."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,3 +105,29 @@ def with_fields(df: DataFrame, **types: str):
 
     more = T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in types.items()))
     return T.StructType([*df.schema.fields, *more.fields])
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` does not have."""
+    held, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` are not among those of ``gone``; nulls are equal.
+
+    ``keys`` maps each column of ``gone`` to an expression over ``df``.  The
+    columns of ``df`` come back as they are, whatever their names.
+    """
+    own = free_names(df, *(f"own_{k}" for k in keys))
+    other = free_names(df, *(f"gone_{k}" for k in keys))
+    marked = df.withColumns(dict(zip(own, keys.values(), strict=True)))
+    listed = gone.select(*(F.col(k).alias(o) for k, o in zip(keys, other, strict=True)))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(own, other, strict=True)]
+    return marked.join(listed, functools.reduce(lambda a, b: a & b, same), "left_anti").drop(*own)

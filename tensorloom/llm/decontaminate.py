@@ -17,8 +17,10 @@ Spark broadcasts one where its files' size allows it and shuffles it otherwise.
 Defined cases: a null or empty text has no words.  Rows are told apart by
 doc_id and a hash of their text, so repeated rows get equal results and rows
 that share a doc_id their own.  Benchmark rows with a null item_id or without a
-word are left out.  Empty tables on either side give whole results without
-hits.  Other columns play no part.
+word are left out.  A very long text is cut whole; its words become rows of
+their own, so no row of the index grows with it.  Ties in a phrase's rarest term
+go to the earlier one.  Empty tables on either side give whole results without
+hits.  Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, without
 
 WINDOW = 8
 LEAST_ITEMS = 2
@@ -170,6 +172,5 @@ def report(documents: DataFrame, benchmark: DataFrame, *, ident: str = "doc_id",
 
 def clean(documents: DataFrame, benchmark: DataFrame, *, ident: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The input's rows and columns without contaminated documents."""
-    bad = staged(report(documents, benchmark, ident=ident, text=text, **options).where("contaminated").select(doc_key("doc_id").alias("dk"), "th").distinct(), "contaminated")
-    marked = documents.withColumns({"dk": doc_key(ident), "th": text_hash(ident, text)})
-    return marked.join(bad, _DOC, "left_anti").select(*(marked[c] for c in documents.columns))
+    bad = report(documents, benchmark, ident=ident, text=text, **options).where("contaminated").select(doc_key("doc_id").alias("dk"), "th").distinct()
+    return without(documents, staged(bad, "contaminated"), {"dk": doc_key(ident), "th": text_hash(ident, text)})

@@ -11,9 +11,10 @@ bytes.
 
 Defined cases: a null text counts as empty; all empty texts are equal.  Of
 equal texts the row with the largest doc_id stays; a null doc_id ranks below
-every other; of rows that repeat both doc_id and text exactly one stays.  An
-empty table gives an empty result.  Other columns play no part, whatever their
-names.
+every other; of rows that repeat both doc_id and text exactly one stays, so ties
+are broken by the row.  A very long text is one text like any other: it is
+hashed whole, and moves only where its fingerprint repeats.  An empty table
+gives an empty result.  Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,16 +24,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free_names, staged, without
 
 U64 = np.uint64
 #: Bits of a remainder, and of a quotient within one range.
 REMAINDER_BITS = 40
 #: About so many fingerprints meet in one filter after the merge.
 RANGE_ROWS = 1 << 18
+#: Fingerprints that a task holds at most before it gives out filters.
+HELD_ROWS = 1 << 20
 
 
 @dataclass
@@ -136,24 +139,21 @@ def repeated(fingerprints: DataFrame, rows: int, *, column: str = "fp") -> DataF
     bits = max(bits, 5)
 
     def build(batches):
-        kept, counts = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
-
         def cut(values, counts):
             top = (values >> U64(64 - bits)).astype(np.int64)
             edges = np.append(np.flatnonzero(np.append(True, top[1:] != top[:-1])), len(top))
             out = [(int(top[a]), QuotientFilter.build(values[a:b], counts[a:b]).to_bytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["range", "filter"])
 
+        held, n = [], 0
         for batch in batches:
-            new = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
-            values = np.concatenate([kept, new])
-            kept, back = np.unique(values, return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, np.ones(len(new), dtype=np.int64)])).astype(np.int64)
-            if len(kept) >= 1 << 21:  # bounds a task's memory; the merge takes any number of filters
-                yield cut(kept, counts)
-                kept, counts = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
-        if len(kept):
-            yield cut(kept, counts)
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).view(U64).copy())
+            n += len(held[-1])
+            if n >= HELD_ROWS:  # bounds a task's memory; the merge takes any number of filters
+                yield cut(*np.unique(np.concatenate(held), return_counts=True))
+                held, n = [], 0
+        if n:
+            yield cut(*np.unique(np.concatenate(held), return_counts=True))
 
     def merge(batches):
         def out(merged):
@@ -215,15 +215,17 @@ def survivors(documents: DataFrame, *, ident: str = "doc_id", text: str = "text"
     A row is dropped where a row of the same text with a larger doc_id exists.
     Repeats of one doc_id and text collapse to one row.
     """
-    dropped = groups(documents, ident=ident, text=text).where("not kept").select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_sha"), F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("_same"))
+    dropped = groups(documents, ident=ident, text=text).where("not kept").select("doc_id", F.unhex("text_sha256").alias("sha"), F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("same"))
     gone = staged(dropped, "dropped")
-    marked = documents.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
-    copies = gone.where("not _same").select("_gone", "_sha").distinct()
-    out = marked.join(copies, F.col(ident).eqNullSafe(F.col("_gone")) & (marked["_sha"] == copies["_sha"]), "left_anti")
-    repeats = gone.where("_same").select("_gone", "_sha").distinct()
+    keys = {"doc_id": F.col(f"`{ident}`"), "sha": F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256))}
+    out = without(documents, gone.where("not same").select("doc_id", "sha").distinct(), keys)
+    repeats = gone.where("same").select("doc_id", "sha").distinct()
     if repeats.isEmpty():
-        return out.drop("_sha")
-    one = Window.partitionBy(ident, "_sha").orderBy(F.lit(1))
-    twice = out.join(repeats, F.col(ident).eqNullSafe(F.col("_gone")) & (out["_sha"] == repeats["_sha"]), "left_semi")
-    rest = out.join(repeats, F.col(ident).eqNullSafe(F.col("_gone")) & (out["_sha"] == repeats["_sha"]), "left_anti")
-    return rest.unionByName(twice.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")).drop("_sha")
+        return out
+    # One row of each repeated pair, whichever a partition sees first.
+    ident_key, sha_key, row = free_names(out, "ident", "sha", "row")
+    marked = out.withColumns({ident_key: keys["doc_id"], sha_key: keys["sha"]})
+    listed = repeats.withColumnsRenamed({"doc_id": f"{ident_key}r", "sha": f"{sha_key}r"})
+    twice = marked.join(listed, F.col(ident_key).eqNullSafe(F.col(f"{ident_key}r")) & (F.col(sha_key) == F.col(f"{sha_key}r")), "left_semi")
+    one = twice.groupBy(ident_key, sha_key).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in out.columns))).alias(row))
+    return without(out, repeats, keys).union(one.select(*(F.col(row).getField(c).alias(c) for c in out.columns)))

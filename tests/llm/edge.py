@@ -29,5 +29,5 @@ def clashing(df):
     """With columns that operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ("score", "fp", "key", "n", "a", "b", "v", "dk", "th", "lang_pred", "labels", "spans", "ids", "length", "shard", "_gone", "id")
+    names = ("score", "fp", "key", "n", "a", "b", "v", "dk", "th", "lang_pred", "labels", "spans", "ids", "length", "shard", "_gone", "id", "_own_th", "_own_doc_id", "_sha", "_n", "_quality", "node", "root")
     return df.withColumns({c: F.lit(7) for c in names if c not in df.columns})

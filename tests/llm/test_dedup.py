@@ -256,3 +256,38 @@ def test_links_of_a_group_over_many_partitions(spark):
         assert _near(spark, rows) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_links_between_blocks_of_a_family(spark, monkeypatch):
+    """A family of many blocks: pivots join most of it, the rest is held against every block."""
+    monkeypatch.setattr(simhash, "BLOCK_SETS", 16)
+    monkeypatch.setattr(simhash, "HAND_SETS", 4)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(2):
+        base = _random_words(rng, 300)
+        rows += [(len(rows) + i, " ".join(_edited(rng, base, 3 + i % 5, f"g{g}c{i}"))) for i in range(90)]
+        rows += [(len(rows) + i, " ".join(_edited(rng, base, 8, f"g{g}f{i}"))) for i in range(15)]
+    want, _ = _brute_near(rows)
+    assert 20 < len(set(want.values())) < 150
+    assert _near(spark, rows) == want
+
+
+def test_rows_of_one_doc_id_are_told_apart(spark):
+    rng = np.random.default_rng(9)
+    a, b = (" ".join(_random_words(rng, 60)) for _ in range(2))
+    rows = [(1, a), (5, a), (5, b), (None, a + " end"), (None, "alone"), (7, None), (8, "")]
+    got = {(r.doc_id, r.text) for r in simhash.survivors(documents(spark, rows)).collect()}
+    assert got == {(1, a), (5, b), (None, "alone"), (7, None)}
+
+
+@pytest.mark.parametrize("keep", [exactdup.survivors, simhash.survivors])
+def test_survivors_keep_columns_and_values(spark, keep):
+    df = clashing(documents(spark)).withColumnRenamed("labels", "sha").withColumnRenamed("spans", "own_th")
+    got = keep(df)
+    assert got.columns == df.columns
+    rows, given = [tuple(r) for r in got.collect()], {tuple(r) for r in df.collect()}
+    assert rows and set(rows) <= given
+    assert keep(df.limit(0)).count() == 0
+    plain = keep(documents(spark))
+    assert sorted(r[:2] for r in rows if r[0] is not None) == sorted(tuple(r) for r in plain.collect() if r[0] is not None)
