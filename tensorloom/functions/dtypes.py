@@ -124,10 +124,10 @@ def _to_integer(q: Column, mode: str, seed: int, index: Column | None) -> Column
     raise ValueError(f"no rounding {mode!r}")
 
 
-def _log2_floor(a: Column) -> Column:
-    """The exponent of a positive double; the logarithm's own error is put right."""
-    guess = F.floor(F.log2(a)).cast("double")
-    return F.when(F.pow(lit(2), guess) > a, guess - 1).when(F.pow(lit(2), guess + 1) <= a, guess + 1).otherwise(guess)
+def _power_below(a: Column) -> Column:
+    """The largest power of two that a positive double is not below; the logarithm's own error is put right."""
+    guess = F.pow(lit(2), F.greatest(F.floor(F.log2(a)).cast("double"), lit(-1022)))
+    return guess * (lit(1) - (guess > a).cast("double") * 0.5 + (guess * 2 <= a).cast("double"))
 
 
 def round_through(v: Column, to: str | DType, mode: str = "rne", seed: int = 0, index: Column | None = None) -> Column:
@@ -152,22 +152,24 @@ def round_through(v: Column, to: str | DType, mode: str = "rne", seed: int = 0,
         return F.when(F.isnan(v), lit(0)).otherwise(F.signum(F.rint(F.least(F.greatest(v, lit(-1)), lit(1)))))
     if t.kind == "scale":  # powers of two only; the exponent is floored
         least, most = 2.0**-127, 2.0**127
-        return F.when(F.isnan(v), lit(most)).when(a <= least, lit(least)).when(a >= most, lit(most)).otherwise(F.pow(lit(2), _log2_floor(a)))
+        return F.when(F.isnan(v), lit(most)).when(a <= least, lit(least)).when(a >= most, lit(most)).otherwise(_power_below(a))
     if t.kind != "float":
         raise ValueError(f"{t.name} has no encoding of numbers")
+    # Arithmetic without branches, so that the logarithm is worked out once a value.
     inside = F.when(finite_nonzero(a), a).otherwise(lit(1))
-    unit = F.pow(lit(2), F.greatest(_log2_floor(inside), lit(t.least_exponent)) - t.mantissa)
+    unit = F.greatest(_power_below(inside), lit(2.0**t.least_exponent)) * lit(2.0**-t.mantissa)
     r = _to_integer(v / unit, mode, seed, index) * unit
     top = t.largest
-    if t.beyond == "inf":
-        over = F.when(F.lit(mode in ("rne", "stochastic")), F.signum(v) * lit(INF)).otherwise(
-            F.when((F.lit(mode) == "rup") & (v > 0) | (F.lit(mode) == "rdown") & (v < 0), F.signum(v) * lit(INF)).otherwise(F.signum(v) * lit(top))
-        )
-        over = F.when(a == lit(INF), v).otherwise(over)
-    else:
+    if t.beyond != "inf":
         over = F.signum(v) * lit(top)
+    elif mode in ("rne", "stochastic"):
+        over = F.signum(v) * lit(INF)
+    else:
+        away = {"rup": v > 0, "rdown": v < 0}.get(mode, F.lit(False))
+        over = F.when((a == lit(INF)) | away, F.signum(v) * lit(INF)).otherwise(F.signum(v) * lit(top))
     nan = lit(top) if t.beyond == "total" else lit(NAN)
-    return F.when(F.isnan(v), nan).when(a == 0, v).when(a == lit(INF), over).when(F.abs(r) > top, over).otherwise(r)
+    # NaN is larger than any number here.
+    return F.when(F.abs(r) > top, F.when(F.isnan(v), nan).otherwise(over)).when(a == 0, v).otherwise(r)
 
 
 def finite_nonzero(a: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,3 +94,21 @@ def kahan_sum(values: Column) -> Column:
 def ordered_sum(values: Column) -> Column:
     """Sum of an array from its first to its last element."""
     return F.aggregate(values, lit(0), lambda acc, x: acc + x)
+
+
+def _halved(values, low: int, high: int) -> float:
+    """The sum of the first half of a range plus that of its second half, and so on down."""
+    if high - low < 2:
+        return values[low] if high > low else 0.0
+    middle = low + (high - low) // 2
+    return _halved(values, low, middle) + _halved(values, middle, high)
+
+
+def pairwise_sum(values: Column) -> Column:
+    """Sum of an array by halves, its halves by theirs: the error grows with the logarithm of its length."""
+
+    @F.arrow_udf("double")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else _halved(r, 0, len(r)) for r in rows.to_pylist()], pa.float64())
+
+    return run(values)

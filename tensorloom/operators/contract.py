@@ -1,17 +1,70 @@
-"""Contractions: matrix products and einsum as joins with aggregation."""
+"""Contractions: matrix products and einsum, by tiles or as joins with aggregation.
+
+Two operands that share summed letters are one batched matrix product.  Large
+ones are cut into tiles of bounded size; a pair of tiles meets in one row, is
+multiplied by NumPy, and partial sums over the depth are added up afterwards.
+Small ones, and sums with a pinned order, are joined cell by cell.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import floatsem as S
 from ..functions.dtypes import wider
-from ..tensor import TensorRef, position, size
+from ..tensor import TensorRef, position, size, strides
 from .elementwise import broadcast_shape
 from .structure import broadcast_to, reshape
 
-ORDERS = ("unspecified", "sequential", "kahan")
+ORDERS = ("unspecified", "sequential", "kahan", "pairwise")
+#: Extents of a tile at most: rows, and what is summed over.
+TILE_ROWS, TILE_DEPTH = 256, 1024
+#: Products of so many terms or more are made by tiles.
+TILED_TERMS = 1 << 16
+
+
+def tiled(cells: DataFrame, row: Column, depth: Column, v: str, keys: list[str], rows: int = TILE_ROWS, depths: int = TILE_DEPTH) -> DataFrame:
+    """``keys``, tile row ``ti``, tile depth ``tk``, and the tile's cells as (at, v)."""
+    df = cells.select(*keys, row.cast("long").alias("_r"), depth.cast("long").alias("_d"), F.col(v).alias("v"))
+    at = ((F.col("_r") % rows) * depths + F.col("_d") % depths).cast("int")
+    df = df.select(*keys, F.expr(f"_r div {rows}L").cast("int").alias("ti"), F.expr(f"_d div {depths}L").cast("int").alias("tk"), F.struct(at.alias("at"), "v").alias("cell"))
+    return df.groupBy(*keys, "ti", "tk").agg(F.collect_list("cell").alias("cells"))
+
+
+def dense(column: pa.ListArray, k: int, rows: int, depths: int, wide: int) -> np.ndarray:
+    """Row k's cells as a matrix; ``wide`` is the depth that places were counted with."""
+    cells = column[k].values
+    out = np.zeros((rows, depths))
+    at = cells.field(0).to_numpy(zero_copy_only=False)
+    out[at // wide, at % wide] = cells.field(1).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _product(a: DataFrame, b: DataFrame, m: int, n: int, depth: int) -> DataFrame:
+    """(p, m, n, v) of the batched product of cells (p, m, k, v) and (p, n, k, v)."""
+    parts_m, parts_n = -(-m // TILE_ROWS), -(-n // TILE_ROWS)
+    left = tiled(a, F.col("m"), F.col("k"), "v", ["p"]).select("p", "ti", "tk", F.col("cells").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(parts_n - 1))).alias("tj"))
+    right = tiled(b, F.col("n"), F.col("k"), "v", ["p"]).select("p", F.col("ti").alias("tj"), "tk", F.col("cells").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(parts_m - 1))).alias("ti"))
+
+    def multiply(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                p, ti, tj, tk = (batch.column(c)[k].as_py() for c in range(4))
+                deep = min(TILE_DEPTH, depth - tk * TILE_DEPTH)
+                x = dense(batch.column(4), k, min(TILE_ROWS, m - ti * TILE_ROWS), deep, TILE_DEPTH)
+                y = dense(batch.column(5), k, min(TILE_ROWS, n - tj * TILE_ROWS), deep, TILE_DEPTH)
+                values = pa.array([(x @ y.T).ravel()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([ti], pa.int32()), pa.array([tj], pa.int32()), values], ["p", "ti", "tj", "values"])
+
+    met = left.join(right, ["p", "ti", "tj", "tk"]).select("p", "ti", "tj", "tk", "x", "y")
+    made = met.mapInArrow(multiply, "p long, ti int, tj int, values array<double>")
+    wide = F.least(F.lit(TILE_ROWS).cast("long"), F.lit(n).cast("long") - F.col("tj") * TILE_ROWS)
+    cells = made.select("p", (F.col("ti").cast("long") * TILE_ROWS).alias("_m"), (F.col("tj").cast("long") * TILE_ROWS).alias("_n"), wide.alias("_w"), F.posexplode("values").alias("_at", "v"))
+    out = cells.select("p", (F.col("_m") + F.expr("_at div _w")).alias("m"), (F.col("_n") + F.col("_at") % F.col("_w")).alias("n"), "v")
+    return out if depth <= TILE_DEPTH else out.groupBy("p", "m", "n").agg(F.sum("v").alias("v"))
 
 
 def einsum(equation: str, *operands: TensorRef, order: str = "unspecified") -> TensorRef:
@@ -55,7 +108,7 @@ def einsum(equation: str, *operands: TensorRef, order: str = "unspecified") -> T
         else:
             gone = [f"x_{x}" for x in letters if x not in needed]
             values = F.transform(F.array_sort(F.collect_list(F.struct(*gone, "v"))), lambda s: s["v"])
-            value = S.kahan_sum(values) if order == "kahan" else S.ordered_sum(values)
+            value = {"kahan": S.kahan_sum, "sequential": S.ordered_sum, "pairwise": S.pairwise_sum}[order](values)
         return kept, df.groupBy(*(f"x_{x}" for x in kept)).agg(value.alias("v"))
 
     while len(parts) > 1:
@@ -68,6 +121,11 @@ def einsum(equation: str, *operands: TensorRef, order: str = "unspecified") -> T
         i, j = min(((i, j) for i in range(len(parts)) for j in range(i + 1, len(parts))), key=lambda p: cost(*p))
         (la, a), (lb, b) = parts[i], parts[j]
         rest = out + "".join(p[0] for k, p in enumerate(parts) if k not in (i, j))
+        (la, a), (lb, b) = summed(la, a, rest + lb), summed(lb, b, rest + la)
+        both = _by_tiles(la, a, lb, b, rest, extents) if order == "unspecified" else None
+        if both is not None:
+            parts = [p for k, p in enumerate(parts) if k not in (i, j)] + [both]
+            continue
         shared = [f"x_{x}" for x in la if x in lb]
         b = b.withColumnRenamed("v", "w")
         joined = a.join(b, shared) if shared else a.crossJoin(b)  # an outer product
@@ -83,6 +141,28 @@ def einsum(equation: str, *operands: TensorRef, order: str = "unspecified") -> T
     return TensorRef(df.select(pos.alias("pos"), "v"), shape, F.col("v"), to).rounded()
 
 
+def _by_tiles(la: str, a: DataFrame, lb: str, b: DataFrame, rest: str, extents: dict[str, int]) -> tuple[str, DataFrame] | None:
+    """The contraction of two terms as a batched product, where it is large enough."""
+    batch = [x for x in la if x in lb and x in rest]
+    gone = [x for x in la if x in lb and x not in rest]
+    left, right = [x for x in la if x not in lb], [x for x in lb if x not in la]
+    shape = {name: [extents[x] for x in letters] for name, letters in (("p", batch), ("k", gone), ("m", left), ("n", right))}
+    if not gone or not (left or right) or size([*shape["p"], *shape["k"], *shape["m"], *shape["n"]]) < TILED_TERMS:
+        return None
+
+    def number(letters: list[str], name: str) -> Column:
+        return (position([F.col(f"x_{x}") for x in letters], shape[name]) if letters else F.lit(0).cast("long")).alias(name)
+
+    x = a.select(number(batch, "p"), number(left, "m"), number(gone, "k"), "v")
+    y = b.select(number(batch, "p"), number(right, "n"), number(gone, "k"), "v")
+    got = _product(x, y, size(shape["m"]), size(shape["n"]), size(shape["k"]))
+    columns = []
+    for letters, name in ((batch, "p"), (left, "m"), (right, "n")):
+        for letter, step in zip(letters, strides(shape[name]), strict=True):
+            columns.append(F.expr(f"({name} div {step}L) % {extents[letter]}L").alias(f"x_{letter}"))
+    return "".join(batch + left + right), got.select(*columns, "v")
+
+
 _BATCH = "ABCDEFGH"
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import floatsem as S
-from ..tensor import TensorRef, size
+from ..scratch import written
+from ..tensor import TensorRef
 
 #: A lossy delta must be smaller than this part of the best lossless one (fixed value).
 LOSSY_GAIN = 0.75
@@ -94,11 +96,43 @@ def report(analysis: DataFrame, bytes_per: int = 4) -> DataFrame:
     return analysis.groupBy("kind").agg(F.count("*").alias("tensors"), F.sum("bytes").alias("bytes"), F.max("max_error").alias("max_error"), (F.sum("bytes") / (F.sum("n") * bytes_per)).alias("of_base"))
 
 
-def chunk_digests(cells: DataFrame, *, chunk: int = 65536) -> DataFrame:
-    """(tensor, seq, digest) of fixed-size chunks, from the values in order."""
-    parts = cells.withColumn("seq", F.expr(f"pos div {chunk}L")).groupBy("tensor", "seq")
-    values = F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"].cast("string"))
-    return parts.agg(F.sha2(F.array_join(values, ",", "null"), 256).alias("digest"))
+#: How a value of each type is stored (fixed values): NumPy's name of it, little-endian.
+STORED = {"f64": "<f8", "f32": "<f4", "f16": "<f2", "i8": "<i1", "i16": "<i2", "i32": "<i4", "i64": "<i8", "u8": "<u1", "u16": "<u2", "u32": "<u4", "u64": "<u8"}
+
+
+def chunk_digests(cells: DataFrame, *, chunk: int = 65536, to: str = "f64") -> DataFrame:
+    """(tensor, seq, digest): SHA-256 of fixed-size chunks' bytes, the values in order as ``to`` stores them.
+
+    Cells stream through their partition; a null counts as NaN.
+    """
+    stored = STORED[to]
+
+    def run(batches):
+        now, state = None, None
+        for batch in batches:
+            out = []
+            if not batch.num_rows:
+                continue
+            names, seqs = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            values = batch.column(3).to_numpy(zero_copy_only=False).astype(stored)
+            new = np.append(True, (seqs[1:] != seqs[:-1]) | np.fromiter((a != b for a, b in zip(names[1:], names[:-1], strict=True)), bool, len(names) - 1))
+            starts = np.flatnonzero(new).tolist()
+            for a, b in zip(starts, [*starts[1:], len(names)], strict=True):
+                key = (names[a], int(seqs[a]))
+                if key != now:
+                    if state:
+                        out.append((*now, state.hexdigest()))
+                    now, state = key, hashlib.sha256()
+                state.update(values[a:b].tobytes())
+            yield pack(out)
+        if state:
+            yield pack([(*now, state.hexdigest())])
+
+    def pack(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["tensor", "seq", "digest"])
+
+    rows = cells.select(F.col("tensor").cast("string").alias("tensor"), F.expr(f"pos div {chunk}L").alias("seq"), "pos", F.col("v").cast("double").alias("v"))
+    return rows.repartition("tensor", "seq").sortWithinPartitions("tensor", "seq", "pos").mapInArrow(run, "tensor string, seq long, digest string")
 
 
 def verify_range(cells: DataFrame, digests: DataFrame, low: int, high: int, *, chunk: int = 65536) -> DataFrame:
@@ -113,9 +147,13 @@ def verify_range(cells: DataFrame, digests: DataFrame, low: int, high: int, *, c
     return both.select("tensor", "seq", status.alias("status"))
 
 
-def materialized(cells: DataFrame, declared: DataFrame) -> DataFrame:
-    """(tensor, status): whether a tensor's values in order give its declared digest (R-T08)."""
-    whole = chunk_digests(cells, chunk=1 << 62).drop("seq")
+def materialized(cells: DataFrame, declared: DataFrame, *, to: str = "f64") -> DataFrame:
+    """(tensor, status): whether a tensor's encoded bytes give its declared digest (R-T08).
+
+    A digest runs over a tensor from its first byte to its last, so each tensor
+    streams through one task.
+    """
+    whole = chunk_digests(cells, chunk=1 << 62, to=to).drop("seq")
     both = declared.withColumnRenamed("digest", "was").join(whole, "tensor", "left")
     status = F.when(F.col("digest").isNull(), "indeterminate").when(F.col("was") == F.col("digest"), "valid").otherwise("invalid")
     return both.select("tensor", status.alias("status"))
@@ -162,24 +200,27 @@ def resolve_chain(parents: DataFrame, start: str, limit: int = CHAIN_LIMIT) -> D
 
     ``parents`` has digest, parent and required.  A parent that is absent
     makes the chain incomplete only if it is required; more than ``limit``
-    links are an error.
+    links are an error.  Ancestors double with each join, so a chain of n
+    links takes log n of them, and one small result.
     """
-    out, now = [], start
     links = parents.select("digest", "parent", "required")
-    for depth in range(limit + 1):
-        row = links.where(F.col("digest") == now).first()
-        if row is None:
-            status = "incomplete" if depth and out[-1][3] else "absent"
-            out.append((depth, now, status, False))
-            break
-        out.append((depth, now, "present", bool(row.required)))
-        if row.parent is None:
+    spark = parents.sparkSession
+    reach = written(links.where("parent is not null").select(F.col("digest").alias("lower"), F.col("parent").alias("upper"), F.lit(1).alias("n")), "links")
+    found = spark.createDataFrame([(start, 0)], "digest string, depth int")
+    steps = 1
+    while steps <= limit + 1:
+        far = found.join(reach, F.col("digest") == F.col("lower")).select(F.col("upper").alias("digest"), (F.col("depth") + F.col("n")).alias("depth"))
+        found = written(found.unionByName(far), "chain")  # depths below 2 * steps
+        if (most := found.agg(F.max("depth")).first()[0]) < steps or most > limit:
             break
-        now = row.parent
-    else:
+        a, b = reach.alias("a"), reach.alias("b")
+        reach = written(a.join(b, F.col("a.upper") == F.col("b.lower")).select("a.lower", "b.upper", (F.col("a.n") + F.col("b.n")).alias("n")), "links")
+        steps *= 2
+    if most > limit:
         raise ValueError(f"more than {limit} parents")
-    return parents.sparkSession.createDataFrame([r[:3] for r in out], "depth int, digest string, status string")
-
-
-def elements(shape: Sequence[int]) -> int:
-    return size(shape)
+    own = found.join(links, "digest", "left")
+    needs = own.select((F.col("depth") + 1).alias("depth"), F.col("required").alias("needed"))
+    known = parents.select(F.col("digest").alias("known")).distinct()
+    told = own.select("depth", "digest").join(known, F.col("digest") == F.col("known"), "left").join(needs, "depth", "left")
+    status = F.when(F.col("known").isNotNull(), "present").when(F.coalesce("needed", F.lit(False)), "incomplete").otherwise("absent")
+    return told.select("depth", "digest", status.alias("status"))

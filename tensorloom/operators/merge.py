@@ -27,6 +27,35 @@ def _stacked(deltas: Sequence[TensorRef]) -> DataFrame:
     return out
 
 
+#: Steps that a range of magnitudes is cut into at a time.
+STEPS = 1 << 12
+
+
+def _least_kept(df: DataFrame, deltas: int, keep: int) -> list[float]:
+    """The ``keep``-th largest m of each k below ``deltas``, by exact rank.
+
+    The range that holds that rank is narrowed by counts over equal steps until
+    one value is left; the driver sees a row for each delta and cut.
+    """
+    if keep < 1:
+        return [S.INF] * deltas
+    low, high, above = [0.0] * deltas, [S.INF] * deltas, [0] * deltas
+    ends = df.groupBy("k").agg(F.min("m").alias("low"), F.max("m").alias("high")).collect()
+    for r in ends:
+        low[r.k], high[r.k] = r.low, r.high
+    while any(a < b for a, b in zip(low, high, strict=True)):
+        at = {name: F.element_at(F.array(*(S.lit(x) for x in values)), F.col("k") + 1) for name, values in (("low", low), ("high", high), ("above", above))}
+        inside = df.where((F.col("m") >= at["low"]) & (F.col("m") <= at["high"]))
+        step = F.floor((F.col("m") - at["low"]) / F.nullif(at["high"] - at["low"], S.lit(0)) * STEPS)
+        inside = inside.withColumn("step", F.coalesce(F.least(step, F.lit(STEPS - 1)), F.lit(0)).cast("int"))
+        counts = inside.groupBy("k", "step").agg(F.count("*").alias("n"), F.min("m").alias("low"), F.max("m").alias("high"))
+        over = Window.partitionBy("k").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)  # STEPS rows at most
+        counts = counts.withColumn("before", at["above"] + F.coalesce(F.sum("n").over(over), F.lit(0)))
+        for r in counts.where((F.col("before") < keep) & (F.col("before") + F.col("n") >= keep)).collect():
+            low[r.k], high[r.k], above[r.k] = r.low, r.high, int(r.before)
+    return high
+
+
 def ties(deltas: Sequence[TensorRef], density: float, weights: Sequence[float] | None = None) -> TensorRef:
     """Trim each delta to its largest parts, elect a sign per cell, average what agrees.
 
@@ -38,11 +67,8 @@ def ties(deltas: Sequence[TensorRef], density: float, weights: Sequence[float] |
     weights = list(weights or [1.0] * len(deltas))
     df = _stacked(deltas)
     w = F.element_at(F.array(*(S.lit(x) for x in weights)), F.col("k") + 1)
-    # The value at the last place kept, per delta: a percentile by exact rank.
-    counts = df.groupBy("k", F.abs("v").alias("m")).agg(F.count("*").alias("n"))
-    above = counts.withColumn("before", F.sum("n").over(Window.partitionBy("k").orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, -1)))
-    least = above.where(F.coalesce("before", F.lit(0)) < keep).groupBy("k").agg(F.min("m").alias("least"))
-    kept = df.join(least, "k").where(F.abs("v") >= F.col("least")).withColumn("w", w).withColumn("x", F.col("v") * F.col("w"))
+    least = _least_kept(df.select("k", F.abs("v").alias("m")), len(deltas), keep)
+    kept = df.where(F.abs("v") >= F.element_at(F.array(*(S.lit(x) for x in least)), F.col("k") + 1)).withColumn("w", w).withColumn("x", F.col("v") * F.col("w"))
     sums = kept.groupBy("pos").agg(
         F.coalesce(F.sum(F.when(F.col("x") > 0, F.col("x"))), S.lit(0)).alias("up"),
         F.coalesce(F.sum(F.when(F.col("x") < 0, -F.col("x"))), S.lit(0)).alias("down"),
@@ -202,6 +228,3 @@ def compose_sequential(base: TensorRef, steps) -> TensorRef:
     for step in steps:
         base = step(base)
     return base
-
-
-__all__ = ["METHODS", "REFUSED", "Rule", "attach", "check", "combine", "compose_sequential", "dare", "method", "parallel_sum", "slerp", "ties", "transpose"]

@@ -6,17 +6,102 @@ import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import floatsem as S
 from ..functions.dtypes import dtype
 from ..tensor import TensorRef, position, size
-from .contract import einsum, matmul
+from .contract import dense, einsum, matmul, tiled
 from .elementwise import combine
 from .windowed import softmax, topk
 
 
+#: Queries and keys of a block.
+BLOCK_QUERIES, BLOCK_KEYS = 256, 512
+
+
+def _attended(q: TensorRef, k: TensorRef, v: TensorRef, factor: float, causal: bool, window: int | None, softcap: float | None, groups: int) -> DataFrame:
+    """pos and v of attention in blocks.
+
+    A block of queries meets those blocks of keys that hold a key it may see,
+    and leaves for each query the largest score, the sum of weights and the
+    weighted sum of values; partial results of one block of queries are merged
+    in order.
+    """
+    b, h, m, d = q.shape
+    n, e = k.shape[2], v.shape[3]
+    blocks = -(-n // BLOCK_KEYS)
+    wide = max(d, e)
+    asked = q.indexed().select(F.col("i0").alias("b"), F.col("i1").alias("h"), F.col("i2").alias("i"), F.col("i3").alias("c"), "v")
+    asked = tiled(asked, F.col("i"), F.col("c"), "v", ["b", "h"], BLOCK_QUERIES, d)
+    last = F.least(F.col("ti").cast("long") * BLOCK_QUERIES + BLOCK_QUERIES, F.lit(m)) - 1 + (n - m)
+    high = F.least(F.floor(last / BLOCK_KEYS), F.lit(blocks - 1)) if causal else F.lit(blocks - 1)
+    low = F.floor((F.col("ti").cast("long") * BLOCK_QUERIES + (n - m - window + 1)) / BLOCK_KEYS) if window else F.lit(0)
+    low = F.least(F.greatest(low, F.lit(0)), F.lit(blocks - 1)).cast("int")  # one block at least, so no query is lost
+    asked = asked.select("b", "h", F.expr(f"h div {groups}L").alias("g"), "ti", F.col("cells").alias("x"), F.explode(F.sequence(low, F.greatest(high.cast("int"), low))).alias("tj"))
+    held = None
+    for tag, t in ((0, k), (1, v)):
+        part = t.indexed().select(F.col("i0").alias("b"), F.col("i1").alias("g"), F.col("i2").alias("j"), (F.col("i3") + tag * wide).alias("c"), "v")
+        held = part if held is None else held.unionByName(part)
+    held = tiled(held, F.col("j"), F.col("c"), "v", ["b", "g"], BLOCK_KEYS, 2 * wide).select("b", "g", F.col("ti").alias("tj"), F.col("cells").alias("y"))
+
+    def partial(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                bb, hh, ti, tj = (batch.column(c)[r].as_py() for c in range(4))
+                rows, columns = min(BLOCK_QUERIES, m - ti * BLOCK_QUERIES), min(BLOCK_KEYS, n - tj * BLOCK_KEYS)
+                x = dense(batch.column(4), r, rows, d, d)
+                y = dense(batch.column(5), r, columns, 2 * wide, 2 * wide)
+                s = x @ y[:, :d].T * factor
+                if softcap:
+                    s = np.tanh(s / softcap) * softcap
+                place = (np.arange(rows) + ti * BLOCK_QUERIES + n - m)[:, None]
+                at = np.arange(columns)[None] + tj * BLOCK_KEYS
+                seen = np.ones(s.shape, dtype=bool)
+                if causal:
+                    seen &= at <= place
+                if window:
+                    seen &= at > place - window
+                s = np.where(seen, s, -np.inf)
+                top = s.max(axis=1)
+                p = np.where(seen, np.exp(s - np.where(np.isneginf(top), 0.0, top)[:, None]), 0.0)
+                values = [top, p.sum(axis=1), (p @ y[:, wide : wide + e]).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array([bb], pa.int64()), pa.array([hh], pa.int64()), pa.array([ti], pa.int32()), pa.array([tj], pa.int32()), *(pa.array([z], pa.list_(pa.float64())) for z in values)], ["b", "h", "ti", "tj", "top", "total", "sums"])
+
+    def merge(batches):
+        def out(key, total, sums):
+            safe = np.where(total == 0, 1.0, total)
+            values = np.where((total == 0)[:, None], 0.0, sums / safe[:, None]).ravel()
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([key[2]], pa.int32()), pa.array([values], pa.list_(pa.float64()))], ["b", "h", "ti", "values"])
+
+        now = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                key = tuple(batch.column(c)[r].as_py() for c in range(3))
+                top, total = (batch.column(c)[r].values.to_numpy() for c in (4, 5))
+                sums = batch.column(6)[r].values.to_numpy().reshape(len(top), e)
+                if key != now:
+                    if now is not None:
+                        yield out(now, held_total, held_sums)
+                    now, held_top, held_total, held_sums = key, top, total, sums
+                    continue
+                both = np.maximum(held_top, top)
+                base = np.where(np.isneginf(both), 0.0, both)
+                old, new = np.exp(held_top - base), np.exp(top - base)
+                held_top, held_total, held_sums = both, held_total * old + total * new, held_sums * old[:, None] + sums * new[:, None]
+        if now is not None:
+            yield out(now, held_total, held_sums)
+
+    met = asked.join(held, ["b", "g", "tj"]).select("b", "h", "ti", "tj", "x", "y")
+    parts = met.mapInArrow(partial, "b long, h long, ti int, tj int, top array<double>, total array<double>, sums array<double>")
+    done = parts.repartition("b", "h", "ti").sortWithinPartitions("b", "h", "ti", "tj").mapInArrow(merge, "b long, h long, ti int, values array<double>")
+    base = ((F.col("b") * h + F.col("h")) * m + F.col("ti").cast("long") * BLOCK_QUERIES) * e
+    return done.select(base.alias("_base"), F.posexplode("values").alias("_at", "v")).select((F.col("_base") + F.col("_at")).alias("pos"), "v")
+
+
 def attention(
     q: TensorRef,
     k: TensorRef,
@@ -33,7 +118,8 @@ def attention(
 
     With ``kv_groups`` each key head serves that many query heads.  Queries
     stand at the end of the keys.  ``window`` keeps that many latest keys.  A
-    query without a key left gives zeros.
+    query without a key left gives zeros.  Without a mask the work is done in
+    blocks of queries and keys; with one, scores are joined with it.
     """
     if q.rank != 4 or k.rank != 4 or v.rank != 4:
         raise ValueError("attention takes [batch, heads, length, depth]")
@@ -42,6 +128,8 @@ def attention(
     if k.shape[1] * kv_groups != h or k.shape[3] != d or v.shape[:3] != k.shape[:3]:
         raise ValueError(f"heads or depths of {q.shape}, {k.shape}, {v.shape} do not fit")
     factor = scale if scale is not None else 1 / math.sqrt(d)
+    if mask is None:
+        return q.with_cells(_attended(q, k, v, factor, causal, window, softcap, kv_groups), (b, h, m, e)).rounded()
     left = q.indexed().select(F.col("i0").alias("b"), F.col("i1").alias("h"), F.expr(f"i1 div {kv_groups}L").alias("g"), F.col("i2").alias("i"), F.col("i3").alias("d"), F.col("v").alias("x"))
     right = k.indexed().select(F.col("i0").alias("b"), F.col("i1").alias("g"), F.col("i2").alias("j"), F.col("i3").alias("d"), F.col("v").alias("y"))
     scores = left.join(right, ["b", "g", "d"]).groupBy("b", "h", "g", "i", "j").agg((F.sum(F.col("x") * F.col("y")) * factor).alias("s"))
@@ -111,7 +199,7 @@ def ssm_scan(u: TensorRef, delta: TensorRef, a: TensorRef, b: TensorRef, c: Tens
 
     u and delta are [batch, channels, length], a is [channels, states], b and c
     are [batch, states, length], d is [channels].  Each (batch, channel, state)
-    folds its own time axis in order.
+    folds its own time axis in order, streaming through its partition.
     """
     batch, p, length = u.shape
     n = a.shape[1]
@@ -126,15 +214,21 @@ def ssm_scan(u: TensorRef, delta: TensorRef, a: TensorRef, b: TensorRef, c: Tens
     terms = steps.join(states, "p").join(inputs, ["b", "n", "t"]).join(outs, ["b", "n", "t"])
     key = -F.col("t") if reverse else F.col("t")
     item = F.struct(key.alias("k"), "t", F.exp(F.col("dt") * F.col("a")).alias("keep"), (F.col("dt") * F.col("bb") * F.col("u")).alias("put"), F.col("cc").alias("c"))
-    lanes = terms.groupBy("b", "p", "n").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    start = F.struct(S.lit(0).alias("h"), F.array().cast("array<struct<t:bigint,y:double>>").alias("out"))
-
-    def step(acc, e):
-        h = acc["h"] * e["keep"] + e["put"]
-        return F.struct(h.alias("h"), F.concat(acc["out"], F.array(F.struct(e["t"].alias("t"), (h * e["c"]).alias("y")))).alias("out"))
 
-    got = lanes.select("b", "p", F.explode(F.aggregate("xs", start, step, lambda x: x["out"])).alias("e"))
-    y = got.groupBy("b", "p", F.col("e.t").alias("t")).agg(F.sum("e.y").alias("v"))
+    def fold(batches):
+        now, state = None, 0.0
+        for batch in batches:
+            bb, pp, nn, _, tt, keep, put, cc = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
+            y = np.empty(len(bb))
+            for i, (key, f, x) in enumerate(zip(zip(bb.tolist(), pp.tolist(), nn.tolist(), strict=True), keep.tolist(), put.tolist(), strict=True)):
+                state = state * f + x if key == now else x
+                now = key
+                y[i] = state
+            yield pa.RecordBatch.from_arrays([pa.array(bb), pa.array(pp), pa.array(tt), pa.array(y * cc)], ["b", "p", "t", "y"])
+
+    flat = terms.select("b", "p", "n", item.alias("item")).select("b", "p", "n", "item.*")
+    lanes = flat.repartition("b", "p", "n").sortWithinPartitions("b", "p", "n", "k")
+    y = lanes.mapInArrow(fold, "b long, p long, t long, y double").groupBy("b", "p", "t").agg(F.sum("y").alias("v"))
     out = u.with_cells(y.select(position([F.col(x) for x in "bpt"], u.shape).alias("pos"), "v"))
     if d is not None:
         from .structure import reshape

@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def digest(payload: Column) -> Column:
     return F.sha2(payload.cast("binary"), 256)
@@ -26,26 +29,21 @@ def walk(refs: DataFrame, roots: DataFrame, *, wall: Sequence[int] = (), limit:
     """(digest, depth): everything reachable from the roots, at its least depth.
 
     Edges of the types in ``wall`` are not followed.  Each round joins the new
-    frontier only; visited digests never come back, so cycles end.
+    frontier only, to edges that are written once; visited digests never come
+    back, so cycles end.
     """
     edges = refs.where(~F.col("otype").isin(list(wall))) if wall else refs
-    edges = edges.select(F.col("src").alias("digest"), "dst").distinct()
-    seen = roots.select("digest").distinct().withColumn("depth", F.lit(0))
-    seen = seen.checkpoint() if _can_checkpoint(seen) else seen.persist()
-    front = seen
+    edges = written(edges.select(F.col("src").alias("digest"), "dst").distinct(), "edges")
+    seen = front = written(roots.select("digest").distinct().withColumn("depth", F.lit(0)), "walk")
     for depth in range(1, limit + 1):
         new = front.join(edges, "digest").select(F.col("dst").alias("digest")).distinct().join(seen, "digest", "left_anti").withColumn("depth", F.lit(depth))
-        new = new.checkpoint() if _can_checkpoint(new) else new.persist()
+        new = written(new, "walk")
         if new.isEmpty():
             return seen
         seen, front = seen.unionByName(new), new
     raise ValueError(f"deeper than {limit}")
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
 def dangling(refs: DataFrame, objects: DataFrame, reached: DataFrame | None = None) -> DataFrame:
     """References, of reached objects where given, whose target is absent."""
     own = refs if reached is None else refs.join(reached.select(F.col("digest").alias("src")), "src", "left_semi")
@@ -134,20 +132,39 @@ def novel(objects: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def coalesce_ranges(ranges: DataFrame, *, gap: int, most: int, by: str = "source") -> DataFrame:
-    """Merge byte ranges that lie within ``gap`` of each other, up to ``most`` bytes.
+    """Merge byte ranges of a source, in order of offset and length.
 
-    Islands are found by a running maximum; an island longer than ``most`` is
-    cut where its parts cross multiples of it.
+    A range joins the one before it if it begins within ``gap`` of that one's end
+    and the two together span ``most`` bytes at most; else it begins a new one.
+    Empty ranges are left out.  Each source streams through one task, which
+    holds the open range only.
     """
-    order = Window.partitionBy(by).orderBy("offset", "length")
-    end = F.col("offset") + F.col("length")
-    df = ranges.select(by, "offset", "length").withColumn("reach", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    df = df.withColumn("new", F.when(F.col("reach").isNull() | (F.col("offset") > F.col("reach") + gap), 1).otherwise(0))
-    df = df.withColumn("island", F.sum("new").over(order))
-    first = Window.partitionBy(by, "island")
-    df = df.withColumn("cut", F.floor((F.col("offset") - F.min("offset").over(first)) / most))
-    got = df.groupBy(by, "island", "cut").agg(F.min("offset").alias("offset"), F.max(end).alias("end"), F.count("*").alias("parts"))
-    return got.select(by, "offset", (F.col("end") - F.col("offset")).alias("length"), "parts")
+
+    def fold(batches):
+        now = begin = end = parts = None
+        for batch in batches:
+            out = []
+            for source, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if source == now and parts and offset <= end + gap and offset + length - begin <= most:
+                    end, parts = max(end, offset + length), parts + 1
+                    continue
+                if parts:
+                    out.append((now, begin, end - begin, parts))
+                now, begin, end, parts = source, offset, offset + length, 1
+            yield pack(out, batch.schema.field(0).type)
+        if parts:
+            yield pack([(now, begin, end - begin, parts)], kind)
+
+    def pack(rows, of):
+        nonlocal kind
+        kind = of
+        types = (of, pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [by, "offset", "length", "parts"])
+
+    kind = None
+    rows = ranges.where("length > 0").select(by, F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length"))
+    ordered = rows.repartition(by).sortWithinPartitions(by, "offset", "length")
+    return ordered.mapInArrow(fold, f"`{by}` {rows.schema[by].dataType.simpleString()}, `offset` long, length long, parts long")
 
 
 def inventory(tensors: DataFrame, by: Sequence[str]) -> DataFrame:

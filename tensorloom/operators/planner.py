@@ -104,7 +104,3 @@ def moves(old: DataFrame, new: DataFrame) -> DataFrame:
     n = new.select("tensor", F.col("shard").alias("to"), F.col("lo").alias("lo_n"), F.col("hi").alias("hi_n"))
     both = o.join(n, "tensor").withColumn("lo", F.zip_with("lo_o", "lo_n", lambda a, b: F.greatest(a, b))).withColumn("hi", F.zip_with("hi_o", "hi_n", lambda a, b: F.least(a, b)))
     return both.where(F.forall(F.zip_with("lo", "hi", lambda a, b: a < b), lambda x: x)).select("tensor", "from", "to", "lo", "hi")
-
-
-def objectives() -> Sequence[str]:
-    return OBJECTIVES

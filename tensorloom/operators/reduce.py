@@ -15,9 +15,9 @@ KINDS = ("sum", "mean", "prod", "max", "min", "any", "all")
 
 def _aggregate(kind: str, order: str = "unspecified") -> Column:
     v = F.col("v")
-    if kind == "sum" and order in ("sequential", "kahan"):
+    if kind == "sum" and order != "unspecified":
         values = F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"])
-        return S.kahan_sum(values) if order == "kahan" else S.ordered_sum(values)
+        return {"sequential": S.ordered_sum, "kahan": S.kahan_sum, "pairwise": S.pairwise_sum}[order](values)
     return {
         "sum": F.sum(v),
         "mean": F.avg(v),
@@ -36,7 +36,7 @@ EMPTY = {"sum": 0.0, "mean": S.NAN, "prod": 1.0, "max": -S.INF, "min": S.INF, "a
 def reduce(x: TensorRef, kind: str, axes: Sequence[int] | None = None, keepdims: bool = False, order: str = "unspecified") -> TensorRef:
     """Reduce over axes (all where none is named).
 
-    ``order`` pins a sum's order: sequential or kahan gather each group's
+    ``order`` pins a sum's order: sequential, kahan and pairwise gather each group's
     values, so ask for them only where groups are small.
     """
     if kind not in KINDS:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import floatsem as S
@@ -78,16 +79,45 @@ def layer_norm(x: TensorRef, weight: TensorRef | None = None, bias: TensorRef |
     return y.rounded()
 
 
-def scan_sum(x: TensorRef, decay: float, axis: int = -1, reverse: bool = False) -> TensorRef:
-    """h_t = decay * h_(t-1) + x_t along an axis, as an ordered fold per lane."""
-    df, s = _lanes(x, axis)
-    key = -F.col("at") if reverse else F.col("at")
-    rows = df.groupBy("lane").agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), "at", "v"))).alias("xs"))
-    start = F.struct(S.lit(0).alias("h"), F.array().cast("array<struct<at:bigint,v:double>>").alias("out"))
+#: Cells of an axis that one task folds; longer axes are folded in two steps.
+SCAN_CELLS = 1 << 20
+
+
+def _folded(rows: DataFrame, factor: str) -> DataFrame:
+    """h = factor * h + v down each (lane, chunk), in order of k; rows stream through their partition."""
+
+    def fold(batches):
+        now, state = None, 0.0
+        for batch in batches:
+            lane, chunk, _, at, f, v = (batch.column(k) for k in range(6))
+            out = []
+            for key, x, y in zip(zip(lane.to_pylist(), chunk.to_pylist(), strict=True), f.to_pylist(), v.to_pylist(), strict=True):
+                state = state * x + y if key == now else y
+                now = key
+                out.append(state)
+            yield pa.RecordBatch.from_arrays([lane, chunk, at, pa.array(out, pa.float64())], ["lane", "chunk", "at", "h"])
 
-    def step(acc, e):
-        h = acc["h"] * decay + e["v"]
-        return F.struct(h.alias("h"), F.concat(acc["out"], F.array(F.struct(e["at"].alias("at"), h.alias("v")))).alias("out"))
+    dealt = rows.select("lane", "chunk", "k", "at", F.col(factor).alias("f"), "v").repartition("lane", "chunk").sortWithinPartitions("lane", "chunk", "k")
+    return dealt.mapInArrow(fold, "lane long, chunk long, at long, h double")
 
-    got = rows.select("lane", F.explode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("e"))
-    return x.with_cells(got.select((F.col("lane") + F.col("e.at") * s).alias("pos"), F.col("e.v").alias("v")))
+
+def scan_sum(x: TensorRef, decay: float, axis: int = -1, reverse: bool = False) -> TensorRef:
+    """h_t = decay * h_(t-1) + x_t along an axis, as an ordered fold per lane.
+
+    An axis of more than ``SCAN_CELLS`` cells is cut into chunks: each is folded
+    from zero, the chunks' last values are folded by themselves, and what comes
+    in from earlier chunks is added with its decay.
+    """
+    df, s = _lanes(x, axis)
+    n = x.shape[axis_of(axis, x.rank)]
+    step = F.lit(n - 1) - F.col("at") if reverse else F.col("at")
+    rows = df.select("lane", "at", "v", step.cast("long").alias("k"), S.lit(decay).alias("f")).withColumn("chunk", F.expr(f"k div {SCAN_CELLS}L"))
+    own = _folded(rows, "f")
+    if n > SCAN_CELLS:
+        place = F.lit(n - 1) - F.col("at") if reverse else F.col("at")
+        ends = own.groupBy("lane", "chunk").agg(F.max_by("h", place).alias("v"), (F.max(place) - F.col("chunk") * SCAN_CELLS + 1).alias("n"))
+        ends = ends.select("lane", (F.col("chunk") + 1).alias("k"), (F.col("chunk") + 1).alias("at"), "v", F.pow(S.lit(decay), F.col("n")).alias("f"), F.lit(0).cast("long").alias("chunk"))
+        carried = _folded(ends, "f").select("lane", F.col("at").alias("chunk"), F.col("h").alias("carry"))
+        within = place - F.col("chunk") * SCAN_CELLS + 1
+        own = own.join(carried, ["lane", "chunk"], "left").select("lane", "at", (F.col("h") + F.coalesce(F.col("carry") * F.pow(S.lit(decay), within), S.lit(0))).alias("h"))
+    return x.with_cells(own.select((F.col("lane") + F.col("at") * s).alias("pos"), F.col("h").alias("v")))

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Builder
 from ..plans import expr as E
 from ..plans import graph as G
+from ..scratch import fresh
 from ..streaming import ingest
 from ..tensor import literal
-from .tensors import FIRST, ROWS, load, tidy, vectors
+from .tensors import E_SQL, N, load, tidy, vectors
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,23 +28,23 @@ def query(name: str, sql: str | None = None):
 
 
 def _model(spark: SparkSession, sf_dir: str):
-    e = vectors(spark, sf_dir, ROWS)
-    b = Builder(spark).add("e", e.cells(), (20, 64))
-    x = E.node("literal", source="e", shape=[20, 64], dtype="f64")
+    e = vectors(spark, sf_dir)
+    b = Builder(spark).add("e", e.cells(), e.shape)
+    x = E.node("literal", source="e", shape=list(e.shape), dtype="f64")
     b.derive("twice", E.node("scale", E.node("scale", x, k=4), k=0.5))
-    b.derive("part", E.node("slice", x, starts=[5, 0], sizes=[10, 64]))
+    b.derive("part", E.node("slice", x, starts=[5, 0], sizes=[e.shape[0] - 10, 64]))
     b.derive("bf", E.node("cast", E.node("add", E.node("mul", x, x), x), dtype="bf16"))
     b.derive("gram", E.node("matmul", x, E.node("transpose", x)))
     b.derive("int8", E.node("quantize", x, scheme={"formula": "sym", "q": "i8", "block": (1, 16)}))
     return b.build()
 
 
-@query("expr_scale", f"WITH e AS ({FIRST}) SELECT r * 64 + c AS pos, round(2 * v, 6) + 0.0 AS v FROM e")
+@query("expr_scale", f"WITH e AS ({E_SQL}) SELECT r * 64 + c AS pos, round(2 * v, 6) + 0.0 AS v FROM e")
 def _scale(spark, sf_dir):
     return tidy(_model(spark, sf_dir).tensor("twice"))
 
 
-@query("expr_range", f"WITH e AS ({FIRST}) SELECT (r - 5) * 64 + c AS pos, round(v, 6) + 0.0 AS v FROM e WHERE r >= 5 AND r < 15 AND (r - 5) * 64 + c >= 100 AND (r - 5) * 64 + c < 200")
+@query("expr_range", f"WITH e AS ({E_SQL}) SELECT (r - 5) * 64 + c AS pos, round(v, 6) + 0.0 AS v FROM e WHERE r >= 5 AND (r - 5) * 64 + c >= 100 AND (r - 5) * 64 + c < 200")
 def _range(spark, sf_dir):
     return _model(spark, sf_dir).evaluate("part", 100, 200).select("pos", (F.round("v", 6) + 0.0).alias("v"))
 
@@ -56,12 +54,12 @@ def _deps(spark, sf_dir):
     return _model(spark, sf_dir).deps("part", 100, 200)
 
 
-@query("expr_matmul", f"WITH e AS ({FIRST}) SELECT a.r * 20 + b.r AS pos, round(sum(a.v * b.v), 5) + 0.0 AS v FROM e a JOIN e b ON a.c = b.c GROUP BY a.r, b.r")
+@query("expr_matmul", f"WITH e AS ({E_SQL}) SELECT a.r * {N} + b.r AS pos, round(sum(a.v * b.v), 5) + 0.0 AS v FROM e a JOIN e b ON a.c = b.c GROUP BY a.r, b.r")
 def _matmul(spark, sf_dir):
     return tidy(_model(spark, sf_dir).tensor("gram"), 5)
 
 
-@query("model_inspect", "SELECT * FROM (VALUES ('bf', 'bf16', 1280), ('e', 'f64', 1280), ('gram', 'f64', 400), ('int8', 'i8', 1280), ('part', 'f64', 640), ('twice', 'f64', 1280)) AS t(name, dtype, elements)")
+@query("model_inspect", f"SELECT name, dtype, CAST(elements AS BIGINT) AS elements FROM (SELECT n, unnest([{{'name': 'bf', 'dtype': 'bf16', 'elements': n * 64}}, {{'name': 'e', 'dtype': 'f64', 'elements': n * 64}}, {{'name': 'gram', 'dtype': 'f64', 'elements': n * n}}, {{'name': 'int8', 'dtype': 'i8', 'elements': n * 64}}, {{'name': 'part', 'dtype': 'f64', 'elements': (n - 10) * 64}}, {{'name': 'twice', 'dtype': 'f64', 'elements': n * 64}}], recursive := true) FROM (SELECT {N} AS n))")
 def _inspect(spark, sf_dir):
     return _model(spark, sf_dir).inspect().select("name", "dtype", "elements")
 
@@ -71,7 +69,7 @@ def _verify(spark, sf_dir):
     return _model(spark, sf_dir).verify().groupBy("rule", "status").agg(F.count("*").alias("n"))
 
 
-@query("model_stats", f"WITH e AS ({FIRST}) SELECT 'e' AS tensor, round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) AS n FROM e UNION ALL SELECT 'twice', round(min(2 * v), 6), round(max(2 * v), 6), count(*) FROM e")
+@query("model_stats", f"WITH e AS ({E_SQL}) SELECT 'e' AS tensor, round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) AS n FROM e UNION ALL SELECT 'twice', round(min(2 * v), 6), round(max(2 * v), 6), count(*) FROM e")
 def _stats(spark, sf_dir):
     got = _model(spark, sf_dir).stats(["e", "twice"])
     return got.select("tensor", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"), "n")
@@ -90,18 +88,18 @@ def _weights(spark, module: G.Module, shapes: dict[str, tuple]):
     return out
 
 
-@query("graph_mlp", f"WITH e AS ({FIRST}), w AS (SELECT o, i, ((o * 64 + i) * 7 + 3) % 11 - 5 AS w FROM generate_series(0, 3) AS a(o), generate_series(0, 63) AS b(i)) SELECT r * 4 + o AS pos, round(sum(v * w / 8.0) + ((o * 7) % 11 - 5) / 8.0, 5) + 0.0 AS v FROM e JOIN w ON w.i = e.c GROUP BY r, o")
+@query("graph_mlp", f"WITH e AS ({E_SQL}), w AS (SELECT o, i, ((o * 64 + i) * 7 + 3) % 11 - 5 AS w FROM generate_series(0, 3) AS a(o), generate_series(0, 63) AS b(i)) SELECT r * 4 + o AS pos, round(sum(v * w / 8.0) + ((o * 7) % 11 - 5) / 8.0, 5) + 0.0 AS v FROM e JOIN w ON w.i = e.c GROUP BY r, o")
 def _mlp(spark, sf_dir):
     m = G.synthesize("mlp", {"layers": 1})
-    return tidy(G.run(m, [vectors(spark, sf_dir, ROWS)], weights=_weights(spark, m, {"layers.0.bias": (4,), "layers.0.weight": (4, 64)})).results[0], 5)
+    return tidy(G.run(m, [vectors(spark, sf_dir)], weights=_weights(spark, m, {"layers.0.bias": (4,), "layers.0.weight": (4, 64)})).results[0], 5)
 
 
-@query("graph_lowered_norm", f"WITH e AS ({FIRST}) SELECT r * 64 + c AS pos, round(v / sqrt(avg(v * v) OVER (PARTITION BY r) + 1e-5), 5) + 0.0 AS v FROM e")
+@query("graph_lowered_norm", f"WITH e AS ({E_SQL}) SELECT r * 64 + c AS pos, round(v / sqrt(avg(v * v) OVER (PARTITION BY r) + 1e-5), 5) + 0.0 AS v FROM e")
 def _lowered(spark, sf_dir):
     f = G.Function("main", ("x",), (G.Op("nn.norm", ("x",), ("y",), {"kind": "rms"}), G.Op("core.return", ("y",))))
     m, n = G.rewrite(G.Module({"main": f}), G.LOWERINGS)
     assert n == 1
-    return tidy(G.run(m, [vectors(spark, sf_dir, ROWS)]).results[0], 5)
+    return tidy(G.run(m, [vectors(spark, sf_dir)]).results[0], 5)
 
 
 @query("graph_while", "SELECT 0 AS pos, 64.0 AS v")
@@ -122,8 +120,7 @@ def _verify_graph(spark, sf_dir):
 @query("stream_ingest", "SELECT sha256(event_type || CAST(user_id AS VARCHAR)) AS digest, CAST(max(length(event_type || CAST(user_id AS VARCHAR))) AS BIGINT) AS logical_len FROM events GROUP BY 1")
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as objects that arrive in a stream; every distinct one is stored once."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tensorloom-")
-    place = f"{root}/ingest-{uuid.uuid4().hex}"
+    place = fresh(spark, "ingest")
     events = load(spark, sf_dir, "events").select(F.concat("event_type", F.col("user_id").cast("string")).alias("payload"), F.col("ts").cast("timestamp").alias("ts"))
     events.write.parquet(f"{place}/in")
     stream = ingest.source(spark, f"{place}/in", "payload string, ts timestamp")

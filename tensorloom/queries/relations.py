@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns, template, tokenizer
 from ..operators import delta, elementwise, merge, objects, planner, structure
 from ..tensor import TensorRef
-from .tensors import FIRST, ROWS, load, tidy, vectors
+from .tensors import E_SQL, N, load, tidy, vectors
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,9 +25,15 @@ def query(name: str, sql: str | None = None):
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> list[TensorRef]:
-    """Rows 0-9 and rows 10-19 as two deltas."""
-    e = vectors(spark, sf_dir, ROWS)
-    return [structure.slice_(e, [0, 0], [10, 64]), structure.slice_(e, [10, 0], [20, 64])]
+    """The first and the second half of all rows as two deltas."""
+    e = vectors(spark, sf_dir)
+    half = e.shape[0] // 2
+    return [structure.slice_(e, [0, 0], [half, 64]), structure.slice_(e, [half, 0], [2 * half, 64])]
+
+
+#: Rows of a half, and both halves (k) as cells of one shape, in SQL.
+_H = f"({N} // 2)"
+_HALVES = f"SELECT r // {_H} AS k, (r % {_H}) * 64 + c AS pos, v FROM ({E_SQL}) WHERE r < 2 * {_H}"
 
 
 # -- merges --------------------------------------------------------------------------------
@@ -35,8 +41,8 @@ def _halves(spark: SparkSession, sf_dir: str) -> list[TensorRef]:
 
 @query(
     "ties_merge",
-    f"""WITH e AS ({FIRST}), d AS (SELECT r // 10 AS k, (r % 10) * 64 + c AS pos, v FROM e),
-    t AS (SELECT k, min(m) AS least FROM (SELECT k, abs(v) AS m, row_number() OVER (PARTITION BY k ORDER BY abs(v) DESC) AS i FROM d) WHERE i <= 128 GROUP BY k),
+    f"""WITH d AS ({_HALVES}),
+    t AS (SELECT k, min(m) AS least FROM (SELECT k, abs(v) AS m, row_number() OVER (PARTITION BY k ORDER BY abs(v) DESC) AS i FROM d) WHERE i <= ceil({_H} * 64 * 0.2) GROUP BY k),
     s AS (SELECT pos, coalesce(sum(v) FILTER (v > 0), 0) AS up, coalesce(-sum(v) FILTER (v < 0), 0) AS down, count(*) FILTER (v > 0) AS nu, count(*) FILTER (v < 0) AS nd
           FROM d JOIN t USING (k) WHERE abs(v) >= least GROUP BY pos)
     SELECT d.pos, round(coalesce(CASE WHEN up >= down THEN CASE WHEN nu > 0 THEN up / nu ELSE 0 END ELSE -down / nd END, 0), 6) + 0.0 AS v FROM (SELECT DISTINCT pos FROM d) d LEFT JOIN s USING (pos)""",
@@ -47,7 +53,7 @@ def _ties(spark, sf_dir):
 
 @query(
     "slerp_merge",
-    f"""WITH e AS ({FIRST}), b AS (SELECT a.r * 64 + a.c AS pos, a.v AS x, b.v AS y FROM e a JOIN e b ON b.r = a.r + 10 AND a.c = b.c),
+    f"""WITH d AS ({_HALVES}), b AS (SELECT a.pos, a.v AS x, b.v AS y FROM d a JOIN d b ON a.k = 0 AND b.k = 1 AND a.pos = b.pos),
     s AS (SELECT acos(sum(x * y) / sqrt(sum(x * x)) / sqrt(sum(y * y))) AS w FROM b)
     SELECT pos, round(x * sin(0.7 * w) / sin(w) + y * sin(0.3 * w) / sin(w), 6) + 0.0 AS v FROM b, s""",
 )
@@ -55,7 +61,7 @@ def _slerp(spark, sf_dir):
     return tidy(merge.slerp(*_halves(spark, sf_dir), 0.3))
 
 
-@query("parallel_sum", f"WITH e AS ({FIRST}) SELECT (r % 10) * 64 + c AS pos, round(sum(v * CASE WHEN r < 10 THEN 0.25 ELSE 0.75 END), 6) + 0.0 AS v FROM e GROUP BY ALL")
+@query("parallel_sum", f"WITH d AS ({_HALVES}) SELECT pos, round(sum(v * CASE WHEN k = 0 THEN 0.25 ELSE 0.75 END), 6) + 0.0 AS v FROM d GROUP BY pos")
 def _parallel(spark, sf_dir):
     return tidy(merge.parallel_sum(_halves(spark, sf_dir), [0.25, 0.75]))
 
@@ -67,16 +73,16 @@ def _dare(spark, sf_dir):
     return tidy(merge.dare([structure.slice_(e, [0, 0], [n, width // 2]), structure.slice_(e, [0, width // 2], [n, width])], 0.5, seed=7))
 
 
-@query("lora_apply", f"WITH e AS ({FIRST}), d AS (SELECT b.r, a.c, sum(a.v * b.v) AS v FROM e a JOIN e b ON b.c = a.r AND a.r < 4 AND b.c < 4 GROUP BY ALL) SELECT e.r * 64 + e.c AS pos, round(e.v + 2 * d.v, 5) + 0.0 AS v FROM e JOIN d USING (r, c)")
+@query("lora_apply", f"WITH e AS ({E_SQL}), d AS (SELECT b.r, a.c, sum(a.v * b.v) AS v FROM e a JOIN e b ON b.c = a.r AND a.r < 4 AND b.c < 4 GROUP BY ALL) SELECT e.r * 64 + e.c AS pos, round(e.v + 2 * d.v, 5) + 0.0 AS v FROM e JOIN d USING (r, c)")
 def _lora(spark, sf_dir):
-    e = vectors(spark, sf_dir, ROWS)
-    return tidy(merge.lora(e, structure.slice_(e, [0, 0], [4, 64]), structure.slice_(e, [0, 0], [20, 4]), 8, 4), 5)
+    e = vectors(spark, sf_dir)
+    return tidy(merge.lora(e, structure.slice_(e, [0, 0], [4, 64]), structure.slice_(e, [0, 0], [e.shape[0], 4]), 8, 4), 5)
 
 
-@query("ia3_apply", f"WITH e AS ({FIRST}) SELECT a.r * 64 + a.c AS pos, round(a.v * b.v, 6) + 0.0 AS v FROM e a JOIN e b ON b.r = a.r AND b.c = 0")
+@query("ia3_apply", f"WITH e AS ({E_SQL}) SELECT a.r * 64 + a.c AS pos, round(a.v * b.v, 6) + 0.0 AS v FROM e a JOIN e b ON b.r = a.r AND b.c = 0")
 def _ia3(spark, sf_dir):
-    e = vectors(spark, sf_dir, ROWS)
-    return tidy(merge.ia3(e, structure.reshape(structure.slice_(e, [0, 0], [20, 1]), (20,))))
+    e = vectors(spark, sf_dir)
+    return tidy(merge.ia3(e, structure.reshape(structure.slice_(e, [0, 0], [e.shape[0], 1]), (-1,))))
 
 
 @query("adapter_attach", r"SELECT p_name AS name, 0 AS rule, 'lora' AS method, regexp_replace(p_brand, '.*#', '') || '.a' AS a FROM part WHERE p_brand LIKE '%#1%' UNION ALL SELECT p_name, 1, 'ia3', 'rest' FROM part WHERE p_brand NOT LIKE '%#1%'")
@@ -125,12 +131,16 @@ def _chunks(spark, sf_dir):
     return delta.chunk_diff(delta.chunk_digests(a, chunk=1024), delta.chunk_digests(b, chunk=1024))
 
 
-@query("delta_report", f"WITH p AS ({_PAIR}), w AS (SELECT tensor, count(*) FILTER (b <> t) AS changed, count(*) AS n FROM p GROUP BY tensor) SELECT CASE WHEN changed = 0 THEN 'identical' ELSE 'full' END AS kind, count(*) AS tensors, CAST(sum(CASE WHEN changed = 0 THEN 0 ELSE n * 4 END) AS BIGINT) AS bytes FROM w WHERE tensor <> 'N' GROUP BY ALL")
+@query(
+    "delta_report",
+    f"""WITH p AS ({_PAIR}), k AS (SELECT tensor, pos // 65536 AS chunk, count(*) FILTER (b <> t) AS ch, count(*) AS n FROM p GROUP BY ALL),
+    w AS (SELECT tensor, sum(ch) AS changed, sum(n) AS n, sum(CASE WHEN ch > 0 THEN n ELSE 0 END) AS inch FROM k GROUP BY tensor),
+    r AS (SELECT CASE WHEN changed = 0 THEN 'identical' WHEN inch * 4 <= least(changed * 12, n * 4) THEN 'chunk' WHEN changed * 12 <= n * 4 THEN 'sparse' ELSE 'full' END AS kind,
+      CASE WHEN changed = 0 THEN 0 ELSE least(inch * 4, changed * 12, n * 4) END AS bytes FROM w)
+    SELECT kind, count(*) AS tensors, CAST(sum(bytes) AS BIGINT) AS bytes FROM r GROUP BY kind""",
+)
 def _report(spark, sf_dir):
-    a, b = (x.where("tensor <> 'N'") for x in _pair(spark, sf_dir))
-    # One chunk holds a whole tensor here, so a changed tensor costs all its cells either way.
-    got = delta.report(delta.analyze(a, b, chunk=1 << 40)).select("kind", "tensors", "bytes")
-    return got.withColumn("kind", F.when(F.col("kind") == "chunk", "full").otherwise(F.col("kind")))
+    return delta.report(delta.analyze(*_pair(spark, sf_dir))).select("kind", "tensors", "bytes")
 
 
 @query("lowrank_delta")
@@ -140,7 +150,7 @@ def _lowrank(spark, sf_dir):
     return delta.low_rank(rows, *e.shape, 3).select("tensor", "k", F.round("sigma", 4).alias("sigma")).distinct()
 
 
-@query("delta_apply", f"WITH e AS ({FIRST}) SELECT a.r * 64 + a.c AS pos, round(CASE WHEN b.v > 0 THEN b.v ELSE a.v END, 6) + 0.0 AS v FROM e a JOIN e b ON b.r = a.r + 10 AND a.c = b.c")
+@query("delta_apply", f"WITH d AS ({_HALVES}) SELECT a.pos, round(CASE WHEN b.v > 0 THEN b.v ELSE a.v END, 6) + 0.0 AS v FROM d a JOIN d b ON a.k = 0 AND b.k = 1 AND a.pos = b.pos")
 def _apply(spark, sf_dir):
     a, b = _halves(spark, sf_dir)
     patch = b.with_cells(b.cells().where("v > 0"))
@@ -153,9 +163,9 @@ def _verified(spark, sf_dir):
     return delta.verify_range(b, delta.chunk_digests(a, chunk=1024), 2100, 5000, chunk=1024)
 
 
-@query("materialized_digest", f"WITH p AS ({_PAIR}) SELECT tensor, CASE WHEN count(*) FILTER (b <> t) > 0 THEN 'invalid' ELSE 'valid' END AS status FROM p WHERE pos < 4096 GROUP BY tensor")
+@query("materialized_digest", f"WITH p AS ({_PAIR}) SELECT tensor, CASE WHEN count(*) FILTER (b <> t) > 0 THEN 'invalid' ELSE 'valid' END AS status FROM p GROUP BY tensor")
 def _materialized(spark, sf_dir):
-    a, b = (x.where("pos < 4096") for x in _pair(spark, sf_dir))
+    a, b = _pair(spark, sf_dir)
     return delta.materialized(b, delta.chunk_digests(a, chunk=1 << 62).drop("seq"))
 
 
@@ -166,11 +176,25 @@ def _params(spark, sf_dir):
     return objects.params_total(tensors, part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("name")))
 
 
-@query("lineage", "SELECT CAST(k AS VARCHAR) AS digest, 20 - k AS depth FROM generate_series(1, 20) AS g(k)")
+@query("lineage", "SELECT CAST(o_orderkey AS VARCHAR) AS digest, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS depth FROM orders WHERE o_custkey = (SELECT arg_max(o_custkey, o_orderkey) FROM orders)")
 def _lineage(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").where("o_orderkey <= 40 AND o_orderkey > 0")
-    parents = o.select(F.col("o_orderkey").cast("string").alias("digest"), F.when(F.col("o_orderkey") > 1, (F.col("o_orderkey") - 1).cast("string")).alias("parent"))
-    return objects.lineage(parents, "20").withColumn("depth", F.col("depth").cast("long"))
+    """Each order descends from its customer's order before it; the last order's line is followed."""
+    return objects.lineage(_before(spark, sf_dir), _last(spark, sf_dir), limit=10_000).withColumn("depth", F.col("depth").cast("long"))
+
+
+def _before(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return o.select(F.col("o_orderkey").cast("string").alias("digest"), before.cast("string").alias("parent"))
+
+
+def _last(spark, sf_dir) -> str:
+    return str(load(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0])
+
+
+@query("resolve_chain", "SELECT CAST(row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS INTEGER) AS depth, CAST(o_orderkey AS VARCHAR) AS digest, 'present' AS status FROM orders WHERE o_custkey = (SELECT arg_max(o_custkey, o_orderkey) FROM orders)")
+def _chain_of(spark, sf_dir):
+    return delta.resolve_chain(_before(spark, sf_dir).withColumn("required", F.lit(True)), _last(spark, sf_dir), limit=10_000)
 
 
 @query("object_stat", "SELECT CAST(length(lang) AS INTEGER) AS otype, count(DISTINCT text) AS objects, CAST(sum(n) AS BIGINT) AS bytes, CAST(sum(k) AS BIGINT) AS named FROM (SELECT lang, text, octet_length(encode(text)) AS n, CASE WHEN min(doc_id) % 2 = 0 THEN 1 ELSE 0 END AS k FROM documents GROUP BY ALL) GROUP BY 1")
@@ -276,14 +300,16 @@ def _copy(spark, sf_dir):
 
 @query(
     "coalesce_ranges",
-    """WITH o AS (SELECT o_custkey AS source, o_orderkey * 100 AS "offset", CAST(o_totalprice AS BIGINT) % 150 + 1 AS length FROM orders WHERE o_custkey % 2 = 0),
-    a AS (SELECT *, max("offset" + length) OVER (PARTITION BY source ORDER BY "offset", length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
-    b AS (SELECT *, sum(CASE WHEN reach IS NULL OR "offset" > reach + 5000 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY "offset", length) AS island FROM a),
-    c AS (SELECT *, ("offset" - min("offset") OVER (PARTITION BY source, island)) // 20000 AS cut FROM b)
-    SELECT source, min("offset") AS "offset", max("offset" + length) - min("offset") AS length, count(*) AS parts FROM c GROUP BY source, island, cut""",
+    """WITH RECURSIVE r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o, n) AS i FROM (SELECT o_custkey % 50 AS source, o_orderkey * 100 AS o, CAST(round_even(o_totalprice, 0) AS BIGINT) % 150 AS n FROM orders) WHERE n > 0),
+    f AS (
+      SELECT source, i, o AS s, o + n AS e FROM r WHERE i = 1
+      UNION ALL
+      SELECT r.source, r.i, CASE WHEN o <= e + 5000 AND o + n - s <= 20000 THEN s ELSE o END, CASE WHEN o <= e + 5000 AND o + n - s <= 20000 THEN greatest(e, o + n) ELSE o + n END
+      FROM f JOIN r ON r.source = f.source AND r.i = f.i + 1)
+    SELECT source, s AS "offset", max(e) - s AS length, count(*) AS parts FROM f GROUP BY source, s""",
 )
 def _ranges(spark, sf_dir):
-    rows = load(spark, sf_dir, "orders").where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") * 100).alias("offset"), (F.rint("o_totalprice").cast("long") % 150 + 1).alias("length"))
+    rows = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("source"), (F.col("o_orderkey") * 100).alias("offset"), (F.rint("o_totalprice").cast("long") % 150).alias("length"))
     return objects.coalesce_ranges(rows, gap=5000, most=20000)
 
 
@@ -485,7 +511,7 @@ def _unigram(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.size(tokenizer.encode(model)("text")).alias("n"))
 
 
-@query("cast_elementwise_chain", f"WITH e AS ({FIRST}) SELECT r * 64 + c AS pos, round(CAST(CAST(v * v + v AS FLOAT) AS DOUBLE), 6) + 0.0 AS v FROM e")
+@query("cast_elementwise_chain", f"WITH e AS ({E_SQL}) SELECT r * 64 + c AS pos, round(CAST(CAST(v * v + v AS FLOAT) AS DOUBLE), 6) + 0.0 AS v FROM e")
 def _chain(spark, sf_dir):
-    e = vectors(spark, sf_dir, ROWS)
+    e = vectors(spark, sf_dir)
     return tidy(elementwise.cast(elementwise.add(elementwise.mul(e, e), e), "f32"))

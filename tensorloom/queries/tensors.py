@@ -13,18 +13,18 @@ from ..functions.dtypes import TYPES, round_through
 from ..operators import contract, elementwise, nn, quant, reduce, sparse, structure, windowed
 from ..tensor import TensorRef, arange, eye, from_cells, generate, literal
 
-ROWS, WIDTH = 20, 64
+WIDTH = 64
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vectors(spark: SparkSession, sf_dir: str, rows: int | None = None) -> TensorRef:
-    """The embeddings; vec_id is the row number, which the shape takes from the table."""
+def vectors(spark: SparkSession, sf_dir: str) -> TensorRef:
+    """All embeddings; vec_id is the row number, and the shape comes from the table's own count."""
     df = load(spark, sf_dir, "embeddings")
-    n = rows or df.count()
-    flat = df.where(F.col("vec_id") < n).select("vec_id", F.posexplode("embedding").alias("c", "v"))
+    n = df.count()
+    flat = df.select("vec_id", F.posexplode("embedding").alias("c", "v"))
     return from_cells(flat.select((F.col("vec_id") * WIDTH + F.col("c")).alias("pos"), "v"), (n, WIDTH))
 
 
@@ -162,67 +162,81 @@ def _stats(spark, sf_dir):
 
 # -- structure ------------------------------------------------------------------------
 
-FIRST = f"SELECT * FROM ({E_SQL}) WHERE r < {ROWS}"
+#: The number of rows of E, and all integers below a bound, in SQL.
+N = "(SELECT count(*) FROM embeddings)"
+
+
+def upto(n, name: str) -> str:
+    return f"(SELECT unnest(generate_series(0, CAST({n} AS BIGINT) - 1)) AS {name})"
 
 
 def _shape(name: str, sql: str):
     def keep(f):
-        return query(name, f"WITH e AS ({FIRST}) {sql}")(lambda s, d: tidy(f(vectors(s, d, ROWS))))
+        return query(name, f"WITH e AS ({E_SQL}) {sql}")(lambda s, d: tidy(f(vectors(s, d))))
 
     return keep
 
 
-_shape("permute", "SELECT c * 20 + r AS pos, round(v, 6) + 0.0 AS v FROM e")(lambda e: structure.permute(e, [1, 0]))
-_shape("transpose", "SELECT c * 20 + r AS pos, round(v, 6) + 0.0 AS v FROM e")(lambda e: structure.transpose(e))
+def _image(e: TensorRef) -> TensorRef:
+    return structure.reshape(e, (1, 1, *e.shape))
+
+
+_shape("permute", f"SELECT c * {N} + r AS pos, round(v, 6) + 0.0 AS v FROM e")(lambda e: structure.permute(e, [1, 0]))
+_shape("transpose", f"SELECT c * {N} + r AS pos, round(v, 6) + 0.0 AS v FROM e")(lambda e: structure.transpose(e))
 _shape("reshape", "SELECT r * 64 + c AS pos, round(v, 6) + 0.0 AS v FROM e")(lambda e: structure.reshape(e, (-1, 16)))
-_shape("slice", "SELECT (r // 2 - 1) * 10 + (c - 4) // 3 AS pos, round(v, 6) + 0.0 AS v FROM e WHERE r >= 2 AND r < 18 AND r % 2 = 0 AND c >= 4 AND c < 34 AND (c - 4) % 3 = 0")(
-    lambda e: structure.slice_(e, [2, 4], [18, 34], [2, 3])
+_shape("slice", "SELECT (r // 2 - 1) * 10 + (c - 4) // 3 AS pos, round(v, 6) + 0.0 AS v FROM e WHERE r >= 2 AND r % 2 = 0 AND c >= 4 AND c < 34 AND (c - 4) % 3 = 0")(
+    lambda e: structure.slice_(e, [2, 4], [e.shape[0], 34], [2, 3])
 )
 _shape("concat", "SELECT r * 128 + c AS pos, round(v, 6) + 0.0 AS v FROM e UNION ALL SELECT r * 128 + 64 + c, round(-v, 6) + 0.0 FROM e")(lambda e: structure.concat([e, elementwise.unary("neg", e)], 1))
 _shape("split", "SELECT r * 40 + c - 16 AS pos, round(v, 6) + 0.0 AS v FROM e WHERE c >= 16 AND c < 56")(lambda e: structure.split(e, 1, [16, 40, 8], 1))
-_shape("squeeze", "SELECT c AS pos, round(v, 6) + 0.0 AS v FROM e WHERE r = 3")(lambda e: structure.squeeze(structure.slice_(e, [3, 0], [4, 64]), [0]))
-_shape("broadcast_to", "SELECT k * 64 + c AS pos, round(v, 6) + 0.0 AS v FROM e, generate_series(0, 4) AS g(k) WHERE r = 0")(lambda e: structure.broadcast_to(structure.slice_(e, [0, 0], [1, 64]), (5, 64)))
+_shape("squeeze", "SELECT r * 64 + c AS pos, round(v, 6) + 0.0 AS v FROM e")(lambda e: structure.squeeze(structure.reshape(e, (e.shape[0], 1, WIDTH)), [1]))
+_shape("broadcast_to", f"SELECT k * {N} * 64 + r * 64 + c AS pos, round(v, 6) + 0.0 AS v FROM e, generate_series(0, 2) AS g(k)")(lambda e: structure.broadcast_to(structure.reshape(e, (1, *e.shape)), (3, *e.shape)))
 _shape("broadcast_add", "SELECT a.r * 64 + a.c AS pos, round(a.v + b.v, 6) + 0.0 AS v FROM e a JOIN e b ON a.c = b.c AND b.r = 0")(lambda e: elementwise.add(e, structure.slice_(e, [0, 0], [1, 64])))
 
-_GRID = "SELECT i, j FROM generate_series(0, 24) AS a(i), generate_series(0, 67) AS b(j)"
+_GRID = f"SELECT i, j FROM {upto(f'{N} + 5', 'i')}, {upto(68, 'j')}"
 _shape("pad_constant", f"SELECT i * 68 + j AS pos, round(coalesce(v, 7), 6) + 0.0 AS v FROM ({_GRID}) LEFT JOIN e ON r = i - 2 AND c = j - 1")(lambda e: structure.pad(e, [2, 1], [3, 3], "constant", 7))
-_shape("pad_edge", f"SELECT i * 68 + j AS pos, round(v, 6) + 0.0 AS v FROM ({_GRID}) JOIN e ON r = least(greatest(i - 2, 0), 19) AND c = least(greatest(j - 1, 0), 63)")(lambda e: structure.pad(e, [2, 1], [3, 3], "edge"))
-_shape("pad_reflect", f"SELECT i * 68 + j AS pos, round(v, 6) + 0.0 AS v FROM ({_GRID}) JOIN e ON r = 19 - abs(19 - abs(i - 2)) AND c = 63 - abs(63 - abs(j - 1))")(lambda e: structure.pad(e, [2, 1], [3, 3], "reflect"))
-_shape("pad_wrap", f"SELECT i * 68 + j AS pos, round(v, 6) + 0.0 AS v FROM ({_GRID}) JOIN e ON r = (i + 18) % 20 AND c = (j + 63) % 64")(lambda e: structure.pad(e, [2, 1], [3, 3], "wrap"))
-_shape("gather", "SELECT k * 64 + c AS pos, round(v, 6) + 0.0 AS v FROM e JOIN (VALUES (0, 5), (1, 5), (2, 0), (3, 19)) AS g(k, i) ON r = i")(lambda e: structure.gather(e, literal(e.spark, [5, 5, 0, 19]), 0))
+_shape("pad_edge", f"SELECT i * 68 + j AS pos, round(v, 6) + 0.0 AS v FROM (SELECT i, j, least(greatest(i - 2, 0), {N} - 1) AS y, least(greatest(j - 1, 0), 63) AS x FROM ({_GRID})) JOIN e ON r = y AND c = x")(lambda e: structure.pad(e, [2, 1], [3, 3], "edge"))
+_shape("pad_reflect", f"SELECT i * 68 + j AS pos, round(v, 6) + 0.0 AS v FROM (SELECT i, j, {N} - 1 - abs({N} - 1 - abs(i - 2)) AS y, 63 - abs(63 - abs(j - 1)) AS x FROM ({_GRID})) JOIN e ON r = y AND c = x")(lambda e: structure.pad(e, [2, 1], [3, 3], "reflect"))
+_shape("pad_wrap", f"SELECT i * 68 + j AS pos, round(v, 6) + 0.0 AS v FROM (SELECT i, j, (i + {N} - 2) % {N} AS y, (j + 63) % 64 AS x FROM ({_GRID})) JOIN e ON r = y AND c = x")(lambda e: structure.pad(e, [2, 1], [3, 3], "wrap"))
+_shape("gather", f"SELECT k * 64 + c AS pos, round(v, 6) + 0.0 AS v FROM (SELECT k, (k * 7 + 3) % {N} AS i FROM {upto(N, 'k')}) JOIN e ON r = i")(lambda e: structure.gather(e, generate(e.spark, (e.shape[0],), lambda p: (p * 7 + 3) % e.shape[0]), 0))
 _shape("gather_columns", "SELECT r * 3 + k AS pos, round(v, 6) + 0.0 AS v FROM e JOIN (VALUES (0, 63), (1, 1), (2, 1)) AS g(k, i) ON c = i")(lambda e: structure.gather(e, literal(e.spark, [63, 1, 1]), 1))
+_shape("nn_embedding", f"SELECT k * 64 + c AS pos, round(v, 6) + 0.0 AS v FROM (SELECT k, (k * 3 + 1) % {N} AS i FROM {upto(N, 'k')}) JOIN e ON r = i")(lambda e: structure.embedding(e, generate(e.spark, (e.shape[0],), lambda p: (p * 3 + 1) % e.shape[0])))
 for _red, _sql in {"add": "e.v + coalesce(sum(u.v), 0)", "max": "greatest(e.v, coalesce(max(u.v), e.v))", "min": "least(e.v, coalesce(min(u.v), e.v))", "mul": "e.v * coalesce(product(u.v), 1)", "replace": "coalesce(max_by(u.v, u.r), e.v)"}.items():
     _shape(
         f"scatter_{_red}",
-        f"SELECT e.r * 64 + e.c AS pos, round({_sql}, 6) + 0.0 AS v FROM e LEFT JOIN e u ON u.r >= 10 AND (u.r * 7) % 4 = e.r AND u.c = e.c GROUP BY e.r, e.c, e.v",
-    )(
-        lambda e, red=_red: structure.scatter(
-            e, generate(e.spark, (10, 64), lambda p: ((F.expr("pos div 64L") + 10) * 7) % 4), structure.slice_(e, [10, 0], [20, 64]), 0, red
-        )
-    )
-_shape("eye_add", "SELECT r * 64 + c AS pos, round(v + CASE WHEN r = c THEN 1 ELSE 0 END, 6) + 0.0 AS v FROM e")(lambda e: elementwise.add(e, eye(e.spark, 20, 64)))
+        f"SELECT e.r * 64 + e.c AS pos, round({_sql}, 6) + 0.0 AS v FROM e LEFT JOIN (SELECT r, c, v, (r * 7) % (({N} + 3) // 4) AS i FROM e) u ON u.i = e.r AND u.c = e.c GROUP BY e.r, e.c, e.v",
+    )(lambda e, red=_red: structure.scatter(e, generate(e.spark, e.shape, lambda p: (F.expr("pos div 64L") * 7) % ((e.shape[0] + 3) // 4)), e, 0, red))
+_shape("eye_add", "SELECT r * 64 + c AS pos, round(v + CASE WHEN r = c THEN 1 ELSE 0 END, 6) + 0.0 AS v FROM e")(lambda e: elementwise.add(e, eye(e.spark, *e.shape)))
 _shape("arange_mul", "SELECT r * 64 + c AS pos, round(v * (2 + 0.5 * c), 6) + 0.0 AS v FROM e")(lambda e: elementwise.mul(e, arange(e.spark, 64, 2, 0.5)))
 
 # -- contractions and windows ---------------------------------------------------------
 
-_shape("matmul", "SELECT a.r * 20 + b.r AS pos, round(sum(a.v * b.v), 5) + 0.0 AS v FROM e a JOIN e b ON a.c = b.c GROUP BY a.r, b.r")(lambda e: contract.matmul(e, structure.transpose(e)).map(lambda v: F.round(v, 5)))
-_shape("einsum_bilinear", "SELECT a.r AS pos, round(sum(a.v * b.v * g.v), 4) + 0.0 AS v FROM e a JOIN e b ON a.r = b.r JOIN (SELECT r, c, v FROM e) g ON g.r = a.c % 20 AND g.c = b.c AND a.c < 20 GROUP BY a.r")(
-    lambda e: contract.einsum("ri,rj,ij->r", structure.slice_(e, [0, 0], [20, 20]), e, e).map(lambda v: F.round(v, 4))
+_shape("matmul", f"SELECT a.r * {N} + b.r AS pos, round(sum(a.v * b.v), 5) + 0.0 AS v FROM e a JOIN e b ON a.c = b.c GROUP BY a.r, b.r")(lambda e: contract.matmul(e, structure.transpose(e)).map(lambda v: F.round(v, 5)))
+_shape("einsum_bilinear", "SELECT a.r AS pos, round(sum(a.v * b.v * g.v), 4) + 0.0 AS v FROM e a JOIN e b ON a.r = b.r JOIN e g ON g.r = a.c AND g.c = b.c GROUP BY a.r")(
+    lambda e: contract.einsum("ri,rj,ij->r", e, e, structure.slice_(e, [0, 0], [64, 64])).map(lambda v: F.round(v, 4))
+)
+_shape("einsum_trace", "SELECT r AS pos, round(sum(v), 6) + 0.0 AS v FROM e WHERE c // 8 = c % 8 GROUP BY r")(lambda e: contract.einsum("rii->r", structure.reshape(e, (e.shape[0], 8, 8))))
+_shape("matmul_pairwise", "SELECT a.r * 4 + b.r AS pos, round(sum(a.v * b.v), 5) + 0.0 AS v FROM e a JOIN e b ON a.c = b.c AND b.r < 4 GROUP BY a.r, b.r")(
+    lambda e: contract.matmul(e, structure.transpose(structure.slice_(e, [0, 0], [4, 64])), order="pairwise").map(lambda v: F.round(v, 5))
+)
+_shape("linear", "SELECT a.r * 64 + b.r AS pos, round(sum(a.v * b.v) + max(g.v), 5) + 0.0 AS v FROM e a JOIN e b ON a.c = b.c AND b.r < 64 JOIN e g ON g.r = 0 AND g.c = b.r GROUP BY a.r, b.r")(
+    lambda e: contract.linear(e, structure.slice_(e, [0, 0], [64, 64]), structure.reshape(structure.slice_(e, [0, 0], [1, 64]), (64,))).map(lambda v: F.round(v, 5))
 )
-_shape("einsum_trace", "SELECT 0 AS pos, round(sum(v), 6) + 0.0 AS v FROM e WHERE r = c")(lambda e: contract.einsum("ii->", structure.slice_(e, [0, 0], [20, 20])))
 
 
 @query(
     "gram_topk",
     f"""WITH e AS ({E_SQL}), n AS (SELECT r, sqrt(sum(v * v)) AS n FROM e GROUP BY r),
-    s AS (SELECT a.r AS q, b.r AS k, sum((a.v / na.n) * (b.v / nb.n)) AS s FROM e a JOIN e b ON a.c = b.c JOIN n na ON na.r = a.r JOIN n nb ON nb.r = b.r WHERE a.r < {ROWS} GROUP BY ALL),
+    s AS (SELECT a.r AS q, b.r AS k, sum((a.v / na.n) * (b.v / nb.n)) AS s FROM e a JOIN e b ON a.c = b.c JOIN n na ON na.r = a.r JOIN n nb ON nb.r = b.r WHERE a.r % 100 = 0 GROUP BY ALL),
     t AS (SELECT q, k, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, k) AS rank FROM s)
     SELECT q AS row, rank - 1 AS rank, k AS neighbour, round(s, 6) AS score FROM t WHERE rank <= 5""",
 )
 def gram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values, index = nn.cosine_topk(vectors(spark, sf_dir), vectors(spark, sf_dir, ROWS), 5)
+    """The rows whose number is divisible by 100 are the queries, against all rows."""
+    e = vectors(spark, sf_dir)
+    values, index = nn.cosine_topk(e, structure.slice_(e, [0, 0], list(e.shape), [100, 1]), 5)
     both = values.cells().withColumnRenamed("v", "score").join(index.cells().withColumnRenamed("v", "k"), "pos")
-    return both.select(F.expr("pos div 5L").alias("row"), (F.col("pos") % 5).alias("rank"), F.col("k").cast("long").alias("neighbour"), F.round("score", 6).alias("score"))
+    return both.select((F.expr("pos div 5L") * 100).alias("row"), (F.col("pos") % 5).alias("rank"), F.col("k").cast("long").alias("neighbour"), F.round("score", 6).alias("score"))
 
 
 _shape("softmax", "SELECT r * 64 + c AS pos, round(exp(v - max(v) OVER w) / sum(exp(v)) OVER w * exp(max(v) OVER w), 6) + 0.0 AS v FROM e WINDOW w AS (PARTITION BY r)")(lambda e: windowed.softmax(e))
@@ -247,63 +261,62 @@ _shape(
 
 
 def _heads(e: TensorRef) -> TensorRef:
-    """[20, 64] as [1, 4, 20, 16]."""
-    return structure.reshape(structure.permute(structure.reshape(e, (20, 4, 16)), [1, 0, 2]), (1, 4, 20, 16))
+    """[n, 64] as [1, 4, n, 16]."""
+    n = e.shape[0]
+    return structure.reshape(structure.permute(structure.reshape(e, (n, 4, 16)), [1, 0, 2]), (1, 4, n, 16))
 
 
-_ATT = """, q AS (SELECT c // 16 AS h, r AS i, c % 16 AS d, v FROM e),
-    s AS (SELECT a.h, a.i, b.i AS j, sum(a.v * b.v) / 4 AS s FROM q a JOIN q b ON a.h = b.h AND a.d = b.d WHERE {keep} GROUP BY ALL),
-    p AS (SELECT h, i, j, exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY h, i) AS p FROM (SELECT *, max(s) OVER (PARTITION BY h, i) AS m FROM s))
-    SELECT p.h * 320 + p.i * 16 + q.d AS pos, round(sum(p * v), 5) + 0.0 AS v FROM p JOIN q ON q.h = p.h AND q.i = p.j GROUP BY ALL"""
+_ATT = f"""WITH e AS ({E_SQL}), q AS (SELECT c // 16 AS h, r AS i, c % 16 AS d, v FROM e),
+    s AS (SELECT a.h, a.i, b.i AS j, sum(a.v * b.v) / 4 AS s FROM q a JOIN q b ON a.h = b.h AND a.d = b.d WHERE {{keep}} GROUP BY ALL),
+    p AS (SELECT h, i, j, exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY h, i) AS p FROM (SELECT *, max(s) OVER (PARTITION BY h, i) AS m FROM s)),
+    o AS (SELECT p.h, p.i, q.d, sum(p * v) AS v FROM p JOIN q ON q.h = p.h AND q.i = p.j GROUP BY ALL)
+    SELECT h * {N} * 16 + i * 16 + d AS pos, round(v, 5) + 0.0 AS v FROM o"""
 for _name, _keep, _options in (("attention", "true", {}), ("attention_causal", "b.i <= a.i", {"causal": True}), ("attention_window", "b.i <= a.i AND b.i > a.i - 4", {"causal": True, "window": 4})):
-    query(_name, f"WITH e AS ({FIRST})" + _ATT.format(keep=_keep).replace("SELECT p.h * 320 + p.i * 16 + q.d AS pos, round(sum(p * v), 5) + 0.0 AS v FROM p JOIN q ON q.h = p.h AND q.i = p.j GROUP BY ALL", "SELECT pos, round(v, 5) + 0.0 AS v FROM (SELECT p.h * 320 + p.i * 16 + q.d AS pos, sum(p * v) AS v FROM p JOIN q ON q.h = p.h AND q.i = p.j GROUP BY ALL)"))(
-        lambda s, d, o=_options: tidy(nn.attention(*[_heads(vectors(s, d, ROWS))] * 3, **o), 5)
-    )
+    query(_name, _ATT.format(keep=_keep))(lambda s, d, o=_options: tidy(nn.attention(*[_heads(vectors(s, d))] * 3, **o), 5))
 
 
 @query(
     "moe_route",
-    f"""WITH e AS ({FIRST}), w AS (SELECT r AS x, c AS k, v FROM e WHERE c < 8),
+    f"""WITH e AS ({E_SQL}), w AS (SELECT r AS x, c AS k, v FROM e WHERE r < 64 AND c < 8),
     s AS (SELECT a.r, w.k, sum(a.v * w.v) AS s FROM e a JOIN w ON a.c = w.x GROUP BY ALL),
     p AS (SELECT r, k, exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY r) AS p FROM (SELECT *, max(s) OVER (PARTITION BY r) AS m FROM s)),
     t AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p DESC, k) AS rank FROM p)
     SELECT r AS token, rank - 1 AS rank, k AS expert, round(p / sum(p) OVER (PARTITION BY r), 5) AS weight FROM t WHERE rank <= 2""",
 )
 def _moe(spark, sf_dir):
-    e = vectors(spark, sf_dir, ROWS)
-    w = structure.slice_(e, [0, 0], [20, 8])
-    weights, index = nn.moe_route(structure.slice_(e, [0, 0], [20, 20]), w, top_k=2, normalize=True)
+    """All rows are tokens; the first 64 rows' first columns are the router's weights."""
+    e = vectors(spark, sf_dir)
+    weights, index = nn.moe_route(e, structure.slice_(e, [0, 0], [64, 8]), top_k=2, normalize=True)
     both = weights.cells().withColumnRenamed("v", "w").join(index.cells().withColumnRenamed("v", "k"), "pos")
     return both.select(F.expr("pos div 2L").alias("token"), (F.col("pos") % 2).alias("rank"), F.col("k").cast("long").alias("expert"), F.round("w", 5).alias("weight"))
 
 
-_shape("pool_avg", "SELECT (r // 2) * 16 + c // 4 AS pos, round(avg(v), 6) + 0.0 AS v FROM e GROUP BY ALL")(lambda e: nn.pool(structure.reshape(e, (1, 1, 20, 64)), "avg", [2, 4]))
-_shape("pool_max", "SELECT o * 64 + c AS pos, round(max(v), 6) + 0.0 AS v FROM e, generate_series(0, 8) AS g(o) WHERE r >= o * 2 AND r < o * 2 + 4 GROUP BY ALL")(
-    lambda e: nn.pool(structure.reshape(e, (1, 1, 20, 64)), "max", [4, 1], [2, 1])
-)
+_shape("pool_avg", f"SELECT (r // 2) * 16 + c // 4 AS pos, round(avg(v), 6) + 0.0 AS v FROM e WHERE r < {N} // 2 * 2 GROUP BY ALL")(lambda e: nn.pool(_image(e), "avg", [2, 4]))
+_shape("pool_max", f"SELECT o * 64 + c AS pos, round(max(v), 6) + 0.0 AS v FROM e, {upto(f'({N} - 4) // 2 + 1', 'o')} WHERE r >= o * 2 AND r < o * 2 + 4 GROUP BY ALL")(lambda e: nn.pool(_image(e), "max", [4, 1], [2, 1]))
 _shape("conv1d_causal", "SELECT a.r * 64 + a.c AS pos, round(sum(b.v * (k.i + 1)), 5) + 0.0 AS v FROM e a JOIN (VALUES (0), (1), (2)) AS k(i) ON true JOIN e b ON b.r = a.r AND b.c = a.c - 2 + k.i GROUP BY a.r, a.c")(
-    lambda e: nn.conv1d_causal(structure.reshape(e, (1, 20, 64)), generate(e.spark, (20, 1, 3), lambda p: p % 3 + 1), groups=20).map(lambda v: F.round(v, 5))
+    lambda e: nn.conv1d_causal(structure.reshape(e, (1, *e.shape)), generate(e.spark, (e.shape[0], 1, 3), lambda p: p % 3 + 1), groups=e.shape[0]).map(lambda v: F.round(v, 5))
 )
 _shape(
     "conv2d",
-    "SELECT y * 32 + x AS pos, round(sum(v * (1 + 3 * i + j)), 5) + 0.0 AS v FROM generate_series(0, 9) AS a(y), generate_series(0, 31) AS b(x), generate_series(0, 2) AS p(i), generate_series(0, 2) AS q(j), e WHERE r = 2 * y + i - 1 AND c = 2 * x + j - 1 GROUP BY y, x",
-)(lambda e: nn.conv(structure.reshape(e, (1, 1, 20, 64)), generate(e.spark, (1, 1, 3, 3), lambda p: p + 1), stride=[2, 2], padding=[1, 1]).map(lambda v: F.round(v, 5)))
-_shape("interpolate_nearest", "SELECT y * 64 + c AS pos, round(v, 6) + 0.0 AS v FROM generate_series(0, 39) AS g(y), e WHERE r = y // 2")(lambda e: nn.interpolate(structure.reshape(e, (1, 1, 20, 64)), [2, 1]))
+    f"SELECT y * 32 + x AS pos, round(sum(v * (1 + 3 * i + j)), 5) + 0.0 AS v FROM (SELECT (r + 1 - i) // 2 AS y, (c + 1 - j) // 2 AS x, i, j, v FROM e, {upto(3, 'i')}, {upto(3, 'j')} WHERE (r + 1 - i) % 2 = 0 AND (c + 1 - j) % 2 = 0) WHERE y >= 0 AND y <= ({N} - 1) // 2 AND x >= 0 AND x < 32 GROUP BY y, x",
+)(lambda e: nn.conv(_image(e), generate(e.spark, (1, 1, 3, 3), lambda p: p + 1), stride=[2, 2], padding=[1, 1]).map(lambda v: F.round(v, 5)))
+_shape("interpolate_nearest", f"SELECT y * 64 + c AS pos, round(v, 6) + 0.0 AS v FROM {upto(f'{N} * 2', 'y')}, e WHERE r = y // 2")(lambda e: nn.interpolate(_image(e), [2, 1]))
 _shape(
     "interpolate_linear",
-    "SELECT y * 64 + a.c AS pos, round(a.v * (1 - f) + b.v * f, 6) + 0.0 AS v FROM (SELECT y, least(floor(s), 19) AS lo, least(floor(s) + 1, 19) AS hi, s - floor(s) AS f FROM (SELECT y, greatest((y + 0.5) / 2 - 0.5, 0) AS s FROM generate_series(0, 39) AS g(y))) JOIN e a ON a.r = lo JOIN e b ON b.r = hi AND b.c = a.c",
-)(lambda e: nn.interpolate(structure.reshape(e, (1, 1, 20, 64)), [2, 1], "linear"))
+    f"SELECT y * 64 + a.c AS pos, round(a.v * (1 - f) + b.v * f, 6) + 0.0 AS v FROM (SELECT y, least(floor(s), {N} - 1) AS lo, least(floor(s) + 1, {N} - 1) AS hi, s - floor(s) AS f FROM (SELECT y, greatest((y + 0.5) / 2 - 0.5, 0) AS s FROM {upto(f'{N} * 2', 'y')})) JOIN e a ON a.r = lo JOIN e b ON b.r = hi AND b.c = a.c",
+)(lambda e: nn.interpolate(_image(e), [2, 1], "linear"))
 
 
 @query(
     "ssm_scan",
-    f"""WITH RECURSIVE e AS MATERIALIZED ({FIRST}), h AS (
+    f"""WITH RECURSIVE e AS MATERIALIZED ({E_SQL}), h AS (
       SELECT r, 0 AS t, 0.1 * v * v AS h, v FROM e WHERE c = 0
       UNION ALL SELECT e.r, e.c, exp(-0.05) * h.h + 0.1 * e.v * e.v, e.v FROM h JOIN e ON e.r = h.r AND e.c = h.t + 1)
     SELECT r * 64 + t AS pos, round(h * v + 0.5 * v, 5) + 0.0 AS v FROM h""",
 )
 def _ssm(spark, sf_dir):
-    e = structure.reshape(vectors(spark, sf_dir, ROWS), (20, 1, 64))
+    e = vectors(spark, sf_dir)
+    e = structure.reshape(e, (e.shape[0], 1, WIDTH))
     step = e.map(lambda v: F.lit(0.1))
     d = literal(spark, [0.5])
     return tidy(nn.ssm_scan(e, step, literal(spark, [[-0.5]]), e, e, d), 5)
@@ -327,11 +340,12 @@ def _decay(spark, sf_dir):
 # -- graph messages: suppliers of parts ---------------------------------------------------
 
 
-@query("gnn_message", f"WITH e AS ({FIRST}) SELECT d.r * 64 + s.c AS pos, round(sum(s.v), 5) + 0.0 AS v FROM e s JOIN (SELECT DISTINCT r FROM e) d ON d.r = (s.r * 3) % 7 OR d.r = s.r % 5 + 10 GROUP BY d.r, s.c UNION ALL SELECT r * 64 + c, 0.0 FROM e WHERE NOT (r < 7 OR (r >= 10 AND r < 15))")
+@query("gnn_message", f"WITH e AS ({E_SQL}), g AS (SELECT r AS s, (r * 3) % {N} AS d FROM (SELECT DISTINCT r FROM e) UNION ALL SELECT r, r % 5 + 10 FROM (SELECT DISTINCT r FROM e)) SELECT e.r * 64 + e.c AS pos, round(coalesce(sum(u.v), 0), 5) + 0.0 AS v FROM e LEFT JOIN g ON g.d = e.r LEFT JOIN e u ON u.r = g.s AND u.c = e.c GROUP BY e.r, e.c")
 def _gnn(spark, sf_dir):
-    e = vectors(spark, sf_dir, ROWS)
-    ids = spark.range(ROWS).select(F.col("id").alias("src"))
-    edges = ids.withColumn("dst", (F.col("src") * 3) % 7).unionByName(ids.withColumn("dst", F.col("src") % 5 + 10))
+    """Two edges from each row; five rows take an edge from every fifth row each."""
+    e = vectors(spark, sf_dir)
+    ids = spark.range(e.shape[0]).select(F.col("id").alias("src"))
+    edges = ids.withColumn("dst", (F.col("src") * 3) % e.shape[0]).unionByName(ids.withColumn("dst", F.col("src") % 5 + 10))
     return tidy(nn.gnn_message(e, edges), 5)
 
 
@@ -363,9 +377,9 @@ def _fake(spark, sf_dir):
     return tidy(quant.fake_quant(vectors(spark, sf_dir), _SYM))
 
 
-@query("qmatmul", f"WITH e AS ({FIRST}) SELECT a.r * 20 + b.r AS pos, round(sum(round_even(a.v * 10, 0) * 0.1 * b.v), 5) + 0.0 AS v FROM e a JOIN e b ON a.c = b.c GROUP BY ALL")
+@query("qmatmul", f"WITH e AS ({E_SQL}) SELECT a.r * {N} + b.r AS pos, round(sum(round_even(a.v * 10, 0) * 0.1 * b.v), 5) + 0.0 AS v FROM e a JOIN e b ON a.c = b.c GROUP BY ALL")
 def _qmm(spark, sf_dir):
-    e = vectors(spark, sf_dir, ROWS)
+    e = vectors(spark, sf_dir)
     q = elementwise.cast(e.map(lambda v: v * 10), "i8")
     return tidy(quant.qmatmul(q, structure.transpose(e), quant.Scheme("sym", "i8"), scale=literal(spark, [[0.1]])), 5)
 
@@ -375,24 +389,24 @@ _TRIES = ", ".join(f"({k}, CAST({r} AS DOUBLE))" for k, r in enumerate(quant.CLI
 
 @query(
     "requant_grid",
-    f"""WITH e AS ({FIRST}), b AS (SELECT *, r * 4 + c // 16 AS blk FROM e), t AS (SELECT blk, max(abs(v)) AS top FROM b GROUP BY blk),
+    f"""WITH e AS ({E_SQL}), b AS (SELECT *, r * 4 + c // 16 AS blk FROM e), t AS (SELECT blk, max(abs(v)) AS top FROM b GROUP BY blk),
     s AS (SELECT blk, turn, ratio, CAST(CAST(CASE WHEN top = 0 THEN 1 ELSE top * ratio / 7 END AS FLOAT) AS DOUBLE) AS s FROM t, (VALUES {_TRIES}) AS g(turn, ratio)),
     x AS (SELECT s.blk, turn, ratio, s, sum(pow(least(greatest(round_even(v / s, 0), -7), 7) * s - v, 2)) AS cost FROM b JOIN s ON s.blk = b.blk GROUP BY ALL)
     SELECT blk, arg_min(ratio, (cost, turn)) AS ratio, round(arg_min(s, (cost, turn)), 6) AS s, round(min(cost), 6) AS cost FROM x GROUP BY blk""",
 )
 def _requant(spark, sf_dir):
-    got = quant.requantize(vectors(spark, sf_dir, ROWS), 4, 16)
+    got = quant.requantize(vectors(spark, sf_dir), 4, 16)
     return got.select("blk", "ratio", F.round("s", 6).alias("s"), F.round("cost", 6).alias("cost"))
 
 
-@query("codebook_nearest", f"WITH e AS ({FIRST}), b AS (SELECT k, v FROM (VALUES {', '.join(f'({k}, CAST({v!r} AS DOUBLE))' for k, v in enumerate(quant.normal_float(4)))}) AS g(k, v)) SELECT e.r * 64 + e.c AS pos, CAST(arg_min(k, (abs(b.v - e.v), k)) AS DOUBLE) AS v FROM e, b GROUP BY e.r, e.c")
+@query("codebook_nearest", f"WITH e AS ({E_SQL}), b AS (SELECT k, v FROM (VALUES {', '.join(f'({k}, CAST({v!r} AS DOUBLE))' for k, v in enumerate(quant.normal_float(4)))}) AS g(k, v)) SELECT e.r * 64 + e.c AS pos, CAST(arg_min(k, (abs(b.v - e.v), k)) AS DOUBLE) AS v FROM e, b GROUP BY e.r, e.c")
 def _nearest(spark, sf_dir):
-    return tidy(quant.codebook_nearest(vectors(spark, sf_dir, ROWS), literal(spark, quant.normal_float(4))))
+    return tidy(quant.codebook_nearest(vectors(spark, sf_dir), literal(spark, quant.normal_float(4))))
 
 
-@query("dq_codebook", f"WITH e AS ({FIRST}), b AS (SELECT k, v FROM (VALUES {', '.join(f'({k}, CAST({v!r} AS DOUBLE))' for k, v in enumerate(quant.normal_float(4)))}) AS g(k, v)) SELECT e.r * 64 + e.c AS pos, round(b.v * 2, 6) + 0.0 AS v FROM e JOIN b ON b.k = (e.r + e.c) % 16")
+@query("dq_codebook", f"WITH e AS ({E_SQL}), b AS (SELECT k, v FROM (VALUES {', '.join(f'({k}, CAST({v!r} AS DOUBLE))' for k, v in enumerate(quant.normal_float(4)))}) AS g(k, v)) SELECT e.r * 64 + e.c AS pos, round(b.v * 2, 6) + 0.0 AS v FROM e JOIN b ON b.k = (e.r + e.c) % 16")
 def _dqbook(spark, sf_dir):
-    q = generate(spark, (20, 64), lambda p: (F.expr("pos div 64L") + p % 64) % 16, "u8")
+    q = generate(spark, vectors(spark, sf_dir).shape, lambda p: (F.expr("pos div 64L") + p % 64) % 16, "u8")
     scheme = quant.Scheme("codebook", "u8")
     return tidy(quant.dequantize(q, scheme, scale=literal(spark, [[2.0]]), book=literal(spark, quant.normal_float(4))))
 
@@ -430,7 +444,9 @@ _sparse("sparse_ragged", _DENSE.format(h=3, w=3, fill=9, cells="(0, 0, 1), (0, 1
 _sparse("sparse_blocklist", _DENSE.format(h=3, w=5, fill=0, cells="(0, 0, 1), (0, 1, 2), (1, 0, 3), (1, 1, 4), (2, 4, 5)"))(lambda s: sparse.blocklist(literal(s, [0, 5]), literal(s, [[[1, 2], [3, 4]], [[5, 6], [7, 8]]]), (2, 2), (3, 5)))
 
 
-@query("round_modes", "SELECT l_orderkey * 8 + l_linenumber AS pos, trunc(l_extendedprice / 64) * 64 AS rtz, ceil(l_extendedprice / 64) * 64 AS rup, floor(l_extendedprice / 64) * 64 AS rdown FROM lineitem WHERE l_extendedprice >= 8192 AND l_extendedprice < 16384")
+_STEP = "pow(2.0, floor(log2(abs(v))) - 7)"
+
+
+@query("round_modes", f"SELECT pos, trunc(v / {_STEP}) * {_STEP} AS rtz, ceil(v / {_STEP}) * {_STEP} AS rup, floor(v / {_STEP}) * {_STEP} AS rdown FROM (SELECT l_orderkey * 8 + l_linenumber AS pos, l_extendedprice AS v FROM lineitem)")
 def _modes(spark, sf_dir):
-    rows = lines(spark, sf_dir).where("l_extendedprice >= 8192 AND l_extendedprice < 16384")
-    return rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), *(round_through(F.col("l_extendedprice"), "bf16", m).alias(m) for m in ("rtz", "rup", "rdown")))
+    return lines(spark, sf_dir).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), *(round_through(F.col("l_extendedprice"), "bf16", m).alias(m) for m in ("rtz", "rup", "rdown")))
