@@ -53,19 +53,42 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, tag: str, *, codec: str = "zstd") -> DataFrame:
+#: Rows of a file of a narrow staged table at least, where its row count is known.
+FILE_ROWS = 1 << 17
+
+
+def staged(df: DataFrame, tag: str, *, codec: str = "zstd", rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table cuts the lineage: a later failure reads it again instead
-    of computing it anew, whichever executor is lost.
+    of computing it anew, whichever executor is lost.  ``rows``, a bound of the
+    rows of a narrow table, keeps small tables from being written by as many
+    tasks as large ones: there is one task for ``FILE_ROWS`` of them at most.
     """
     path = fresh_dir(small_batches(df.sparkSession), tag)
+    if rows is not None:
+        df = df.coalesce(-(-rows // FILE_ROWS) or 1)
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
+class Tables:
+    """Staged tables of one piece of work, deleted together when its result is written."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def staged(self, df: DataFrame, tag: str, **options) -> DataFrame:
+        self.held.append(staged(df, tag, **options))
+        return self.held[-1]
+
+    def release(self) -> None:
+        release(*self.held)
+        self.held = []
+
+
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that nothing will read again: what came of them is written."""
     for df in tables:

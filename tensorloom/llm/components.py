@@ -78,15 +78,18 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return _largest_first(moved.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(own))
 
 
-def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node that has an edge; root is the smallest node it reaches."""
+def components(edges: DataFrame, *, rounds: int = 60, nodes: int | None = None) -> DataFrame:
+    """(node, root) of every node that has an edge; root is the smallest node it reaches.
+
+    ``nodes``, where known, bounds the nodes; it sizes the first table.
+    """
     given = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    now = staged(_largest_first(given.mapInArrow(_local, "a long, b long")), "edges")
+    now = staged(_largest_first(given.mapInArrow(_local, "a long, b long")), "edges", rows=nodes)
     mark = _mark(now)
     for _ in range(rounds):
         if not mark[0]:
             break
-        before, now = now, staged(_stars(_stars(now, True), False), "edges")
+        before, now = now, staged(_stars(_stars(now, True), False), "edges", rows=mark[0])
         release(before)
         mark, old = _mark(now), mark
         if mark == old:

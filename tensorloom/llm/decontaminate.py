@@ -74,11 +74,12 @@ class Phrases:
         starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1))))
         cut = rows.select("item_id", "w", starts.alias("s")).select("item_id", F.slice("w", F.col("s"), window).alias("win"))
         cut = staged(cut.distinct(), "windows")
-        numbered = staged(cut.select("win").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
+        n = cut.count()
+        numbered = staged(cut.select("win").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases", rows=n)
         flat = numbered.select("phrase", F.size("win").alias("size"), F.posexplode("win").alias("j", "term"))
-        dictionary = staged(flat.select("term").distinct().withColumn("tid", F.monotonically_increasing_id() + 1), "dictionary")
-        items = staged(cut.join(numbered, "win").select("phrase", "item_id"), "items")
-        terms = staged(flat.join(dictionary, "term").select("phrase", "size", "j", "tid"), "phrase-terms")
+        dictionary = staged(flat.select("term").distinct().withColumn("tid", F.monotonically_increasing_id() + 1), "dictionary", rows=n * window)
+        items = staged(cut.join(numbered, "win").select("phrase", "item_id"), "items", rows=n)
+        terms = staged(flat.join(dictionary, "term").select("phrase", "size", "j", "tid"), "phrase-terms", rows=n * window)
         return cls(items, terms, dictionary)
 
 

@@ -186,7 +186,8 @@ def groups(documents: DataFrame, *, ident: str = "doc_id", text: str = "text") -
         documents.select(F.col(ident).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.xxhash64(body).alias("fp"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("sha")),
         "ledger",
     )
-    again = staged(repeated(ledger, ledger.count()).select("fp"), "repeated")
+    rows_in = ledger.count()
+    again = staged(repeated(ledger, rows_in).select("fp"), "repeated", rows=rows_in)
     # Verification by bytes: equal whole texts, of the fingerprints that repeat.
     checked = (
         documents.select(body.alias("body"), F.xxhash64(body).alias("fp"))
@@ -198,7 +199,7 @@ def groups(documents: DataFrame, *, ident: str = "doc_id", text: str = "text") -
     )
     rows = ledger.join(again, "fp", "left_semi")
     stays = rows.groupBy("fp", "sha").agg(F.max(F.struct("doc_id", (-F.col("row_no")).alias("rank"))).alias("stay"))
-    found = staged(checked.join(stays, ["fp", "sha"]), "groups")
+    found = staged(checked.join(stays, ["fp", "sha"]), "groups", rows=rows_in)
     return ledger.join(found, ["fp", "sha"], "left").select(
         "doc_id",
         "row_no",

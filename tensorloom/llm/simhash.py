@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix
-from .common import slices, staged, without
+from .common import Tables, slices, staged, without
 from .components import components
 
 U64 = np.uint64
@@ -64,6 +64,8 @@ PILOT_BANDS = 8
 SKETCH_LEAST = 196
 #: Sets, and hashes, of a block at most (a longer set is a block by itself), and sets of a hand of pivots.
 BLOCK_SETS, BLOCK_HASHES, HAND_SETS = 512, 1 << 18, 64
+#: Keys of a fingerprint, on average.
+KEYS = 16
 #: Groups up to this size are compared in place; larger ones take the other exact way.
 GROUP_ROWS = 128
 
@@ -197,8 +199,11 @@ def _forest(values: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def links(distinct: DataFrame, *, column: str = "fp") -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect exactly what links connect."""
+def links(distinct: DataFrame, *, column: str = "fp", count: int | None = None) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that connect exactly what links connect.
+
+    ``count`` is the number of fingerprints, where known.
+    """
 
     def emit(batches):
         for batch in batches:
@@ -244,7 +249,7 @@ def links(distinct: DataFrame, *, column: str = "fp") -> DataFrame:
 
     rows = distinct.select(F.col(column).alias("fp")).mapInArrow(emit, "key long, fp long")
     dealt = rows.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
-    met = staged(dealt.mapInArrow(meet, "a long, b long"), "links")
+    met = staged(dealt.mapInArrow(meet, "a long, b long"), "links", rows=None if count is None else KEYS * count)
     near = met.where("b is not null").distinct()
     hot = met.where("b is null").select("a").distinct()
     point = F.explode(F.array(F.col("a"), *(F.col("a").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64))))
@@ -332,7 +337,7 @@ def _spread(rows: DataFrame, first: int, last: int) -> DataFrame:
     return rows.select("node", "keys").mapInArrow(run, "key long, node long")
 
 
-def _starred(keyed: DataFrame) -> DataFrame:
+def _starred(keyed: DataFrame, rows: int, use: Tables) -> DataFrame:
     """Edges (a, b) that connect the nodes of each key.
 
     Rows are dealt by range of (key, node), so a key may lie in many
@@ -363,31 +368,33 @@ def _starred(keyed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in marks]), pa.array([m[1] for m in marks]), pa.nulls(len(marks), pa.int64())], ["key", "a", "b"])
 
     dealt = keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    met = staged(dealt.mapInArrow(run, "key long, a long, b long"), "met")
+    met = use.staged(dealt.mapInArrow(run, "key long, a long, b long"), "met", rows=rows)
     marks = met.where("b is null").select("key", "a")
     least = marks.groupBy("key").agg(F.min("a").alias("b"))
     return met.where("b is not null").select("a", "b").unionByName(marks.join(least, "key").where("a <> b").select("a", "b"))
 
 
-def _families(distinct: DataFrame) -> DataFrame:
+def _families(distinct: DataFrame, count: int, use: Tables) -> DataFrame:
     """fp and family of every set that may have a near copy.
 
     Fingerprints that link, and keys of the first bands, join most copies; the
     other bands then meet each joined group as one node.
     """
     nodes = distinct.withColumn("node", F.col("fp"))
-    prints = staged(distinct.groupBy("sh").agg(F.min("fp").alias("head")), "prints")
+    prints = use.staged(distinct.groupBy("sh").agg(F.min("fp").alias("head")), "prints", rows=count)
     same = distinct.join(prints, "sh").where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
     one, other = (prints.select(F.col("sh").alias(c), F.col("head").alias(f"{c}_head")) for c in "ab")
-    close = links(prints, column="sh").join(one, "a").join(other, "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-    pilot = staged(components(same.unionByName(close).unionByName(_starred(_spread(nodes, 0, PILOT_BANDS)))), "pilot")
+    close = links(prints, column="sh", count=count).join(one, "a").join(other, "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    met = _starred(_spread(nodes, 0, PILOT_BANDS), PILOT_BANDS * count, use)
+    pilot = use.staged(components(same.unionByName(close).unionByName(met), nodes=count), "pilot", rows=count)
     named = nodes.join(pilot.withColumnRenamed("root", "held"), "node", "left").withColumn("node", F.coalesce("held", "node"))
-    more = staged(components(_starred(_spread(named, PILOT_BANDS, BANDS))), "families")
+    more = components(_starred(_spread(named, PILOT_BANDS, BANDS), (BANDS - PILOT_BANDS) * count, use), nodes=count)
+    more = use.staged(more, "families", rows=count)
     # A group of the first step is in more than one place only under its root.
     moved = pilot.join(more.withColumnRenamed("node", "own").withColumnRenamed("root", "top"), F.col("root") == F.col("own"), "left")
     moved = moved.select(F.col("node").alias("fp"), F.coalesce("top", "root").alias("family"))
     rest = more.join(pilot.select("node"), "node", "left_anti").select(F.col("node").alias("fp"), F.col("root").alias("family"))
-    return staged(moved.unionByName(rest), "family-members")
+    return use.staged(moved.unionByName(rest), "family-members", rows=count)
 
 
 _ROW = "family long, block int, blocks int, home int, fp long, sketch binary, set binary"
@@ -510,36 +517,36 @@ def _picked(batches):
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _ROW.split(", ")])
 
 
-def near_links(documents: DataFrame, distinct: DataFrame, *, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def near_links(documents: DataFrame, distinct: DataFrame, count: int, use: Tables, *, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Edges (a, b) between distinct sets that connect what pairs of a similarity of 0.8 connect.
 
-    ``distinct`` has fp, th, sh, n, keys and sketch.  Within a block all pairs
+    ``distinct`` has ``count`` rows of fp, th, sh, n, keys and sketch.  Within a block all pairs
     are compared.  In a family of several blocks a hand of pivots is held
     against all of them, which joins most members of a real group.  Then every
     member outside the family's largest group is held against all its blocks,
     so two members that stay apart have been compared.
     """
-    families = _families(distinct)
+    families = _families(distinct, count, use)
     sized = distinct.select("fp", "th", "n", "sketch").join(families, "fp")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
-    counts = staged(sized.groupBy("family").agg(blocks.alias("blocks")), "family-sizes")
+    counts = use.staged(sized.groupBy("family").agg(blocks.alias("blocks")), "family-sizes", rows=count)
     members = sized.join(counts, "family").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-    members = staged(members.select("family", "block", "blocks", "fp", "th", "sketch"), "members")
-    packs = staged(_packs(_rows(documents, members, text=text, shingle=shingle)), "packs")
-    found = staged(packs.select(*packs.columns[3:]).mapInArrow(_within, "a long, b long"), "block-links")
+    members = use.staged(members.select("family", "block", "blocks", "fp", "th", "sketch"), "members", rows=count)
+    packs = use.staged(_packs(_rows(documents, members, text=text, shingle=shingle)), "packs")
+    found = use.staged(packs.select(*packs.columns[3:]).mapInArrow(_within, "a long, b long"), "block-links")
     many = packs.where("blocks > 1")
     if counts.where("blocks > 1").isEmpty():
         return found
     first = many.groupBy("family").agg(F.min("block").alias("block"))
     hands = many.join(first, ["family", "block"]).mapInArrow(_first_hand, _PACK)
-    found = found.unionByName(staged(_met(hands, many), "pivot-links"))
-    roots = components(found).select(F.col("node").alias("fp"), "root")
-    named = staged(members.where("blocks > 1").select("family", "block", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
+    found = found.unionByName(use.staged(_met(hands, many), "pivot-links"))
+    roots = components(found, nodes=count).select(F.col("node").alias("fp"), "root")
+    named = use.staged(members.where("blocks > 1").select("family", "block", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named", rows=count)
     top = named.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.max("n").alias("most"))
     top = top.select("family", "top", F.ceil((F.col("n") - F.col("most")) / HAND_SETS).cast("int").alias("hands")).where("hands > 0")
     apart = named.join(top, "family").where("root <> top").groupBy("family", "block").agg(F.collect_list("fp").alias("picked"), F.first("hands").alias("hands"))
     pivots = many.join(apart, ["family", "block"]).mapInArrow(_picked, _ROW)
-    return found.unionByName(staged(_met(_packs(pivots), many), "other-links"))
+    return found.unionByName(use.staged(_met(_packs(pivots), many), "other-links"))
 
 
 def _first_hand(batches):
@@ -553,14 +560,14 @@ def _first_hand(batches):
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, batch.schema.types, strict=True)], batch.schema.names)
 
 
-def _classes(rows: DataFrame, distinct: DataFrame, labels: DataFrame) -> DataFrame:
+def _classes(rows: DataFrame, distinct: DataFrame, labels: DataFrame, count: int) -> DataFrame:
     named = distinct.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     moved = named.where("root <> fp").select("root").distinct()
     # Only components of several fingerprints need another minimum.
-    several = staged(named.join(moved, "root", "left_semi").select("fp", "root", "least"), "members")
+    several = staged(named.join(moved, "root", "left_semi").select("fp", "root", "least"), "members", rows=count)
     least = several.groupBy("root").agg(F.min("least").alias("least"))
-    found = staged(several.select("fp", "root").join(least, "root").select("fp", F.col("least").alias("found")), "classes")
-    by_print = staged(distinct.join(found, "fp", "left").select("fp", F.coalesce("found", "least").alias("least")), "by-print")
+    found = staged(several.select("fp", "root").join(least, "root").select("fp", F.col("least").alias("found")), "classes", rows=count)
+    by_print = staged(distinct.join(found, "fp", "left").select("fp", F.coalesce("found", "least").alias("least")), "by-print", rows=count)
     return rows.join(by_print, "fp")
 
 
@@ -571,7 +578,8 @@ def classes(documents: DataFrame, *, ident: str = "doc_id", text: str = "text",
     """
     rows = staged(fingerprints(documents, ident=ident, text=text, shingle=shingle), "fingerprints")
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    return _classes(rows, distinct, components(links(distinct))).select("doc_id", "fp", F.col("least").alias("component_id"))
+    count = distinct.count()
+    return _classes(rows, distinct, components(links(distinct, count=count), nodes=count), count).select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def near_classes(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -585,8 +593,10 @@ def near_classes(documents: DataFrame, *, ident: str = "doc_id", text: str = "te
     rank = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")
     distinct = rows.groupBy("fp").agg(F.min(rank).alias("least"), F.min(F.struct("th", "sh", "n", "keys", "sketch")).alias("own"))
     distinct = staged(distinct.select("fp", "least", "own.*"), "distinct")
-    labels = components(near_links(documents, distinct, text=text, shingle=shingle))
-    got = _classes(rows.select("doc_id", "th", "fp"), distinct.select("fp", "least"), labels)
+    count, use = distinct.count(), Tables()
+    labels = components(near_links(documents, distinct, count, use, text=text, shingle=shingle), nodes=count)
+    use.release()
+    got = _classes(rows.select("doc_id", "th", "fp"), distinct.select("fp", "least"), labels, count)
     return got.select("doc_id", "th", "fp", F.col("least.doc_id").alias("component_id"), F.col("least.th").alias("keep_th"))
 
 
