@@ -26,7 +26,7 @@ TILE_ROWS, TILE_DEPTH = 256, 1024
 TILED_TERMS = 1 << 16
 
 
-def tiled(cells: DataFrame, row: Column, depth: Column, v: str, keys: list[str], rows: int = TILE_ROWS, depths: int = TILE_DEPTH) -> DataFrame:
+def tiled(cells: DataFrame, row: Column, depth: Column, v: str, keys: list[str], rows: int, depths: int) -> DataFrame:
     """``keys``, tile row ``ti``, tile depth ``tk``, and the tile's cells as (at, v)."""
     df = cells.select(*keys, row.cast("long").alias("_r"), depth.cast("long").alias("_d"), F.col(v).alias("v"))
     at = ((F.col("_r") % rows) * depths + F.col("_d") % depths).cast("int")
@@ -46,8 +46,8 @@ def dense(column: pa.ListArray, k: int, rows: int, depths: int, wide: int) -> np
 def _product(a: DataFrame, b: DataFrame, m: int, n: int, depth: int) -> DataFrame:
     """(p, m, n, v) of the batched product of cells (p, m, k, v) and (p, n, k, v)."""
     parts_m, parts_n = -(-m // TILE_ROWS), -(-n // TILE_ROWS)
-    left = tiled(a, F.col("m"), F.col("k"), "v", ["p"]).select("p", "ti", "tk", F.col("cells").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(parts_n - 1))).alias("tj"))
-    right = tiled(b, F.col("n"), F.col("k"), "v", ["p"]).select("p", F.col("ti").alias("tj"), "tk", F.col("cells").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(parts_m - 1))).alias("ti"))
+    left = tiled(a, F.col("m"), F.col("k"), "v", ["p"], TILE_ROWS, TILE_DEPTH).select("p", "ti", "tk", F.col("cells").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(parts_n - 1))).alias("tj"))
+    right = tiled(b, F.col("n"), F.col("k"), "v", ["p"], TILE_ROWS, TILE_DEPTH).select("p", F.col("ti").alias("tj"), "tk", F.col("cells").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(parts_m - 1))).alias("ti"))
 
     def multiply(batches):
         for batch in batches:

@@ -142,11 +142,14 @@ def quantize(x: TensorRef, scheme: Scheme, *, scale: TensorRef | None = None, ze
     return x.with_cells(df.select("pos", q.alias("v")), to=dtype(scheme.q)), scale, zero
 
 
-def fake_quant(x: TensorRef, scheme: Scheme) -> TensorRef:
-    """Quantize and dequantize within one projection over the block's parameters."""
-    params = block_params(x, scheme)
+def fake_quant(x: TensorRef, scheme: Scheme, scale: TensorRef | None = None, zero: TensorRef | None = None) -> TensorRef:
+    """Quantize and dequantize within one projection over the block's parameters, derived where not given."""
     low, high = scheme.range
-    df = x.indexed().withColumn("blk", _block_of(x, scheme.block)).join(params, "blk")
+    if scale is None:
+        df = x.indexed().withColumn("blk", _block_of(x, scheme.block)).join(block_params(x, scheme), "blk")
+    else:
+        df = _with_params(x, scheme.block, {"s": scale, **({"z": zero} if zero is not None else {})})
+        df = df if zero is not None else df.withColumn("z", S.lit(0))
     v, s, z = F.col("v"), F.col("s"), F.col("z")
     clip = lambda q: F.least(F.greatest(F.rint(q), S.lit(low)), S.lit(high))
     out = {"sym": lambda: clip(S.fdiv(v, s)) * s, "affine-sub": lambda: (clip(S.fdiv(v, s) + z) - z) * s, "affine-add": lambda: clip(S.fdiv(v - z, s)) * s + z}[scheme.formula]()
@@ -231,10 +234,19 @@ def unpack_words(words: DataFrame, bits: int, *, key: str = "pos", word: str = "
     per = 32 // bits
     places = list(order or range(per))
     mask = (1 << bits) - 1
-    fields = F.array(*(F.shiftrightunsigned(F.col(word).cast("int"), bits * p).bitwiseAND(mask).cast("double") for p in places))
+    fields = F.array(*(F.shiftrightunsigned(F.col(word).cast("long"), bits * p).bitwiseAND(F.lit(mask)).cast("double") for p in places))
     return words.select((F.col(key) * per).alias("_base"), F.posexplode(fields).alias("k", "v")).select((F.col("_base") + F.col("k")).alias("pos"), "v")
 
 
+def pack_words(fields: DataFrame, bits: int, *, order: Sequence[int] | None = None) -> DataFrame:
+    """(pos, w): the inverse of :func:`unpack_words`; missing fields are zero."""
+    per = 32 // bits
+    places = list(order or range(per))
+    shift = F.element_at(F.array(*(F.lit(bits * p) for p in places)), (F.col("pos") % per + 1).cast("int"))
+    field = F.expr(f"(cast(v as bigint) & {(1 << bits) - 1}L)") * F.pow(F.lit(2.0), shift).cast("long")
+    return fields.groupBy(F.expr(f"pos div {per}L").alias("pos")).agg(F.sum(field).cast("long").alias("w"))
+
+
 #: Places of successive fields in a packed word (fixed values).
 AWQ_ORDER = (0, 4, 1, 5, 2, 6, 3, 7)
 

@@ -345,18 +345,38 @@ class Context:
     features: set[str] = field(default_factory=set)
     kept: dict[str, TensorRef] = field(default_factory=dict)
     most_kept: int = 32
+    #: Bytes of cells that are kept at most, sixteen each.
+    most_bytes: int = 1 << 34
 
     def keep(self, e: Expr) -> TensorRef:
-        """The plan of an expression, persisted under its identity; the oldest goes first."""
+        """The plan of an expression, persisted under its identity; what was not used for longest goes first.
+
+        A result larger than the whole bound is given out but not kept.
+        """
         key = identity(e)
-        if key not in self.kept:
-            while len(self.kept) >= self.most_kept:
-                self.kept.pop(next(iter(self.kept))).df.unpersist()
-            t = lower(e, self)
-            self.kept[key] = t.with_cells(t.cells().persist())
+        if key in self.kept:
+            self.kept[key] = self.kept.pop(key)  # the latest
+            return self.kept[key]
+        t = lower(e, self)
+        need = 16 * size(t.shape)
+        if need > self.most_bytes:
+            return t
+        while self.kept and (len(self.kept) >= self.most_kept or need + sum(16 * size(x.shape) for x in self.kept.values()) > self.most_bytes):
+            self.kept.pop(next(iter(self.kept))).df.unpersist()
+        self.kept[key] = t.with_cells(t.cells().persist())
         return self.kept[key]
 
 
+def flatten(e: Expr, parents: dict[str, Expr], depth: int) -> Expr:
+    """The expression with references to parents put in place, ``depth`` links deep; it denotes the same value.
+
+    ``parents`` maps the name of a source to the expression that it stands for.
+    """
+    if e.op == "literal" and depth > 0 and e["source"] in parents:
+        return flatten(parents[e["source"]], parents, depth - 1)
+    return Expr(e.op, tuple(flatten(a, parents, depth) for a in e.args), e.attrs)
+
+
 def lower(e: Expr, ctx: Context) -> TensorRef:
     """The lazy tensor of an expression.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,28 @@ def _deps(spark, sf_dir):
     return _model(spark, sf_dir).deps("part", 100, 200)
 
 
+@query("expr_flatten", f"WITH e AS ({E_SQL}) SELECT r * 64 + c AS pos, round(2 * (v + 2 * v), 6) + 0.0 AS v FROM e")
+def _flatten(spark, sf_dir):
+    """A grandchild's expression over its base alone."""
+    e = vectors(spark, sf_dir)
+    base, child = (E.node("literal", source=n, shape=list(e.shape), dtype="f64") for n in ("e", "child"))
+    parents = {"child": E.node("add", base, E.node("scale", base, k=2))}
+    whole = E.flatten(E.node("scale", child, k=2), parents, 1)
+    return tidy(E.lower(whole, E.Context(spark, {"e": e.cells()})))
+
+
+@query("expr_plugin", f"WITH e AS ({E_SQL}) SELECT r * 64 + c AS pos, round(v * 10 + 1, 6) + 0.0 AS v FROM e")
+def _plugin(spark, sf_dir):
+    """A plugin without a provider gives its fallback, a chosen feature its branch."""
+    e = vectors(spark, sf_dir)
+    x = E.node("literal", source="e", shape=list(e.shape), dtype="f64")
+    call = E.node("plugin", x, E.node("scale", x, k=10), ns="n", name="f", shape=list(e.shape), fallback=True)
+    known = E.node("plugin", call, ns="n", name="g", shape=list(e.shape))
+    pick = E.node("select", known, x, feature="fast")
+    ctx = E.Context(spark, {"e": e.cells()}, plugins={("n", "g", 1): lambda t: t.map(lambda v: v + 1)}, features={"fast"})
+    return tidy(E.lower(pick, ctx))
+
+
 @query("expr_matmul", f"WITH e AS ({E_SQL}) SELECT a.r * {N} + b.r AS pos, round(sum(a.v * b.v), 5) + 0.0 AS v FROM e a JOIN e b ON a.c = b.c GROUP BY a.r, b.r")
 def _matmul(spark, sf_dir):
     return tidy(_model(spark, sf_dir).tensor("gram"), 5)
@@ -64,7 +88,7 @@ def _inspect(spark, sf_dir):
     return _model(spark, sf_dir).inspect().select("name", "dtype", "elements")
 
 
-@query("model_verify", "SELECT * FROM (VALUES ('R-T01', 'indeterminate', 5), ('R-T01', 'valid', 1), ('R-T02', 'valid', 6)) AS t(rule, status, n)")
+@query("model_verify", "SELECT * FROM (VALUES ('R-T01', 'indeterminate', 5), ('R-T01', 'valid', 1), ('R-O05', 'valid', 6)) AS t(rule, status, n)")
 def _verify(spark, sf_dir):
     return _model(spark, sf_dir).verify().groupBy("rule", "status").agg(F.count("*").alias("n"))
 
@@ -110,13 +134,40 @@ def _while(spark, sf_dir):
     return G.run(G.Module({"main": f}), [literal(spark, 1.0)]).results[0].cells()
 
 
-@query("graph_verify", "SELECT * FROM (VALUES ('R-I02', 'invalid', 1), ('R-I06', 'invalid', 1), ('R-I10', 'invalid', 1)) AS t(rule, status, n)")
+@query("graph_verify", "SELECT * FROM (VALUES ('R-I02', 'invalid', 1), ('R-I05', 'invalid', 1), ('R-I07', 'invalid', 2), ('R-I08', 'invalid', 1), ('R-I09', 'invalid', 1), ('R-I10', 'invalid', 1), ('R-I11', 'invalid', 1)) AS t(rule, status, n)")
 def _verify_graph(spark, sf_dir):
-    f = G.Function("main", ("x",), (G.Op("tensor.add", ("x", "gone"), ("y",)), G.Op("tensor.reduce", ("y",), ("z",), {"kind": "sum"}), G.Op("tensor.exp", ("y", "z"), ("w",)), G.Op("core.return", ("w",))))
-    rows = G.verify(G.Module({"main": f}))
+    body = (
+        G.Op("tensor.add", ("x", "gone"), ("y",)),
+        G.Op("tensor.reduce", ("y",), ("z",), {"kind": "sum"}),
+        G.Op("tensor.exp", ("y", "z"), ("w",)),
+        G.Op("tensor.nothing", ("w",), ("u",)),
+        G.Op("core.constant", (), ("c",), {"tensor": "weight"}),
+        G.Op("core.return", ("w",)),
+    )
+    f = G.Function("main", ("x",), body, types={"c": (4, 4), "y": "token"}, limits={"n": (8, 12, 16)})
+    rows = G.verify(G.Module({"main": f}, lowered_from="sha256:0"), weights={"weight": (4, 5)})
     return spark.createDataFrame(rows, "rule string, status string, place string").groupBy("rule", "status").agg(F.count("*").alias("n"))
 
 
+@query("graph_shapes", f"SELECT value, n, ok FROM (SELECT unnest(['x', 'y', 'z']) AS value, unnest([{N} * 64, {N} * {N}, {N}]) AS n, unnest([true, true, false]) AS ok)")
+def _shapes_of(spark, sf_dir):
+    """Shapes of all values, inferred without reading one, against declared ones of which the last is wrong."""
+    e = vectors(spark, sf_dir)
+    n = e.shape[0]
+    body = (G.Op("tensor.einsum", ("x", "x"), ("y",), {"equation": "ik,jk->ij"}), G.Op("tensor.reduce", ("y",), ("z",), {"kind": "max", "axes": [1]}), G.Op("core.return", ("z",)))
+    m = G.Module({"main": G.Function("main", ("x",), body, types={"x": e.shape, "y": (n, n), "z": (n, 1)})})
+    got, rows = G.infer(m, [e.shape], spark), {place.rpartition(" ")[2]: status for rule, status, place in G.check_types(m, [e.shape], spark)}
+    return spark.createDataFrame([(v, math.prod(s), rows[v] == "valid") for v, s in got.items()], "value string, n long, ok boolean")
+
+
+@query("graph_json", "SELECT * FROM (VALUES ('mlp', true), ('transformer.decoder', true), ('cnn.classifier', true)) AS t(family, same)")
+def _json(spark, sf_dir):
+    """Modules written as JSON and read back are the same."""
+    given = {"mlp": {"layers": 2}, "transformer.decoder": {"layers": 1, "hidden": 8, "heads": 2, "length": 4}, "cnn.classifier": {"layers": 1}}
+    made = {k: G.synthesize(k, p) for k, p in given.items()}
+    return spark.createDataFrame([(k, G.from_json(G.to_json(m)) == m) for k, m in made.items()], "family string, same boolean")
+
+
 @query("stream_ingest", "SELECT sha256(event_type || CAST(user_id AS VARCHAR)) AS digest, CAST(max(length(event_type || CAST(user_id AS VARCHAR))) AS BIGINT) AS logical_len FROM events GROUP BY 1")
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as objects that arrive in a stream; every distinct one is stored once."""

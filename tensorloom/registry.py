@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import plans, relations, tensors
+from .queries import more, plans, relations, tensors
 
-_MODULES: tuple = (tensors, relations, plans)
+_MODULES: tuple = (tensors, relations, plans, more)
 
 
 def queries() -> dict:
