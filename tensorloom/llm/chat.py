@@ -2,9 +2,10 @@
 
 A conversation becomes one or more windows of at most ``budget`` tokens.
 Running sums of the turns' tokens choose where a window ends, always between
-turns.  Each later window begins with the system turn and with the last few
-turns before it, as far as ``history`` allows; these repeated turns are context
-and carry no loss.  Every assistant turn is a target in exactly one window.
+turns.  Each later window begins with the system turn, where it fits beside the
+next turn, and with the last few turns before it, as far as ``history`` allows;
+these repeated turns are context and carry no loss.  Every assistant turn is a
+target in exactly one window.
 
 A turn is written ``<s>[role]``, a line end, its text, ``</s>`` and a line end.
 Inside roles and texts the characters ``\\``, ``<``, ``[`` and ``]`` are preceded
@@ -12,9 +13,10 @@ by a backslash, so no text can look like a mark and every text can be read back.
 
 Defined cases: null texts and roles are empty.  Turns are ordered by turn, nulls
 first, then role and text; repeated rows are turns of their own.  A turn larger
-than the budget gets a window by itself, whole.  Rows with a null conv_id form
+than the budget gets a window by itself, whole and without context; no other
+window exceeds the budget.  Very long texts are whole, too.  Rows with a null conv_id form
 one conversation.  An empty table gives an empty result.  Other columns play no
-part.
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,13 +86,14 @@ class Windows:
 
     def _open(self, tokens: int) -> None:
         """Begin a window: the system turn, then what history has room beside ``tokens``."""
-        history, held = [], self.system[3] if self.system else 0
+        system = [self.system] if self.system and self.system[3] + tokens <= self.budget else []
+        history, held = [], sum(t[3] for t in system)
         for t in reversed(self.last if self.turns else ()):
-            if t is self.system or sum(h[3] for h in history) + t[3] > self.share or held + t[3] + tokens > self.budget:
+            if t is self.system or tokens > self.budget or sum(h[3] for h in history) + t[3] > self.share or held + t[3] + tokens > self.budget:
                 break
             history.insert(0, t)
             held += t[3]
-        self.context = ([self.system] if self.system else []) + history
+        self.context = system + history
         self.new, self.prefix = [], [0]
         for t in self.context:
             self.prefix.append(self.prefix[-1] + t[3])

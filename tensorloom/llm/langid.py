@@ -9,9 +9,10 @@ of the sample that was not learned from.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0.
 A text with letters gets a learned language; ``accepted`` tells whether its
-score reaches the calibrated threshold.  Repeated rows get equal results; an
-empty table gives an empty one; without a labelled row all is ``und``.  Other
-columns are ignored when learning and kept when scoring.
+score reaches the calibrated threshold.  A very long text is averaged whole, in
+blocks.  Of equally likely languages the first by name is given.  Repeated rows
+get equal results; an empty table gives an empty one; without a labelled row all
+is ``und``.  Other columns are ignored when learning and kept when scoring.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewords as B
-from .common import slices, small_batches, with_fields
+from .common import slices, small_batches, staged, with_fields
 
 U64 = np.uint64
 BITS, DIM = 16, 16
@@ -140,18 +141,22 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], names: list[str], *, rate:
 
 
 def fit(documents: DataFrame, *, lang: str = "lang", per_language: int = ROWS_PER_LANGUAGE, most: int = MOST_ROWS) -> Model:
-    """Learn from rows with a language, about ``per_language`` of each and at most ``most``.
+    """Learn from rows with a language, about ``per_language`` of each, fewer where ``most`` is shared by many.
 
-    Rows are chosen by a hash of doc_id against each language's count, so the
-    sample is bounded and covers rare languages; it is learned from in one task.
+    Rows are chosen by a hash of doc_id within each language, so the sample is
+    bounded and has every language; it is learned from in one task.
     """
     known = documents.where(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    shares = known.groupBy(lang).agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share"))
+    counts = known.groupBy(lang).agg(F.count("*").alias("n"))
+    each = F.greatest(F.lit(1.0), F.least(F.lit(float(per_language)), F.lit(float(most)) / F.count("*").over(Window.partitionBy())))
+    shares = counts.withColumn("share", F.least(F.lit(1.0), 4 * each / F.col("n"))).withColumn("each", F.floor(each))  # a row a language
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    # The names of languages and a share each; a join that Spark sizes itself.
-    chosen = known.select("doc_id", lang).join(shares, lang).where(draw < F.col("share")).select("doc_id")
-    chosen = chosen.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = known.select("doc_id", F.col(lang).alias("lang"), "text").join(F.broadcast(chosen), "doc_id")
+    # About four times as many as wanted are drawn, and the first of each language kept; a rare language comes whole.
+    drawn = known.select("doc_id", lang).join(shares, lang).where((draw < F.col("share")) | (F.col("n") <= 4 * F.col("each")))
+    first = Window.partitionBy(lang).orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = drawn.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= F.col("each")).select("doc_id").distinct()
+    chosen = staged(chosen, "chosen", rows=most)  # a table whose size Spark knows when it plans the join
+    sample = known.select("doc_id", F.col(lang).alias("lang"), "text").join(chosen, "doc_id")
 
     def learn(batches):
         got, names, ids = [], [], []

@@ -10,9 +10,10 @@ Words are looked up by hash, all words of a slice at once; only runs around a
 known four-word stretch walk through the automaton, which loses no match since
 every match kept holds such a stretch.
 
-Defined cases: a null or empty text has no words, no labels and score 0.
-Repeated rows get equal results.  An empty table gives an empty result.  Other
-columns are kept; clashing ones are replaced.
+Defined cases: a null or empty text has no words, no labels and score 0.  A very
+long text streams through the automaton whole.  Of chains that cover as much the
+one that ends first is taken.  Repeated rows get equal results.  An empty table
+gives an empty result.  Other columns are kept; clashing ones are replaced.
 """
 
 from __future__ import annotations

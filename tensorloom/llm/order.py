@@ -13,8 +13,10 @@ A record is the number of its ids (unsigned 32 bits), the ids (unsigned 16 or
 written by Spark's text sink, whose line end is one zero byte: a record's last.
 
 Defined cases: a null or empty text is its end id alone.  Repeated rows give
-their ids again.  The last sequence of a partition may be short.  An empty
-table gives no shard and an empty result.  Other columns play no part.
+their ids again.  A very long text runs over as many sequences as it needs.  The
+last sequence of a partition may be short.  Slots have no ties: the order is a
+permutation.  An empty table gives no shard and an empty result.  Other columns
+play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -132,7 +134,7 @@ def write(documents: DataFrame, target: str | None = None, *, ident: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("slot"), pa.array(out, pa.binary())], ["shard", "slot", "record"])
 
     dealt = pieces.select(slot("part", "local").alias("slot"), "ids").withColumn("shard", F.floor(F.col("slot") / per).cast("int"))
-    dealt = dealt.repartition("shard").select("shard", "slot", "ids")
+    dealt = dealt.repartitionById(max(1, -(-n // per)), "shard").select("shard", "slot", "ids")  # a task a range
     records = dealt.mapInArrow(record, "shard int, slot long, record binary").sortWithinPartitions("shard", "slot")
     value = F.col("record").cast("string").alias("value")
     records.select("shard", value).write.partitionBy("shard").option("lineSep", "\0").option("compression", "none").text(f"{target}/data.tmp")

@@ -10,8 +10,10 @@ by cutting documents once more, and the one window that each partition has left
 is packed with those of other partitions in a second, small pass.
 
 Defined cases: a null or empty text is its end id alone, one token.  Repeated
-rows are packed each for itself.  Long texts give whole windows and a
-remainder.  An empty table gives an empty result.  Other columns play no part.
+rows are packed each for itself.  Very long texts give whole windows and a
+remainder.  Of fill levels with equal sums of squares the fullest is taken.  An
+empty table gives an empty result.  Other columns play no part, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ follow-the-regularised-leader updates; a score is the logistic function of one
 sparse dot product.
 
 Defined cases: a null or empty text has no features and gets the score of the
-intercept.  Repeated rows get equal scores.  An empty table gives an empty
-result; without labelled rows every score is 0.5.  Other columns are ignored
+intercept.  A very long text is scored whole, in slices.  Of several labels of one
+doc_id the smallest counts, and of several texts the largest.  Repeated rows get
+equal scores.  An empty table gives an empty result; without labelled rows every
+score is 0.5.  Other columns are ignored
 by :func:`fit` and kept by :func:`score`.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
-from .common import slices, small_batches, with_fields
+from .common import slices, small_batches, staged, with_fields
 
 U64 = np.uint64
 BITS = 17
@@ -145,8 +147,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    # At most `rows` pairs of numbers: small enough to broadcast at any input size.
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = staged(chosen, "chosen", rows=rows)  # a table whose size Spark knows when it plans the join
+    texts = documents.select("doc_id", "text").join(chosen, "doc_id")
     texts = texts.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("text").alias("text"))
 
     def learn(batches):

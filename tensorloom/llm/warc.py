@@ -1,7 +1,9 @@
 """WARC: a deterministic sharded writer and a reader.
 
-Records are sorted by id into shards whose edges depend on the data alone.
-Each shard is one sorted stream: HTTP and WARC headers and digests are made
+Records are sorted by id into shards whose edges depend on the data alone.  An
+id (or the missing one) that fills several shards by itself is dealt to shards of
+its own by a hash of the payload, so equal payloads stay together.  Each shard is
+one task and one sorted stream: HTTP and WARC headers and digests are made
 anew, every record becomes a gzip member of its own, and a file rolls when its
 compressed size reaches ``roll_bytes``.  Members reach the store through
 Spark's own text sink: its task commit works on any file system and survives
@@ -14,8 +16,9 @@ there; the manifest, renamed last, makes the archive valid.
 Defined cases: a null payload is empty; a null url is written as an empty one;
 line ends in a url are percent-encoded.  Of equal payloads the record of the
 smallest id is the response, a null id ranking after all others; repeated rows
-of that id after the first are revisits.  An empty table gives an archive
-without files and an empty result.  Other columns are ignored.
+of that id after the first are revisits.  A very long payload is a record like
+any other.  An empty table gives an archive without files and an empty result.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,17 +43,17 @@ _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 
 
-def _edges(narrow: DataFrame) -> np.ndarray:
-    """Smallest ids of the shards after the first; they depend on ids and sizes only.
+def _edges(narrow: DataFrame) -> tuple[np.ndarray, int]:
+    """Smallest ids of the shards after the first, and a shard's bytes; they depend on ids and sizes only.
 
     Sizes are summed over buckets of the ids' high bits, 65,536 at most.  A
     bucket of more than sixteen shards' bytes is cut again by four more bits, so what
     the driver holds is bounded by those buckets plus the number of shards.
     """
     low, high, total = narrow.agg(F.min("id"), F.max("id"), F.sum("size")).first()
+    want = max(1, min(SHARD_BYTES, (total or 0) // LEAST_SHARDS))
     if low is None:
-        return np.zeros(0, dtype=np.int64)
-    want = max(1, min(SHARD_BYTES, total // LEAST_SHARDS))
+        return np.zeros(0, dtype=np.int64), want
     shift = 0
     while (high >> shift) - (low >> shift) >= 1 << _BUCKET_BITS:
         shift += 1
@@ -77,15 +80,22 @@ def _edges(narrow: DataFrame) -> np.ndarray:
             out.append(starts[i])
             held = 0
         held += sizes[i]
-    return np.asarray(out, dtype=np.int64)
+    return np.asarray(out, dtype=np.int64), want
+
+
+def _heavy(narrow: DataFrame, want: int) -> dict[int | None, int]:
+    """Ids with more than four shards' bytes, and how many shards each takes; no more than a shard in four has one."""
+    sums = narrow.groupBy("id").agg(F.sum("size").alias("size")).where(F.col("size") > 4 * want)
+    return {r.id: -(-r.size // want) for r in sums.collect()}
 
 
 def _digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(ident: int | None, occurrence: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{ident}/{occurrence}')}>"
+def record_id(ident: int | None, digest: str, number: int, url: str | None = None) -> str:
+    """The name of the ``number``-th record of a row id and a payload; where payloads aren't compared, of a url, too."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{ident}/{digest}/{number}' if url is None else f'{ident}/{digest}/{number}/{url}')}>"
 
 
 def _header(fields: list[tuple[str, str]]) -> bytes:
@@ -103,11 +113,11 @@ def member(data: bytes, level: int = 6) -> bytes:
     return out if out[-1] == 0 else out + _EMPTY
 
 
-def record(ident: int | None, occurrence: int, url: str | None, payload: bytes, refers: tuple[int | None, str] | None, date: str) -> bytes:
-    """The bytes of a response, or of a revisit where ``refers`` names a record."""
+def record(ident: int | None, name: str, url: str | None, payload: bytes, refers: tuple[int | None, str] | None, date: str) -> bytes:
+    """The bytes of a response called ``name``, or of a revisit where ``refers`` names a record."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers else http + payload
-    fields = [("WARC-Type", "revisit" if refers else "response"), ("WARC-Record-ID", record_id(ident, occurrence)), ("WARC-Date", date), ("WARC-Target-URI", _uri(url)), ("WARC-Row", "" if ident is None else str(ident)), ("WARC-Payload-Digest", f"sha1:{_digest(payload)}"), ("WARC-Block-Digest", f"sha1:{_digest(block)}")]
+    fields = [("WARC-Type", "revisit" if refers else "response"), ("WARC-Record-ID", name), ("WARC-Date", date), ("WARC-Target-URI", _uri(url)), ("WARC-Row", "" if ident is None else str(ident)), ("WARC-Payload-Digest", f"sha1:{_digest(payload)}"), ("WARC-Block-Digest", f"sha1:{_digest(block)}")]
     if refers:
         fields += [("WARC-Refers-To", refers[1]), ("WARC-Refers-To-Row", "" if refers[0] is None else str(refers[0])), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
@@ -122,22 +132,31 @@ def write(pages: DataFrame, target: str | None = None, *, ident: str = "page_id"
     spark = pages.sparkSession
     target = target or fresh_dir(spark, "warc")
     rows = pages.select(F.col(ident).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    narrow = staged(rows.select("id", F.octet_length("html").cast("long").alias("size"), F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("sha")), "payloads")
-    edges = _edges(narrow)
+    narrow = staged(rows.select("id", F.octet_length("html").cast("long").alias("size"), F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("sha"), F.xxhash64("html").alias("tie")), "payloads")
+    edges, want = _edges(narrow)
+    heavy, shards = {}, len(edges) + 1
+    for ident_, n in sorted(_heavy(narrow, want).items(), key=str):
+        heavy[ident_] = (shards, n)
+        shards += n
     large = narrow.where(F.col("size") >= revisit_from)
     first = large.groupBy("sha").agg(F.min("id").alias("keep"), F.count("*").alias("n")).where("n > 1")
-    notes = large.join(first, "sha").select("id", "sha", "keep").distinct()
+    notes = large.join(first, "sha").select("id", "sha", "keep", "tie").distinct()
 
     @F.arrow_udf("int")
-    def shard(ids: pa.Array) -> pa.Array:
+    def shard(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        none = ids.is_null().to_numpy(zero_copy_only=False)
         values = ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-        return pa.array(np.searchsorted(edges, values, side="right").astype(np.int32))
+        out = np.searchsorted(edges, values, side="right").astype(np.int32)
+        for ident_, (base, n) in heavy.items():
+            own = none if ident_ is None else ~none & (values == ident_)
+            out[own] = base + ties.to_numpy(zero_copy_only=False)[own] % n
+        return pa.array(out)
 
     def stream(batches):
         now = file = None
         own: dict[bytes, int | None] = {}
-        seen: set[bytes] = set()
-        ident_now, occurrence, seq, size = object(), 0, 0, 0
+        seen: dict[bytes, int] = {}
+        ident_now, row_now, repeat, seq, size = object(), None, 0, 0, 0
         out: list[tuple[int, int, int, bytes]] = []
         held = 0
 
@@ -151,17 +170,21 @@ def write(pages: DataFrame, target: str | None = None, *, ident: str = "page_id"
                 if r["shard"] != now:
                     now, file, size = r["shard"], 0, -1
                 if r["id"] != ident_now:
-                    ident_now, occurrence, own, seen = r["id"], 0, {}, set()
+                    ident_now, own, seen = r["id"], {}, {}
                 if r["html"] is None:
                     own[r["sha"]] = r["keep"]
                     continue
                 payload = r["html"].encode()
-                refers = None
+                digest, refers, name = _digest(payload), None, None
                 if own and len(payload) >= revisit_from and (sha := hashlib.sha256(payload).digest()) in own:
-                    keep = own[sha]
-                    if keep != r["id"] or sha in seen:
-                        refers = (keep, record_id(keep, 0))
-                    seen.add(sha)
+                    keep, number = own[sha], seen.get(sha, 0)
+                    if keep != r["id"] or number:
+                        refers = (keep, record_id(keep, digest, 0))
+                    seen[sha], name = number + 1, record_id(r["id"], digest, number)
+                else:  # equal rows follow each other
+                    repeat = repeat + 1 if row_now == (r["id"], r["url"], digest) else 0
+                    row_now = (r["id"], r["url"], digest)
+                    name = record_id(r["id"], digest, repeat, r["url"] or "")
                 if size >= roll_bytes:
                     file, size = file + 1, -1
                 if size < 0:
@@ -170,8 +193,7 @@ def write(pages: DataFrame, target: str | None = None, *, ident: str = "page_id"
                     data = member(_header(fields) + info + b"\r\n\r\n")
                     out.append((now, file, seq, data))
                     seq, size = seq + 1, len(data)
-                data = member(record(r["id"], occurrence, r["url"], payload, refers, date))
-                occurrence += 1
+                data = member(record(r["id"], name, r["url"], payload, refers, date))
                 out.append((now, file, seq, data))
                 seq, size, held = seq + 1, size + len(data), held + len(data)
                 if held > 4 << 20:
@@ -181,8 +203,8 @@ def write(pages: DataFrame, target: str | None = None, *, ident: str = "page_id"
 
     empty = F.lit(None)
     tagged = rows.select("id", F.lit(1).alias("tag"), "url", "html", empty.cast("binary").alias("sha"), empty.cast("long").alias("keep"), F.xxhash64("html").alias("tie"))
-    tagged = tagged.unionByName(notes.select("id", F.lit(0).alias("tag"), empty.cast("string").alias("url"), empty.cast("string").alias("html"), "sha", "keep", F.lit(0).cast("long").alias("tie")))
-    dealt = tagged.withColumn("shard", shard("id")).repartition("shard").sortWithinPartitions("shard", "id", "tag", "url", "tie").drop("tie", "tag")
+    tagged = tagged.unionByName(notes.select("id", F.lit(0).alias("tag"), empty.cast("string").alias("url"), empty.cast("string").alias("html"), "sha", "keep", "tie"))
+    dealt = tagged.withColumn("shard", shard("id", "tie")).repartitionById(shards, "shard").sortWithinPartitions("shard", "id", "tag", "url", "tie").drop("tie", "tag")
     members = dealt.mapInArrow(stream, "shard int, part int, seq long, member binary").sortWithinPartitions("shard", "part", "seq")
     told = Observation()
     # All but the last byte, a zero, which the sink's line end puts back.

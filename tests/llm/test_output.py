@@ -145,6 +145,31 @@ def test_warc_is_deterministic_and_rolls(spark):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == _brute_warc(rows)
 
 
+def test_query_op1_against_brute_force(spark):
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    got = queries_output.op1_warc(spark, SF).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == _brute_warc(rows)
+
+
+def test_warc_splits_hot_ids(spark, monkeypatch):
+    """A null id and one id with most rows; equal payloads meet in one shard, and record names are all different."""
+    rng = np.random.default_rng(6)
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"u{k % 7}", f"page {rng.integers(0, 60)} " + "x" * 50) for k in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "LEAST_SHARDS", 16)
+    a, b = (warc.write(p) for p in (pages, pages.repartition(5)))
+    assert _files(spark, a) == _files(spark, b)
+    got = warc.read(spark, a, payload=False).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == _brute_warc(rows)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{a}/data").collect()
+    fields = [warc.parse(m)[0] for f in files for m in warc._records(bytes(f.content))]
+    names = [f["WARC-Record-ID"] for f in fields if f["WARC-Type"] != "warcinfo"]
+    responses = {f["WARC-Record-ID"] for f in fields if f["WARC-Type"] == "response"}
+    assert len(set(names)) == len(names) == 600 and {f["WARC-Refers-To"] for f in fields if f["WARC-Type"] == "revisit"} <= responses
+    sizes = [len(f.content) for f in files]
+    assert max(sizes) < 0.25 * sum(sizes)
+
+
 def test_warc_edges(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(spark, warc.write(empty)).count() == 0
@@ -176,3 +201,21 @@ def test_order_round_trip(spark):
     assert sorted(r.slot for r in late) == list(range(100, head["sequences"]))
     assert order.read(spark, order.write(documents(spark, []))).count() == 0
     assert order.read(spark, order.write(clashing(documents(spark)))).count() > 0
+
+
+def test_query_op4_against_the_library(spark):
+    rows = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = queries_output.op4_order(spark, SF).collect()
+    n = len(got)
+    assert sorted(r.slot for r in got) == list(range(n)) == sorted(r.number for r in got)
+    assert sum(r.n_ids for r in got) == sum(map(len, _ids(rows))) and all(0 < r.n_ids <= order.LENGTH for r in got)
+    f = order.Feistel(n)
+    assert np.array_equal(f.slot(np.array([r.number for r in got])), np.array([r.slot for r in got]))
+
+
+def test_order_keeps_repeats_and_clashing_columns(spark):
+    rows = [*TEXTS, *TEXTS]
+    given = clashing(documents(spark, rows)).coalesce(1)
+    got = sorted(order.read(spark, order.write(given, length=64)).collect(), key=lambda r: r.number)
+    stream = b"".join(bytes(r.ids) for r in got)
+    assert stream == np.concatenate(_ids([t for _, t in rows])).astype("<u2").tobytes()
