@@ -142,15 +142,43 @@ def free_names(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+#: Bits of a screen at most, and for each listed key.  A screen is broadcast: 64 bits a row, so 2**18 rows at most.
+SCREEN_BITS, BITS_A_KEY = 1 << 24, 32
+
+
+def screened(df: DataFrame, key: Column, listed: DataFrame, hashed: Column, flag: str) -> DataFrame:
+    """``df`` with a column that is false only where ``key`` (a 64-bit hash) is not among ``hashed`` of ``listed``.
+
+    The screen is one bit table of bounded size, whatever the number of keys, so
+    it can be broadcast; what it lets through has to be joined all the same.
+    ``listed`` is read twice and should be a written table.
+    """
+    wanted = max(64, BITS_A_KEY * listed.count())
+    bits = min(SCREEN_BITS, 1 << (wanted - 1).bit_length())
+    mixed = F.pmod(F.xxhash64(hashed), F.lit(bits))
+    words = listed.select(mixed.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63 as int))")).alias("_m"))
+    word, mask, bit = free_names(df, "word", "mask", "bit")
+    words = words.select(F.col("_w").alias(word), F.col("_m").alias(mask))
+    marked = df.withColumn(bit, F.pmod(F.xxhash64(key), F.lit(bits)))
+    met = marked.join(F.broadcast(words), F.shiftright(F.col(bit), 6) == F.col(word), "left")
+    hit = F.expr(f"(shiftrightunsigned(coalesce(`{mask}`, 0L), cast(`{bit}` & 63 as int)) & 1L) = 1L")
+    return met.withColumn(flag, hit).drop(word, mask, bit)
+
+
 def without(df: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """The rows of ``df`` whose ``keys`` are not among those of ``gone``; nulls are equal.
 
-    ``keys`` maps each column of ``gone`` to an expression over ``df``.  The
-    columns of ``df`` come back as they are, whatever their names.
+    ``keys`` maps each column of ``gone``, a written table, to an expression over
+    ``df``.  A screen lets most rows stay where they are, and only the few that
+    may be listed are joined, so whole texts are not dealt anew.  The columns of
+    ``df`` come back as they are, whatever their names.
     """
+    (flag,) = free_names(df, "maybe")
     own = free_names(df, *(f"own_{k}" for k in keys))
     other = free_names(df, *(f"gone_{k}" for k in keys))
     marked = df.withColumns(dict(zip(own, keys.values(), strict=True)))
     listed = gone.select(*(F.col(k).alias(o) for k, o in zip(keys, other, strict=True)))
+    marked = screened(marked, F.xxhash64(*own), listed, F.xxhash64(*other), flag)
     same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(own, other, strict=True)]
-    return marked.join(listed, functools.reduce(lambda a, b: a & b, same), "left_anti").drop(*own)
+    left = marked.where(F.col(flag)).join(listed, functools.reduce(lambda a, b: a & b, same), "left_anti")
+    return marked.where(~F.col(flag)).union(left).drop(*own, flag)

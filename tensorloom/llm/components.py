@@ -5,7 +5,8 @@ bounded number of edges at a time, which shortens chains and drops edges that
 say nothing new.  Each round is two joins and two aggregations over the edge
 table, which is written to the shared folder after the round, and then the one
 before is deleted.  The number of rounds grows with the logarithm of the longest
-chain.  No node's neighbours are ever gathered.
+chain, and ends early where the edges left fit one task's bound.  No node's
+neighbours are ever gathered.
 
 Defined cases: an edge with a null is left out, loops and repeated edges say
 nothing, and no edges give no nodes.
@@ -89,6 +90,10 @@ def components(edges: DataFrame, *, rounds: int = 60, nodes: int | None = None)
     for _ in range(rounds):
         if not mark[0]:
             break
+        if mark[0] <= CHUNK_EDGES:  # few enough for one task, which joins them for good
+            before, now = now, staged(now.coalesce(1).mapInArrow(_local, "a long, b long"), "edges")
+            release(before)
+            break
         before, now = now, staged(_stars(_stars(now, True), False), "edges", rows=mark[0])
         release(before)
         mark, old = _mark(now), mark

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, staged, without
+from .common import free_names, screened, staged, without
 
 U64 = np.uint64
 #: Bits of a remainder, and of a quotient within one range.
@@ -189,9 +189,10 @@ def groups(documents: DataFrame, *, ident: str = "doc_id", text: str = "text") -
     rows_in = ledger.count()
     again = staged(repeated(ledger, rows_in).select("fp"), "repeated", rows=rows_in)
     # Verification by bytes: equal whole texts, of the fingerprints that repeat.
+    texts = documents.select(body.alias("body"), F.xxhash64(body).alias("fp"))
     checked = (
-        documents.select(body.alias("body"), F.xxhash64(body).alias("fp"))
-        .join(again, "fp", "left_semi")
+        screened(texts, F.col("fp"), again, F.col("fp"), "maybe")
+        .where("maybe")  # a text whose fingerprint does not repeat has a group of one
         .groupBy("fp", "body")
         .agg(F.count("*").alias("group_size"))
         .select("fp", F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("sha"), "group_size")
@@ -219,8 +220,8 @@ def survivors(documents: DataFrame, *, ident: str = "doc_id", text: str = "text"
     dropped = groups(documents, ident=ident, text=text).where("not kept").select("doc_id", F.unhex("text_sha256").alias("sha"), F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("same"))
     gone = staged(dropped, "dropped")
     keys = {"doc_id": F.col(f"`{ident}`"), "sha": F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256))}
-    out = without(documents, gone.where("not same").select("doc_id", "sha").distinct(), keys)
-    repeats = gone.where("same").select("doc_id", "sha").distinct()
+    out = without(documents, staged(gone.where("not same").select("doc_id", "sha").distinct(), "copies"), keys)
+    repeats = staged(gone.where("same").select("doc_id", "sha").distinct(), "repeats")
     if repeats.isEmpty():
         return out
     # One row of each repeated pair, whichever a partition sees first.

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix
-from .common import Tables, slices, staged, without
+from .common import Tables, screened, slices, staged, without
 from .components import components
 
 U64 = np.uint64
@@ -410,8 +410,9 @@ def _rows(documents: DataFrame, members: DataFrame, *, text: str, shingle: int)
             sets = [shingle_set(hashes(t, shingle)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sets, pa.binary())], [f.split()[0] for f in _ROW.split(", ")])
 
-    texts = documents.select(F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text")).join(members.select("th"), "th", "left_semi")
-    return texts.dropDuplicates(["th"]).join(members, "th").select("family", "block", "blocks", "fp", "sketch", "text").mapInArrow(run, _ROW)
+    texts = documents.select(F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    texts = screened(texts, F.col("th"), members.select("th"), F.col("th"), "maybe").where("maybe").drop("maybe")
+    return texts.join(members.select("th"), "th", "left_semi").dropDuplicates(["th"]).join(members, "th").select("family", "block", "blocks", "fp", "sketch", "text").mapInArrow(run, _ROW)
 
 
 def _packs(rows: DataFrame, most: int | None = None) -> DataFrame:
@@ -608,4 +609,5 @@ def survivors(documents: DataFrame, *, ident: str = "doc_id", text: str = "text"
     """
     got = near_classes(documents, ident=ident, text=text, shingle=shingle)
     gone = got.where(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("th").eqNullSafe(F.col("keep_th")))).select("doc_id", "th").distinct()
+    gone = staged(gone, "gone")
     return without(documents, gone, {"doc_id": F.col(f"`{ident}`").cast("long"), "th": F.xxhash64(F.col(f"`{text}`"))})

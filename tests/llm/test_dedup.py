@@ -125,7 +125,9 @@ def test_links_of_crowded_fingerprints(spark, monkeypatch, limit):
             assert same == (roots[i] == roots[j])
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("chunk", [components.CHUNK_EDGES, 20])
+def test_components_of_a_long_chain(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK_EDGES", chunk)
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
