@@ -338,13 +338,45 @@ def gnn_message(nodes: TensorRef, edges, *, source: str = "src", target: str = "
     return nodes.with_cells(grid.join(own, "pos", "left").select("pos", F.coalesce("v", S.lit(0)).alias("v")))
 
 
+#: Rows, and queries, of a block of a search.
+BLOCK_SEARCH = 256
+
+
 def cosine_topk(rows: TensorRef, queries: TensorRef, k: int) -> tuple[TensorRef, TensorRef]:
-    """The k rows most alike to each query row, by cosine."""
-    from .elementwise import div
-    from .reduce import norm
+    """The k rows most alike to each query row, by cosine: scores and row numbers, ties by row.
+
+    Each block of rows meets each block of queries once and leaves the k best of
+    its rows a query, so what is ranked at the end is small.
+    """
+    (n, d), m = rows.shape, queries.shape[0]
+    if queries.shape[1] != d or not 0 < k <= n:
+        raise ValueError(f"the {k} most alike of {rows.shape} to {queries.shape}")
 
-    unit, asked = div(rows, norm(rows, 1)), div(queries, norm(queries, 1))
-    return topk(einsum("qd,nd->qn", asked, unit), k)
+    def blocks(t: TensorRef, name: str) -> DataFrame:
+        cells = t.indexed().select(F.col("i0").alias("r"), F.col("i1").alias("c"), "v")
+        return tiled(cells, F.col("r"), F.col("c"), "v", [], BLOCK_SEARCH, d).select(F.col("ti").alias(f"{name}i"), F.col("cells").alias(name))
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+    def best(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                qi, ri = (batch.column(c)[r].as_py() for c in range(2))
+                x = dense(batch.column(2), r, min(BLOCK_SEARCH, m - qi * BLOCK_SEARCH), d, d)
+                y = dense(batch.column(3), r, min(BLOCK_SEARCH, n - ri * BLOCK_SEARCH), d, d)
+                s = unit(x) @ unit(y).T
+                first = np.argsort(-np.where(np.isnan(s), np.inf, s), axis=1, kind="stable")[:, :k]
+                asked = np.repeat(np.arange(len(x)) + qi * BLOCK_SEARCH, first.shape[1])
+                scores = np.take_along_axis(s, first, axis=1).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(first.ravel() + ri * BLOCK_SEARCH), pa.array(scores)], ["q", "row", "score"])
+
+    asked = blocks(queries, "q").withColumn("ri", F.explode(F.sequence(F.lit(0), F.lit(-(-n // BLOCK_SEARCH) - 1))))
+    met = asked.join(blocks(rows, "r"), "ri").select("qi", "ri", "q", "r").mapInArrow(best, "q long, row long, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "row")) - 1
+    top = met.withColumn("rank", rank).where(F.col("rank") < k).select((F.col("q") * k + F.col("rank")).alias("pos"), "score", F.col("row").cast("double").alias("row"))
+    return TensorRef(top, (m, k), F.col("score"), rows.dtype), TensorRef(top, (m, k), F.col("row"), INDEX)
 
 
 INDEX = dtype("i32")

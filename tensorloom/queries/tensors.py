@@ -235,7 +235,7 @@ def gram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows whose number is divisible by 100 are the queries, against all rows."""
     e = vectors(spark, sf_dir)
     values, index = nn.cosine_topk(e, structure.slice_(e, [0, 0], list(e.shape), [100, 1]), 5)
-    both = values.cells().withColumnRenamed("v", "score").join(index.cells().withColumnRenamed("v", "k"), "pos")
+    both = values.df.select("pos", values.v.alias("score"), index.v.alias("k"))  # both are columns of one table
     return both.select((F.expr("pos div 5L") * 100).alias("row"), (F.col("pos") % 5).alias("rank"), F.col("k").cast("long").alias("neighbour"), F.round("score", 6).alias("score"))
 
 
