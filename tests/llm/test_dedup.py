@@ -293,3 +293,16 @@ def test_survivors_keep_columns_and_values(spark, keep):
     assert keep(df.limit(0)).count() == 0
     plain = keep(documents(spark))
     assert sorted(r[:2] for r in rows if r[0] is not None) == sorted(tuple(r) for r in plain.collect() if r[0] is not None)
+
+
+@pytest.mark.parametrize("shared,own", [(160, 20), (170, 15), (180, 10), (190, 5)])
+def test_recall_of_planted_pairs(shared, own):
+    """Of 1,250 pairs each at 0.8, 0.85, 0.9 and 0.95 all meet in a band and pass the sketch."""
+    rng = np.random.default_rng(shared)
+    met = near = 0
+    for _ in range(1250):
+        h = rng.integers(0, 1 << 64, shared + 2 * own, dtype=np.uint64)
+        a, b = (simhash.minima(np.concatenate([h[:shared], part])) for part in (h[shared : shared + own], h[shared + own :]))
+        met += bool((simhash.band_keys(a) == simhash.band_keys(b)).any())
+        near += int((a == b).sum()) >= simhash.SKETCH_LEAST
+    assert met == 1250 and near >= 1249
