@@ -6,6 +6,9 @@ price column of ``lineitem`` in order of key and line.
 
 from __future__ import annotations
 
+import itertools
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -423,25 +426,108 @@ def _bits(spark, sf_dir):
     return rows.groupBy(F.col("p_brand").alias("brand")).agg(reduce.effective_bits(rows, "p_size", "n").alias("bits"))
 
 
-def _sparse(name: str, sql: str):
+#: Columns of the parts as a sparse matrix: a part's price stands in the column of its size (1 to 50).
+SIZES = 51
+
+
+@dataclass(frozen=True)
+class _Parts:
+    """The parts in order of key: their number, columns and prices."""
+
+    spark: SparkSession
+    df: DataFrame
+    n: int
+
+    def tensor(self, pos, v, shape) -> TensorRef:
+        return from_cells(self.df.select(pos.cast("long").alias("pos"), v.cast("double").alias("v")), shape)
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.n, SIZES
+
+    @property
+    def columns(self) -> TensorRef:
+        return self.tensor(F.col("r"), F.col("s"), (self.n,))
+
+    @property
+    def prices(self) -> TensorRef:
+        return self.tensor(F.col("r"), F.col("p"), (self.n,))
+
+    @property
+    def mask(self) -> TensorRef:
+        on = self.df.select((F.col("r") * SIZES + F.col("s")).alias("pos"), F.lit(1.0).alias("v"))
+        grid = self.spark.range(self.n * SIZES).select(F.col("id").alias("pos"))
+        return from_cells(grid.join(on, "pos", "left").select("pos", F.coalesce("v", F.lit(0.0)).alias("v")), self.shape)
+
+    def blocks(self, wide: int) -> TensorRef:
+        """Each price in a block of its own, of one row and ``wide`` columns."""
+        each = F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("o")
+        cells = self.df.select("r", "s", "p", each)
+        value = F.when(F.col("o") == F.col("s") % wide, F.col("p")).otherwise(0.0)
+        return from_cells(cells.select((F.col("r") * wide + F.col("o")).alias("pos"), value.alias("v")), (self.n, 1, wide))
+
+
+def _sparse(name: str, fill: float = 0.0, width: int = SIZES, column: str = "p_size", rows: str = "(SELECT count(*) FROM part)"):
     def keep(f):
-        return query(name, sql)(lambda s, d: tidy(f(s)))
+        def run(spark, sf_dir):
+            part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("r"), F.col("p_size").cast("long").alias("s"), F.col("p_retailprice").alias("p"))
+            return tidy(f(_Parts(spark, part, part.count())))
+
+        return query(name, f"SELECT i * {width} + j AS pos, round(coalesce(p_retailprice, {fill}), 6) + 0.0 AS v FROM {upto(rows, 'i')} CROSS JOIN {upto(width, 'j')} LEFT JOIN part ON p_partkey = i AND {column} = j")(run)
 
     return keep
 
 
-_DENSE = "SELECT i * {w} + j AS pos, coalesce(max(v), {fill}) + 0.0 AS v FROM generate_series(0, {h} - 1) AS a(i), generate_series(0, {w} - 1) AS b(j) LEFT JOIN (VALUES {cells}) AS c(ci, cj, v) ON ci = i AND cj = j GROUP BY ALL"
-_CELLS = _DENSE.format(h=4, w=6, fill=0, cells="(0, 1, 5), (0, 4, 6), (2, 0, 7), (3, 5, 8)")
-_sparse("sparse_coo", _CELLS)(lambda s: sparse.coo(literal(s, [[0, 0, 2, 3], [1, 4, 0, 5]]), literal(s, [5, 6, 7, 8]), (4, 6)))
-_sparse("sparse_csr", _CELLS)(lambda s: sparse.csr(literal(s, [0, 2, 2, 3, 4]), literal(s, [1, 4, 0, 5]), literal(s, [5, 6, 7, 8]), (4, 6)))
-_sparse("sparse_csc", _CELLS)(lambda s: sparse.csc(literal(s, [0, 1, 2, 2, 2, 3, 4]), literal(s, [2, 0, 0, 3]), literal(s, [7, 5, 6, 8]), (4, 6)))
-_sparse("sparse_bsr", _DENSE.format(h=4, w=6, fill=0, cells="(0, 2, 1), (0, 3, 2), (1, 2, 3), (1, 3, 4), (2, 4, 5), (2, 5, 6), (3, 4, 7), (3, 5, 8)"))(
-    lambda s: sparse.bsr(literal(s, [0, 1, 2]), literal(s, [1, 2]), literal(s, [[[1, 2], [3, 4]], [[5, 6], [7, 8]]]), (2, 2), (4, 6))
-)
-_sparse("sparse_nm", _CELLS.replace("coalesce(max(v), 0)", "coalesce(max(v), -1)"))(lambda s: sparse.nm(literal(s, [[0, 1, 0, 0, 1, 0], [0] * 6, [1, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 1]]), literal(s, [5, 6, 7, 8]), (4, 6), 1, 3, -1.0))
-_sparse("sparse_bitmask", _CELLS)(lambda s: sparse.bitmask(literal(s, [[0, 1, 0, 0, 1, 0], [0] * 6, [1, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 1]]), literal(s, [5, 6, 7, 8]), (4, 6)))
-_sparse("sparse_ragged", _DENSE.format(h=3, w=3, fill=9, cells="(0, 0, 1), (0, 1, 2), (2, 0, 3), (2, 1, 4), (2, 2, 5)"))(lambda s: sparse.ragged(literal(s, [0, 2, 2, 5]), literal(s, [1, 2, 3, 4, 5]), (3, 3), 9.0))
-_sparse("sparse_blocklist", _DENSE.format(h=3, w=5, fill=0, cells="(0, 0, 1), (0, 1, 2), (1, 0, 3), (1, 1, 4), (2, 4, 5)"))(lambda s: sparse.blocklist(literal(s, [0, 5]), literal(s, [[[1, 2], [3, 4]], [[5, 6], [7, 8]]]), (2, 2), (3, 5)))
+@_sparse("sparse_coo")
+def _coo(t: _Parts) -> TensorRef:
+    places = t.df.select("r", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("r").alias("i")), F.struct(F.lit(1).alias("k"), F.col("s").alias("i")))).alias("e"))
+    index = from_cells(places.select((F.col("e.k") * t.n + F.col("r")).alias("pos"), F.col("e.i").alias("v")), (2, t.n))
+    return sparse.coo(index, t.prices, t.shape)
+
+
+@_sparse("sparse_csr")
+def _csr(t: _Parts) -> TensorRef:
+    return sparse.csr(arange(t.spark, t.n + 1), t.columns, t.prices, t.shape)
+
+
+@_sparse("sparse_csc")
+def _csc(t: _Parts) -> TensorRef:
+    """Entries by column: a column begins after all entries of the columns before it."""
+    counts = t.df.groupBy("s").count().collect()  # fifty rows
+    sizes = [0] * SIZES
+    for r in counts:
+        sizes[r.s] = r["count"]
+    begins = list(itertools.accumulate(sizes, initial=0))
+    first = F.element_at(F.array(*(F.lit(x) for x in begins)), (F.col("s") + 1).cast("int"))
+    at = first + F.row_number().over(Window.partitionBy("s").orderBy("r")) - 1
+    placed = _Parts(t.spark, t.df.withColumn("k", at), t.n)
+    rows, prices = (placed.tensor(F.col("k"), F.col(c), (t.n,)) for c in ("r", "p"))
+    return sparse.csc(literal(t.spark, begins), rows, prices, t.shape)
+
+
+@_sparse("sparse_bsr")
+def _bsr(t: _Parts) -> TensorRef:
+    return sparse.bsr(arange(t.spark, t.n + 1), t.tensor(F.col("r"), F.floor(F.col("s") / 3), (t.n,)), t.blocks(3), (1, 3), t.shape)
+
+
+@_sparse("sparse_blocklist")
+def _blocklist(t: _Parts) -> TensorRef:
+    return sparse.blocklist(t.tensor(F.col("r"), F.col("r") * 17 + F.floor(F.col("s") / 3), (t.n,)), t.blocks(3), (1, 3), t.shape)
+
+
+@_sparse("sparse_bitmask")
+def _bitmask(t: _Parts) -> TensorRef:
+    return sparse.bitmask(t.mask, t.prices, t.shape)
+
+
+@_sparse("sparse_nm", fill=-1.0)
+def _nm(t: _Parts) -> TensorRef:
+    return sparse.nm(t.mask, t.prices, t.shape, 1, SIZES, -1.0)
+
+
+@_sparse("sparse_ragged", fill=9.0, width=3, column="0")
+def _ragged(t: _Parts) -> TensorRef:
+    return sparse.ragged(arange(t.spark, t.n + 1), t.prices, (t.n, 3), 9.0)
 
 
 _STEP = "pow(2.0, floor(log2(abs(v))) - 7)"

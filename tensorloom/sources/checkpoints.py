@@ -13,7 +13,7 @@ from typing import Any
 
 import numpy as np
 
-from ..operators import merge
+from ..operators import merge, structure
 from ..tensor import TensorRef
 from .files import decode
 
@@ -81,29 +81,65 @@ def parse_pytorch(raw: bytes) -> Iterator[tuple[str, tuple[int, ...], str, np.nd
 
 #: Settings of an adapter that a plain product of its factors cannot state.
 _REFUSED = ("use_dora", "fan_in_fan_out", "rank_pattern", "alpha_pattern", "modules_to_save")
-_FACTOR = re.compile(r"^(?:base_model\.model\.)?(.*)\.lora_([AB])(?:\.default)?\.weight$")
+
+
+#: Names of each adapter type's factors after the module's name (fixed values).
+_PARTS = {
+    "LORA": ("lora_A", "lora_B"),
+    "ADALORA": ("lora_A", "lora_B", "lora_E"),
+    "LOHA": ("hada_w1_a", "hada_w1_b", "hada_w2_a", "hada_w2_b"),
+    "VERA": ("vera_lambda_b", "vera_lambda_d"),
+    "IA3": ("ia3_l",),
+}
 
 
 def apply_peft(base: dict[str, TensorRef], adapter: dict[str, TensorRef], config: dict[str, Any]) -> dict[str, TensorRef]:
-    """Base weights with an adapter's low-rank changes added; settings out of reach are refused."""
-    if config.get("peft_type") != "LORA":
-        raise ValueError(f"adapter type {config.get('peft_type')!r}")
+    """Base weights with an adapter's change applied; types and settings out of reach are refused.
+
+    LORA, ADALORA, LOHA and VERA add to a weight, IA3 scales its rows, or its
+    columns where the module is named as feed-forward.
+    """
+    kind = config.get("peft_type")
+    if kind not in _PARTS:
+        raise ValueError(f"adapter type {kind!r}")
     for key in _REFUSED:
         if config.get(key):
             raise ValueError(f"{key} is refused")
-    pairs: dict[str, dict[str, TensorRef]] = {}
+    found: dict[str, dict[str, TensorRef]] = {}
+    shared: dict[str, TensorRef] = {}
     for name, t in adapter.items():
-        m = _FACTOR.match(name)
+        if kind == "VERA" and name.removesuffix(".default").rpartition(".")[2] in ("vera_A", "vera_B"):
+            shared[name.removesuffix(".default").rpartition(".")[2]] = t
+            continue
+        m = re.fullmatch(rf"(?:base_model\.model\.)?(.+)\.({'|'.join(_PARTS[kind])})(?:\.default)?(?:\.weight)?", name)
         if not m:
             raise ValueError(f"{name} is no factor")
-        pairs.setdefault(m[1], {})[m[2]] = t
-    rank, alpha = config["r"], config.get("lora_alpha", config["r"])
+        found.setdefault(m[1], {})[m[2]] = t
+    rank, alpha = config.get("r", 1), config.get("lora_alpha", config.get("alpha", config.get("r", 1)))
     if config.get("use_rslora"):
         alpha = alpha * rank**0.5
+    if kind == "VERA" and set(shared) != {"vera_A", "vera_B"}:
+        raise ValueError("vera needs its shared factors")
     out = dict(base)
-    for name, p in pairs.items():
+    for name, p in found.items():
         target = f"{name}.weight"
-        if target not in base or set(p) != {"A", "B"}:
-            raise ValueError(f"{name}: no base weight, or half a pair")
-        out[target] = merge.lora(base[target], p["A"], p["B"], alpha, rank)
+        if target not in base or set(p) != set(_PARTS[kind]):
+            raise ValueError(f"{name}: no base weight, or parts of {kind} are missing")
+        w = base[target]
+        match kind:
+            case "LORA":
+                out[target] = merge.lora(w, p["lora_A"], p["lora_B"], alpha, rank)
+            case "ADALORA":
+                scaled = p["lora_E"].map(lambda v: v * (alpha / (rank + 1e-5)))
+                out[target] = merge.adalora(w, p["lora_B"], scaled, p["lora_A"])
+            case "LOHA":
+                out[target] = merge.loha(w, p["hada_w1_b"], p["hada_w1_a"], p["hada_w2_b"], p["hada_w2_a"], alpha, rank)
+            case "VERA":
+                d, b = p["vera_lambda_d"], p["vera_lambda_b"]
+                a_part = structure.slice_(shared["vera_A"], [0, 0], [d.shape[0], w.shape[1]])
+                b_part = structure.slice_(shared["vera_B"], [0, 0], [w.shape[0], d.shape[0]])
+                out[target] = merge.vera(w, a_part, b_part, d, b)
+            case "IA3":
+                wide = any(name == m or name.endswith(f".{m}") for m in config.get("feedforward_modules") or ())
+                out[target] = merge.ia3(w, structure.reshape(p["ia3_l"], (-1,)), rows=not wide)
     return out

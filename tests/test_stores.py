@@ -129,3 +129,29 @@ def test_adapters(spark):
     for bad in ({"use_dora": True}, {"rank_pattern": {"q": 1}}):
         with pytest.raises(ValueError):
             checkpoints.apply_peft(base, adapter, {"peft_type": "LORA", "r": 2, **bad})
+
+
+def test_other_adapters(spark):
+    rng = np.random.default_rng(1)
+    w = rng.normal(size=(4, 3))
+    base = {"q.weight": literal(spark, w)}
+    shapes = {"a1": (4, 2), "b1": (2, 3), "a2": (4, 2), "b2": (2, 3), "A": (5, 6), "B": (7, 5), "lb": (4,), "ld": (2,), "rows": (4, 1), "columns": (1, 3), "la": (2, 3), "lB": (4, 2), "e": (2, 1)}
+    x = {k: rng.normal(size=n) for k, n in shapes.items()}
+
+    def run(kind, parts, **config):
+        given = {k: literal(spark, x[v]) for k, v in parts.items()}
+        return collect(checkpoints.apply_peft(base, given, {"peft_type": kind, "r": 2, **config})["q.weight"])
+
+    pre = "base_model.model.q."
+    got = run("LOHA", {pre + "hada_w1_a": "a1", pre + "hada_w1_b": "b1", pre + "hada_w2_a": "a2", pre + "hada_w2_b": "b2"}, alpha=4)
+    assert np.allclose(got, w + 2 * (x["a1"] @ x["b1"]) * (x["a2"] @ x["b2"]))
+    got = run("VERA", {"base_model.vera_A": "A", "base_model.vera_B": "B", pre + "vera_lambda_b": "lb", pre + "vera_lambda_d": "ld"})
+    assert np.allclose(got, w + x["lb"][:, None] * (x["B"][:4, :2] @ (x["ld"][:, None] * x["A"][:2, :3])))
+    assert np.allclose(run("IA3", {pre + "ia3_l": "rows"}), w * x["rows"])
+    assert np.allclose(run("IA3", {pre + "ia3_l": "columns"}, feedforward_modules=["q"]), w * x["columns"])
+    got = run("ADALORA", {pre + "lora_A": "la", pre + "lora_B": "lB", pre + "lora_E": "e"}, lora_alpha=4)
+    assert np.allclose(got, w + x["lB"] @ (x["la"] * x["e"]) * 4 / (2 + 1e-5))
+    with pytest.raises(ValueError):
+        run("VERA", {pre + "vera_lambda_b": "lb", pre + "vera_lambda_d": "ld"})
+    with pytest.raises(ValueError):
+        run("LOKR", {})
