@@ -85,7 +85,7 @@ _line("approx", "l_quantity")(lambda t: elementwise.approx(t["quantity"], 0.1))
 _shape("sum_sequential", "SELECT r AS pos, round(sum(v), 6) + 0.0 AS v FROM e GROUP BY r")(lambda e: reduce.reduce(e, "sum", [1], order="sequential"))
 _shape("sum_pairwise", "SELECT r AS pos, round(sum(v), 6) + 0.0 AS v FROM e GROUP BY r")(lambda e: reduce.reduce(e, "sum", [1], order="pairwise"))
 _shape("relayout", _CELL.format(v="v"))(lambda e: structure.relayout(e, "col-major"))
-_shape("flat_params", f"SELECT r * 64 + c - 64 AS pos, round(v, 6) + 0.0 AS v FROM e WHERE r >= 1")(lambda e: structure.flat_slice(structure.reshape(e, (-1,)), 64, (e.shape[0] - 1, 64)))
+_shape("flat_params", "SELECT r * 64 + c - 64 AS pos, round(v, 6) + 0.0 AS v FROM e WHERE r >= 1")(lambda e: structure.flat_slice(structure.reshape(e, (-1,)), 64, (e.shape[0] - 1, 64)))
 
 
 # -- control flow -------------------------------------------------------------------------------
@@ -196,7 +196,7 @@ _shape("dq_clip", _CELL.format(v=f"least(greatest({_INT} * 0.25, -0.3), 0.3)"))(
 _shape("dq_order", f"SELECT ({N} - 1 - r) * 64 + c AS pos, round({_INT} * 0.25, 6) + 0.0 AS v FROM e")(
     lambda e: quant.dequantize(_whole(e), quant.Scheme("sym", order=tuple(range(e.shape[0] - 1, -1, -1))), scale=literal(e.spark, [[0.25]]))
 )
-_shape("dq_codebook_raw", f"SELECT r * 64 + c AS pos, CAST(((r + c) % 4) * 1.5 AS DOUBLE) AS v FROM e")(
+_shape("dq_codebook_raw", "SELECT r * 64 + c AS pos, CAST(((r + c) % 4) * 1.5 AS DOUBLE) AS v FROM e")(
     lambda e: quant.dequantize(generate(e.spark, e.shape, lambda p: (F.expr("pos div 64L") + p % 64) % 4, "u8"), quant.Scheme("codebook-raw", "u8"), book=literal(e.spark, [0.0, 1.5, 3.0, 4.5]))
 )
 _shape("fake_quant_given", _CELL.format(v="least(greatest(round_even(v / 0.02, 0), -128), 127) * 0.02"))(lambda e: quant.fake_quant(e, quant.Scheme("sym"), scale=literal(e.spark, [[0.02]])))
@@ -442,9 +442,6 @@ def _vocabulary(spark, sf_dir):
     return rules.vocabulary(sizes, rows).select(F.col("name").cast("long").alias("name"), "status")
 
 
-_EVENT_ID = "CAST(octet_length(encode(event_type)) AS INTEGER)"
-
-
 @query("rule_token_vectors", "SELECT event_id AS name, CASE WHEN event_id % 4 = 0 THEN 'invalid' ELSE 'valid' END AS status FROM events")
 def _tokens(spark, sf_dir):
     """Bytes of event types as recorded ids, one in four recorded wrong."""
@@ -467,10 +464,10 @@ def _loader(spark, sf_dir):
     return rules.dataloader(load(spark, sf_dir, "events").select(F.col("user_id").alias("worker"), F.col("event_id").alias("position")), batch=8)
 
 
-@query("random_states", "SELECT event_type AS scope, user_id AS worker, max(event_id) AS step, arg_max(CAST(value AS VARCHAR), event_id) AS state FROM events GROUP BY ALL")
+@query("random_states", "SELECT event_type AS scope, user_id AS worker, max(event_id) AS step, arg_max(value, event_id) AS state FROM events GROUP BY ALL")
 def _states(spark, sf_dir):
     rows = load(spark, sf_dir, "events").select(F.col("event_type").alias("scope"), F.col("user_id").alias("worker"), F.col("event_id").alias("step"), F.col("value").alias("state"))
-    return rules.random_states(rows).withColumn("state", F.col("state").cast("string"))
+    return rules.random_states(rows)
 
 
 @query("optimizer_rows", "SELECT o_custkey AS name, count(*) AS moments, CASE WHEN min(o_orderkey % 2) = max(o_orderkey % 2) AND min(o_orderkey % 2) = 1 THEN 'valid' ELSE 'invalid' END AS status FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, 0, 'indeterminate' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
