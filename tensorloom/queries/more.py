@@ -470,7 +470,7 @@ def _states(spark, sf_dir):
     return rules.random_states(rows)
 
 
-@query("optimizer_rows", "SELECT o_custkey AS name, count(*) AS moments, CASE WHEN min(o_orderkey % 2) = max(o_orderkey % 2) AND min(o_orderkey % 2) = 1 THEN 'valid' ELSE 'invalid' END AS status FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, 0, 'indeterminate' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("training_optimizer", "SELECT o_custkey AS name, count(*) AS moments, CASE WHEN min(o_orderkey % 2) = max(o_orderkey % 2) AND min(o_orderkey % 2) = 1 THEN 'valid' ELSE 'invalid' END AS status FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, 0, 'indeterminate' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def _optimizer(spark, sf_dir):
     moments = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), F.col("o_orderkey").alias("moment"), (F.col("o_orderkey") % 2).alias("elements"))
     return rules.optimizer_rows(moments, load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.lit(1).alias("elements")))
