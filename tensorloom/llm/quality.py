@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
-from .common import slices, small_batches, staged, with_fields
+from .common import give_back, slices, small_batches, staged, with_fields
 
 U64 = np.uint64
 BITS = 17
@@ -159,6 +159,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) ->
             ids += batch.column("doc_id").to_pylist()
         order = np.argsort(np.asarray(ids, dtype=np.int64), kind="stable")
         model = train([got[i] for i in order], np.asarray(ys)[order]) if got else Model(np.zeros(1 << BITS, np.float32), 0.0)
+        got.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
 
     got = texts.repartition(1).mapInArrow(learn, "weights binary, bias double").collect()

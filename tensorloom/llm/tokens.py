@@ -29,8 +29,8 @@ _PLAIN = re.compile(r"[\t\n\r -~¡-¬®-ÿ]*")
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 #: Bytes of a chunk: all but the blanks that plain texts can hold.
 _CHUNK = ~B.word_class((9, 10), (13, 13), (32, 32))
-#: Chunks and words kept in memory by one worker.
-_CACHE_CHUNKS, _CACHE_WORDS = 400_000, 300_000
+#: Chunks kept in memory by one worker.
+_CACHE_CHUNKS = 400_000
 
 
 def tokenizer_path(name: str = DEFAULT) -> str:
@@ -157,8 +157,6 @@ class Encoder:
         self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
         #: The bytes of known chunks, one after another; where each begins and how many it has.
         self.text, self.text_begin, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        #: Ids of single words.
-        self.words: dict[str, bytes] = {}
 
     def _learn(self, hashes: np.ndarray, chunks: list[str]) -> np.ndarray:
         """Encode chunks and remember them; their places."""
@@ -179,14 +177,12 @@ class Encoder:
         return places
 
     def _words(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of each word.
+        """The ids of each word, not kept: chunks are, and hold nearly the same strings.
 
         Words go through the tokenizer many at once, between blanks; the
         tokens that end a word tell where each one's ids end.
         """
-        if len(self.words) > _CACHE_WORDS:
-            self.words = {}
-        new = [w for w in words if w not in self.words]
+        out, new = {}, list(words)
         for begin in range(0, len(new), 4096):
             part = new[begin : begin + 4096]
             lines = [" ".join(part[k : k + 64]) for k in range(0, len(part), 64)]
@@ -197,9 +193,9 @@ class Encoder:
                 raise ValueError("the tokenizer cuts words that its pattern does not")
             raw, at = ids.tobytes(), 0
             for w, end in zip(part, (ends * 4).tolist(), strict=True):
-                self.words[w] = raw[at:end]
+                out[w] = raw[at:end]
                 at = end
-        return self.words
+        return out
 
 
 def _packed(ids: list[int]) -> bytes:
