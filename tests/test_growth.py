@@ -16,5 +16,18 @@ def plan(t) -> str:
 def test_products_broadcast_no_tiles(spark):
     a, b = RNG.normal(size=(300, 64)), RNG.normal(size=(64, 270))
     got = contract.matmul(literal(spark, a), literal(spark, b))
-    assert "Broadcast" not in plan(got)  # a side that is broadcast goes through the driver
+    assert "Broadcast" not in plan(got) and "SortMergeJoin" not in plan(got)  # tiles meet without a join, whose one side may be broadcast through the driver
     assert np.allclose(collect(got), a @ b)
+
+
+@pytest.mark.parametrize("causal", [False, True])
+def test_attention_sends_no_partial_results(spark, causal, monkeypatch):
+    monkeypatch.setattr(nn, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(nn, "BLOCK_KEYS", 4)
+    q = RNG.normal(size=(1, 1, 100, 2))
+    t = literal(spark, q)
+    got = nn.attention(t, t, t, causal=causal)
+    assert "Broadcast" not in plan(got) and "SortMergeJoin" not in plan(got)
+    s = q[0, 0] @ q[0, 0].T / np.sqrt(2)
+    p = np.exp(np.where(np.tri(100) > 0, s, -np.inf) if causal else s)
+    assert np.allclose(collect(got)[0, 0], p / p.sum(axis=1, keepdims=True) @ q[0, 0])
