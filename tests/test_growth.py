@@ -31,3 +31,10 @@ def test_attention_sends_no_partial_results(spark, causal, monkeypatch):
     s = q[0, 0] @ q[0, 0].T / np.sqrt(2)
     p = np.exp(np.where(np.tri(100) > 0, s, -np.inf) if causal else s)
     assert np.allclose(collect(got)[0, 0], p / p.sum(axis=1, keepdims=True) @ q[0, 0])
+
+
+def test_quantized_product_broadcasts_no_tiles(spark):
+    q, b = RNG.integers(-9, 9, size=(300, 64)).astype(float), RNG.normal(size=(64, 270))
+    got = quant.qmatmul(literal(spark, q, to="i8"), literal(spark, b), quant.Scheme("sym", "i8"), scale=literal(spark, [[0.1]]))
+    assert "SortMergeJoin" not in plan(got) and "CartesianProduct" not in plan(got) and plan(got).count("BroadcastExchange") <= 1  # the scale
+    assert np.allclose(collect(got), 0.1 * q @ b)
