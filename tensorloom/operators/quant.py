@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import floatsem as S
 from ..functions.dtypes import DType, dtype, round_through
-from ..tensor import TensorRef, position
+from ..tensor import TensorRef, position, size
 from .structure import gather
 
 FORMULAS = ("affine-sub", "affine-add", "sym", "codebook", "codebook-raw", "nested")
@@ -58,10 +58,16 @@ def _block_of(x: TensorRef, block: Sequence[int] | None) -> Column:
     return position([F.expr(f"i{k} div {b}L") for k, b in enumerate(block)], grid)
 
 
+#: A parameter tensor of so many elements at most is sent to all tasks.
+SENT_ELEMENTS = 1 << 12
+
+
 def _with_params(x: TensorRef, block: Sequence[int] | None, params: dict[str, TensorRef]) -> DataFrame:
+    """Cells with the parameters of their block; one block for all would else be one key of one task, or a product."""
     df = x.indexed().withColumn("blk", _block_of(x, block))
     for name, p in params.items():
-        df = df.join(p.cells().select(F.col("pos").alias("blk"), F.col("v").alias(name)), "blk")
+        own = p.cells().select(F.col("pos").alias("blk"), F.col("v").alias(name))
+        df = df.join(F.broadcast(own) if size(p.shape) <= SENT_ELEMENTS else own, "blk")
     return df
 
 

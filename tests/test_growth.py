@@ -38,3 +38,11 @@ def test_quantized_product_broadcasts_no_tiles(spark):
     got = quant.qmatmul(literal(spark, q, to="i8"), literal(spark, b), quant.Scheme("sym", "i8"), scale=literal(spark, [[0.1]]))
     assert "SortMergeJoin" not in plan(got) and "CartesianProduct" not in plan(got) and plan(got).count("BroadcastExchange") <= 1  # the scale
     assert np.allclose(collect(got), 0.1 * q @ b)
+
+
+def test_one_parameter_is_no_product_of_partitions(spark):
+    x = literal(spark, RNG.integers(-9, 9, size=(20, 8)))
+    one = {k: literal(spark, [[v]]) for k, v in (("scale", 0.5), ("zero", 1.0), ("scale_scale", 2.0), ("scale_zero", 0.25))}
+    got = quant.dequantize(x, quant.Scheme("nested"), **one)
+    assert "CartesianProduct" not in plan(got) and "SortMergeJoin" not in plan(got)
+    assert np.allclose(collect(got), (collect(x) - 1) * 0.5)
