@@ -46,3 +46,14 @@ def test_one_parameter_is_no_product_of_partitions(spark):
     got = quant.dequantize(x, quant.Scheme("nested"), **one)
     assert "CartesianProduct" not in plan(got) and "SortMergeJoin" not in plan(got)
     assert np.allclose(collect(got), (collect(x) - 1) * 0.5)
+
+
+def test_search_broadcasts_no_rows_and_equal_rows_tie(spark):
+    rows = RNG.normal(size=(700, 8))
+    rows[650] = rows[3]  # in another block, of another size
+    e = literal(spark, rows)
+    scores, index = nn.cosine_topk(e, literal(spark, rows[:4]), 3)
+    assert "Broadcast" not in plan(scores) and "SortMergeJoin" not in plan(scores)
+    assert collect(index)[3, :2].tolist() == [3, 650]
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    assert np.allclose(collect(scores), -np.sort(-(unit[:4] @ unit.T), axis=1)[:, :3])
