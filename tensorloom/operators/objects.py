@@ -5,6 +5,7 @@ objects: digest, otype, logical_len, payload.  refs: src, dst, otype.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -215,7 +216,11 @@ def lineage(parents: DataFrame, start: str, limit: int = 32) -> DataFrame:
     return walk(edges, parents.sparkSession.createDataFrame([(start,)], "digest string"), limit=limit)
 
 
-def stat(objects: DataFrame, names: DataFrame) -> DataFrame:
-    """Objects, bytes and names per type; objects without a name count as internal."""
-    both = objects.join(names.select("digest", "name"), "digest", "left")
+def stat(objects: DataFrame, names: DataFrame, on: Sequence[str] = ("digest",)) -> DataFrame:
+    """Objects, bytes and names per type; objects without a name count as internal.
+
+    A name belongs to the objects that are the same in ``on``, missing values included.
+    """
+    named = names.select(*(F.col(c).alias(f"_{c}") for c in on), "name")
+    both = objects.join(named, functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on)), "left")
     return both.groupBy("otype").agg(F.count_distinct("digest").alias("objects"), F.sum("logical_len").alias("bytes"), F.count("name").alias("named"))

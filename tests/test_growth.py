@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tensorloom import registry
 from tensorloom.operators import contract, nn, quant
 from tensorloom.tensor import collect, literal
 
@@ -57,3 +58,16 @@ def test_search_broadcasts_no_rows_and_equal_rows_tie(spark):
     assert collect(index)[3, :2].tolist() == [3, 650]
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
     assert np.allclose(collect(scores), -np.sort(-(unit[:4] @ unit.T), axis=1)[:, :3])
+
+
+def test_object_stat_counts_a_text_in_each_of_its_languages(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "aa", "en"), (2, "aa", "fr"), (4, "aa", "deu"), (5, "bé", None), (6, "bé", "en"), (8, None, "en"), (9, None, None), (10, "cc", "en"), (11, "cc", "en")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["object_stat"](spark, str(tmp_path)).select("otype", "objects", "bytes", "named").collect()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(f"SELECT otype, objects, bytes, named FROM ({registry.oracle_sql()['object_stat']})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
