@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import codecs, layouts, template, tokenizer
 from ..functions.dtypes import fixed
+from ..functions.rows import small_batches
 from ..operators import elementwise, merge, objects, quant, reduce, structure
 from ..plans import expr as E
 from ..plans import graph as G
@@ -291,7 +292,7 @@ def _layouts(spark, sf_dir):
 
 
 def _texts(spark, sf_dir):
-    return load(spark, sf_dir, "documents")
+    return load(small_batches(spark), sf_dir, "documents")
 
 
 for _codec in ("zlib", "lzma", "zstd"):

@@ -1,13 +1,16 @@
 """What must not grow with the input in one place: the driver, one task, or one worker."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tensorloom import registry
+from tensorloom.functions import tokenizer
 from tensorloom.operators import contract, nn, quant
 from tensorloom.tensor import collect, literal
 
 RNG = np.random.default_rng(5)
+SF = "/root/testdata/sf0.001"
 
 
 def plan(t) -> str:
@@ -71,3 +74,35 @@ def test_object_stat_counts_a_text_in_each_of_its_languages(spark, tmp_path):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = c.execute(f"SELECT otype, objects, bytes, named FROM ({registry.oracle_sql()['object_stat']})").fetchall()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_whole_texts_are_not_kept_as_words(spark):
+    model = tokenizer.Tokenizer("char", {c: i for i, c in enumerate("abc")})
+    texts = ["abc" * 50, "ab"]
+    assert [model.encode(t) for t in texts] == [[0, 1, 2] * 50, [0, 1]]
+    assert set(model._cache) == {"ab"}
+    raw = pa.array(["x", "aé", None, "", "xyz"]).slice(1)
+    assert tokenizer._bytes_of(raw).to_pylist() == [[97, 195, 169], None, [], [120, 121, 122]]
+    df = spark.createDataFrame([(1, "aé"), (2, None), (3, ""), (4, "xyz" * 9)], "i int, t string")
+    ids = tokenizer.encode(tokenizer.byte_level())("t")
+    assert [r.b for r in df.select("i", tokenizer.decode(tokenizer.byte_level())(ids).alias("b")).orderBy("i").collect()] == ["aé", None, "", "xyz" * 9]
+
+
+def test_texts_come_in_small_batches(spark):
+    from tensorloom.functions import codecs, rows
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        assert rows.small_batches(spark).conf.get(key) == rows.TEXT_ROWS
+        spark.conf.set(key, "77")
+        assert rows.small_batches(spark).conf.get(key) == "77"
+        spark.conf.set(key, "10000")
+        registry.queries()["codec_zlib"](spark, SF)
+        assert spark.conf.get(key) == rows.TEXT_ROWS
+    finally:
+        spark.conf.set(key, was)
+    df = spark.createDataFrame([(i, "ab" * i if i % 7 else None) for i in range(1000)], "i int, t string")
+    back = codecs.decode(codecs.encode(df.t, "zlib"), "zlib").cast("string")
+    assert df.where(~back.eqNullSafe(df.t)).count() == 0
