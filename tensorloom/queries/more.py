@@ -323,42 +323,31 @@ def _model_files(spark, sf_dir):
     return tidy(files.cells(files.read_model(spark, place), "e", e.shape))
 
 
-def _through(spark, raw: bytes, suffix: str, shape) -> DataFrame:
-    """A file's bytes written to the shared folder and read by the reader of its kind."""
-    place = fresh(spark, "file")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    path = hadoop(f"{place}/e.{suffix}")
-    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-    stream.write(bytearray(raw))
-    stream.close()
-    return tidy(files.cells(files.read(spark, f"{place}/e.{suffix}"), "e", shape))
+def _through(spark, e: TensorRef, suffix: str) -> DataFrame:
+    """E written as a file in the shared folder and read by the reader of its kind."""
+    path = f"{fresh(spark, 'file')}/e.{suffix}"
+    files.write_file(spark, {"e": e}, path)
+    return tidy(files.cells(files.read(spark, path), "e", e.shape))
 
 
 @query("file_safetensors", f"WITH e AS ({E_SQL}) {_CELL.format(v='v')}")
 def _safetensors(spark, sf_dir):
-    e = vectors(spark, sf_dir)
-    return _through(spark, files.to_safetensors({"e": e}), "safetensors", e.shape)
+    return _through(spark, vectors(spark, sf_dir), "safetensors")
 
 
 @query("file_npy", f"WITH e AS ({E_SQL}) {_CELL.format(v='v')}")
 def _npy(spark, sf_dir):
-    e = vectors(spark, sf_dir)
-    return _through(spark, files.to_npy(e), "npy", e.shape)
+    return _through(spark, vectors(spark, sf_dir), "npy")
 
 
 @query("file_npz", f"WITH e AS ({E_SQL}) {_CELL.format(v='CAST(CAST(v AS FLOAT) AS DOUBLE)')}")
 def _npz(spark, sf_dir):
-    e = vectors(spark, sf_dir)
-    return _through(spark, files.to_npz({"e": elementwise.cast(e, "f32")}), "npz", e.shape)
+    return _through(spark, elementwise.cast(vectors(spark, sf_dir), "f32"), "npz")
 
 
 @query("file_gguf", f"WITH e AS ({E_SQL}) {_CELL.format(v='CAST(CAST(v AS FLOAT) AS DOUBLE)')}")
 def _gguf(spark, sf_dir):
-    from ..sources import gguf
-    from ..tensor import collect
-
-    e = vectors(spark, sf_dir)
-    return _through(spark, gguf.write({"e": collect(e)}), "gguf", e.shape)
+    return _through(spark, vectors(spark, sf_dir), "gguf")
 
 
 @query("pack_store", "SELECT sha256(text) AS digest, max(octet_length(encode(text))) AS logical_len FROM documents WHERE text IS NOT NULL GROUP BY 1")

@@ -7,7 +7,8 @@ import pytest
 from tensorloom import registry
 from tensorloom.functions import tokenizer
 from tensorloom.operators import contract, nn, quant
-from tensorloom.tensor import collect, literal
+from tensorloom.sources import files, gguf
+from tensorloom.tensor import collect, from_cells, literal
 
 RNG = np.random.default_rng(5)
 SF = "/root/testdata/sf0.001"
@@ -106,3 +107,22 @@ def test_texts_come_in_small_batches(spark):
     df = spark.createDataFrame([(i, "ab" * i if i % 7 else None) for i in range(1000)], "i int, t string")
     back = codecs.decode(codecs.encode(df.t, "zlib"), "zlib").cast("string")
     assert df.where(~back.eqNullSafe(df.t)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["safetensors", "npy", "npz", "gguf"])
+def test_files_of_more_than_the_driver_collects(spark, tmp_path, kind):
+    n = (1 << 20) + 300
+    t = from_cells(spark.range(n).where("id % 1000 <> 7").selectExpr("id AS pos", "CAST(id % 4096 AS DOUBLE) AS v"), (n // 4, 4))
+    path = str(tmp_path / f"e.{kind}")
+    files.write_file(spark, {"e": t}, path)
+    back = files.cells(files.read(spark, path), "e", t.shape).cells()
+    wrong = back.where("NOT (v <=> IF(pos % 1000 = 7, double('NaN'), CAST(pos % 4096 AS DOUBLE)))").count()
+    assert back.count() == n and wrong == 0
+    small = from_cells(t.cells().where("pos < 12"), (3, 4))
+    files.write_file(spark, {"e": small}, str(tmp_path / f"s.{kind}"))
+    raw = (tmp_path / f"s.{kind}").read_bytes()
+    if kind == "npz":
+        assert np.array_equal(np.load(tmp_path / "s.npz")["e"], collect(small), equal_nan=True)
+    else:
+        made = {"safetensors": lambda: files.to_safetensors({"e": small}), "npy": lambda: files.to_npy(small), "gguf": lambda: gguf.write({"e": collect(small)})}
+        assert raw == made[kind]()
