@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import floatsem as S
+from ..functions.rows import runs
 from ..scratch import written
 from ..tensor import TensorRef
+from .contract import dense, tiled
 
 #: A lossy delta must be smaller than this part of the best lossless one (fixed value).
 LOSSY_GAIN = 0.75
@@ -100,39 +101,58 @@ def report(analysis: DataFrame, bytes_per: int = 4) -> DataFrame:
 STORED = {"f64": "<f8", "f32": "<f4", "f16": "<f2", "i8": "<i1", "i16": "<i2", "i32": "<i4", "i64": "<i8", "u8": "<u1", "u16": "<u2", "u32": "<u4", "u64": "<u8"}
 
 
+#: Places whose bytes are packed together before a digest runs over them.
+PIECE = 1 << 16
+
+
 def chunk_digests(cells: DataFrame, *, chunk: int = 65536, to: str = "f64") -> DataFrame:
     """(tensor, seq, digest): SHA-256 of fixed-size chunks' bytes, the values in order as ``to`` stores them.
 
-    Cells stream through their partition; a null counts as NaN.
+    Tasks sort cells and pack them into pieces; a chunk of several pieces then
+    takes one task, which sorts the pieces' bytes only.  A null counts as NaN.
     """
     stored = STORED[to]
 
-    def run(batches):
-        now, state = None, None
+    def pack(batches):
+        for (tensor, seq, piece), (_, values) in runs(batches, 3):
+            yield pa.RecordBatch.from_arrays([pa.array([tensor], pa.string()), pa.array([seq], pa.int64()), pa.array([piece], pa.int64()), pa.array([values.astype(stored).tobytes()], pa.binary())], ["tensor", "seq", "piece", "raw"])
+
+    def digests(batches):
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int64()), pa.array([state.hexdigest()], pa.string())], ["tensor", "seq", "digest"])
+
+        now = state = None
         for batch in batches:
-            out = []
-            if not batch.num_rows:
-                continue
-            names, seqs = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            values = batch.column(3).to_numpy(zero_copy_only=False).astype(stored)
-            new = np.append(True, (seqs[1:] != seqs[:-1]) | np.fromiter((a != b for a, b in zip(names[1:], names[:-1], strict=True)), bool, len(names) - 1))
-            starts = np.flatnonzero(new).tolist()
-            for a, b in zip(starts, [*starts[1:], len(names)], strict=True):
-                key = (names[a], int(seqs[a]))
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for key, raw in zip(keys, batch.column(3), strict=True):
                 if key != now:
                     if state:
-                        out.append((*now, state.hexdigest()))
+                        yield row()
                     now, state = key, hashlib.sha256()
-                state.update(values[a:b].tobytes())
-            yield pack(out)
+                state.update(raw.as_buffer())
         if state:
-            yield pack([(*now, state.hexdigest())])
+            yield row()
 
-    def pack(rows):
+    def single(batches):
+        out = []
+        for (tensor, seq, _), (_, values) in runs(batches, 3):
+            out.append((tensor, seq, hashlib.sha256(values.astype(stored).tobytes()).hexdigest()))
+            if len(out) >= 1000:
+                yield table(out)
+                out = []
+        if out:
+            yield table(out)
+
+    def table(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["tensor", "seq", "digest"])
 
-    rows = cells.select(F.col("tensor").cast("string").alias("tensor"), F.expr(f"pos div {chunk}L").alias("seq"), "pos", F.col("v").cast("double").alias("v"))
-    return rows.repartition("tensor", "seq").sortWithinPartitions("tensor", "seq", "pos").mapInArrow(run, "tensor string, seq long, digest string")
+    piece = F.expr(f"pos div {PIECE}L") if chunk > PIECE else F.lit(0).cast("long")
+    rows = cells.select(F.col("tensor").cast("string").alias("tensor"), F.expr(f"pos div {chunk}L").alias("seq"), piece.alias("piece"), "pos", F.col("v").cast("double").alias("v"))
+    placed = rows.repartition("tensor", "seq", "piece").sortWithinPartitions("tensor", "seq", "piece", "pos")
+    if chunk <= PIECE:
+        return placed.mapInArrow(single, "tensor string, seq long, digest string")
+    pieces = placed.mapInArrow(pack, "tensor string, seq long, piece long, raw binary")
+    return pieces.repartition("tensor", "seq").sortWithinPartitions("tensor", "seq", "piece").mapInArrow(digests, "tensor string, seq long, digest string")
 
 
 def verify_range(cells: DataFrame, digests: DataFrame, low: int, high: int, *, chunk: int = 65536) -> DataFrame:
@@ -174,25 +194,90 @@ def diff(base: DataFrame, tuned: DataFrame) -> DataFrame:
     return got.select("tensor", status.alias("status"), "changed", "max_change", "mean_change")
 
 
+#: Rows of a block that is factored at once, at most.
+FACTORED_ROWS = 4096
+
+
 def low_rank(changes: DataFrame, rows: int, columns: int, rank: int) -> DataFrame:
     """Factors of each tensor's change: its largest singular values with their vectors.
 
     ``changes`` has tensor, pos and v; returns tensor, k, sigma, side, i and x.
-    A tensor is worked on whole, so this is for matrices that fit one task.
+    Blocks of the longer side are reduced to triangles of the shorter side's
+    extent by QR, and triangles to one, whose singular values are the tensor's
+    own; vectors of the longer side are products of the blocks.  So a task holds
+    a block and a square of the shorter side.  A value of zero has a zero vector
+    on the longer side.
     """
-
-    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros(rows * columns)
-        m[pdf["pos"].to_numpy()] = pdf["v"].to_numpy()
-        left, sigmas, right = np.linalg.svd(m.reshape(rows, columns), full_matrices=False)
-        out = []
-        for k in range(min(rank, rows, columns)):
-            u, sigma, v = left[:, k], float(sigmas[k]), right[k]
-            out += [(pdf["tensor"].iloc[0], k, sigma, "u", i, x) for i, x in enumerate(u)]
-            out += [(pdf["tensor"].iloc[0], k, sigma, "v", i, x) for i, x in enumerate(v)]
-        return pd.DataFrame(out, columns=["tensor", "k", "sigma", "side", "i", "x"])
-
-    return changes.groupBy("tensor").applyInPandas(factor, "tensor string, k int, sigma double, side string, i int, x double")
+    long, short, names = (rows, columns, "uv") if rows >= columns else (columns, rows, "vu")
+    count = min(rank, short)
+    block = min(long, max(256, min(FACTORED_ROWS, (32 << 20) // (8 * short))))
+    i, j = F.expr(f"pos div {columns}L"), F.col("pos") % columns
+    if rows < columns:
+        i, j = j, i
+    cells = changes.select(F.col("tensor").cast("string").alias("tensor"), i.alias("i"), j.alias("j"), F.col("v").cast("double").alias("v"))
+    tiles = tiled(cells, F.col("i"), F.col("j"), "v", ["tensor"], block, short, key="string").select("tensor", "ti", "cells")
+
+    def row(tensor, raw):
+        return pa.RecordBatch.from_arrays([pa.array([tensor], pa.string()), pa.array([raw], pa.binary())], ["tensor", "raw"])
+
+    def triangle(held, more):
+        return np.linalg.qr(more if held is None else np.concatenate([held, more]), mode="r")
+
+    def triangles(batches):
+        """The triangle of each tensor's blocks in a partition."""
+        now = held = None
+        for batch in batches:
+            for tensor, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if tensor != now:
+                    if now is not None:
+                        yield row(now, held.tobytes())
+                    now, held = tensor, None
+                held = triangle(held, dense(raw.as_buffer(), block, short, short))
+        if now is not None:
+            yield row(now, held.tobytes())
+
+    def values(batches):
+        """Singular values and the shorter side's vectors, as columns, of each tensor."""
+
+        def out():
+            _, sigmas, right = np.linalg.svd(held, full_matrices=False)
+            sigmas = np.append(sigmas, np.zeros(max(0, count - len(sigmas))))[:count]
+            right = np.concatenate([right, np.zeros((max(0, count - len(right)), short))])[:count]
+            return row(now, np.concatenate([sigmas[:, None], right], axis=1).tobytes())
+
+        now = held = None
+        for batch in batches:
+            for tensor, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if tensor != now:
+                    if now is not None:
+                        yield out()
+                    now, held = tensor, None
+                held = triangle(held, np.frombuffer(raw.as_buffer(), "<f8").reshape(-1, short))
+        if now is not None:
+            yield out()
+
+    def entries(tensor, side, sigmas, first, x):
+        """x has a column for each singular value."""
+        n = len(x)
+        ks = np.repeat(np.arange(count, dtype=np.int32), n)
+        return pa.RecordBatch.from_arrays([pa.array([tensor] * n * count, pa.string()), pa.array(ks), pa.array(np.repeat(sigmas, n)), pa.array([side] * n * count, pa.string()), pa.array(np.tile(np.arange(first, first + n, dtype=np.int32), count)), pa.array(x.T.ravel())], ["tensor", "k", "sigma", "side", "i", "x"])
+
+    def vectors(batches):
+        for batch in batches:
+            for tensor, ti, raw, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                both = np.frombuffer(raw.as_buffer(), "<f8").reshape(count, short + 1)
+                sigmas, right = both[:, 0], both[:, 1:].T
+                if ti == 0:
+                    yield entries(tensor, names[1], sigmas, 0, right)
+                n = min(block, long - ti * block)
+                x = dense(cells.as_buffer(), n, short, short) @ right if cells.is_valid else np.zeros((n, count))
+                safe = sigmas > np.finfo(float).eps * long * sigmas.max(initial=0)
+                yield entries(tensor, names[0], sigmas, ti * block, np.where(safe, x / np.where(safe, sigmas, 1.0), 0.0))
+
+    parts = tiles.sortWithinPartitions("tensor").mapInArrow(triangles, "tensor string, raw binary")
+    found = parts.repartition("tensor").sortWithinPartitions("tensor").mapInArrow(values, "tensor string, raw binary")
+    each = found.select("tensor", F.explode(F.sequence(F.lit(0), F.lit(-(-long // block) - 1))).alias("ti"), "raw")
+    return each.join(tiles, ["tensor", "ti"], "left").select("tensor", "ti", "raw", "cells").mapInArrow(vectors, "tensor string, k int, sigma double, side string, i int, x double")
 
 
 def resolve_chain(parents: DataFrame, start: str, limit: int = CHAIN_LIMIT) -> DataFrame:

@@ -1,12 +1,14 @@
 """What must not grow with the input in one place: the driver, one task, or one worker."""
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tensorloom import registry
 from tensorloom.functions import tokenizer
-from tensorloom.operators import contract, nn, quant
+from tensorloom.operators import contract, delta, nn, quant
 from tensorloom.sources import files, gguf
 from tensorloom.tensor import collect, from_cells, literal
 
@@ -126,3 +128,45 @@ def test_files_of_more_than_the_driver_collects(spark, tmp_path, kind):
     else:
         made = {"safetensors": lambda: files.to_safetensors({"e": small}), "npy": lambda: files.to_npy(small), "gguf": lambda: gguf.write({"e": collect(small)})}
         assert raw == made[kind]()
+
+
+@pytest.mark.parametrize("shape", [(50, 7), (7, 50), (12, 12)])
+def test_low_rank_by_blocks(spark, monkeypatch, shape):
+    monkeypatch.setattr(delta, "FACTORED_ROWS", 8)
+    a, zero = RNG.normal(size=shape), np.zeros(shape)
+    zero[0, 0] = 2.0
+    rows = [(t, p, float(v)) for t, m in (("a", a), ("z", zero)) for p, v in enumerate(m.ravel()) if v]
+    got = delta.low_rank(spark.createDataFrame(rows, "tensor string, pos long, v double"), *shape, 3)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # a tensor whole in one task
+    got = got.collect()
+    for name, m in (("a", a), ("z", zero)):
+        own = [r for r in got if r.tensor == name]
+        u, v = np.zeros((shape[0], 3)), np.zeros((shape[1], 3))
+        for r in own:
+            (u if r.side == "u" else v)[r.i, r.k] = r.x
+        sigma = [next(r.sigma for r in own if r.k == k) for k in range(3)]
+        left, want, right = np.linalg.svd(m, full_matrices=False)
+        assert len(own) == 3 * sum(shape) and np.allclose(sigma, want[:3])
+        assert np.allclose(u * sigma @ v.T, left[:, :3] * want[:3] @ right[:3])
+
+
+def test_digest_of_several_pieces(spark, monkeypatch):
+    monkeypatch.setattr(delta, "PIECE", 64)
+    a = {t: RNG.normal(size=1000) for t in "xy"}
+    cells = spark.createDataFrame([(t, p, float(v)) for t, m in a.items() for p, v in enumerate(m)], "tensor string, pos long, v double").repartition(5)
+    whole = delta.chunk_digests(cells, chunk=1 << 62)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2  # cells are packed before one task has a tensor
+    assert {r.tensor: r.digest for r in whole.collect()} == {t: hashlib.sha256(m.tobytes()).hexdigest() for t, m in a.items()}
+    parts = {(r.tensor, r.seq): r.digest for r in delta.chunk_digests(cells, chunk=100).collect()}
+    assert parts == {(t, k): hashlib.sha256(m[100 * k : 100 * k + 100].tobytes()).hexdigest() for t, m in a.items() for k in range(10)}
+
+
+def test_interpolation_is_dealt_by_its_size(spark, monkeypatch):
+    monkeypatch.setattr(nn, "MET_ROWS", 16)
+    x = RNG.normal(size=(1, 1, 5, 8))
+    got = nn.interpolate(literal(spark, x), [2, 1], "linear")
+    assert "src#" in plan(got) and ", 10), REPARTITION_BY_NUM" in plan(got)  # 80 cells of two corners each
+    at = np.clip((np.arange(10) + 0.5) / 2 - 0.5, 0, None)
+    low = np.minimum(at.astype(int), 4)
+    want = x[0, 0][low] * (1 - (at - low))[:, None] + x[0, 0][np.minimum(low + 1, 4)] * (at - low)[:, None]
+    assert np.allclose(collect(got)[0, 0], want)
